@@ -289,4 +289,4 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85) -> Da
 def near_copies_removed(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """docs without the near copies: of each group only the document with the smallest doc_id stays."""
     groups = jaccard_components(docs, width, percent).select(C.ided("doc_id").alias("_key"), C.ided("component_id").alias("_head")).where("_key <> _head").select("_key").distinct()
-    return docs.join(groups, C.ided("doc_id") == F.col("_key"), "left_anti")
+    return docs.join(groups, C.ided("doc_id") == groups["_key"], "left_anti")
