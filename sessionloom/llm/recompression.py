@@ -6,7 +6,8 @@ Names are hashes of what they stand for, so they are global without any dictiona
 exchange, and equal substrings get equal symbols wherever a symbol's *context* - the
 words that decided its parse - lies inside the substring. Every window therefore has
 a representative that depends on its content alone: the least symbol of the highest
-level whose context it holds (the window's own hash, if it holds none).
+level whose context it holds, named with that context (the window's own hash, if it
+holds none).
 
 Plan: representatives of all documents -> those that occur twice -> only windows with
 such a representative are named by a 128-bit hash -> the first place of each name ->
@@ -82,6 +83,7 @@ class Windows:
         levels = [Level(h, row, np.arange(n), np.arange(1, n + 1))]
         for step in range(rounds):
             levels.append(next_level(levels[-1], first, step))
+        sums = _Sums(h)
         rep = np.zeros(len(at), np.uint64)
         place = np.full(len(at), -1, np.int64)
         for depth in range(rounds, 0, -1):
@@ -90,7 +92,8 @@ class Windows:
                 break
             found, where = _least(levels[depth], at[todo], window, n)
             hit = where >= 0
-            rep[todo[hit]] = C.mix(found[hit] + np.uint64(depth))
+            x = levels[depth]
+            rep[todo[hit]] = C.mix(found[hit] + np.uint64(depth) + sums.between(x.lo[where[hit]], x.hi[where[hit]]))
             place[todo[hit]] = where[hit] * (rounds + 1) + depth
         todo = np.flatnonzero(place < 0)
         if len(todo):
@@ -99,6 +102,22 @@ class Windows:
         self.rep, self.place = rep, place
 
 
+class _Sums:
+    """Hashes of word ranges by sums up to each word."""
+
+    BASE = 0xDA942042E4DD58B5
+
+    def __init__(self, h: np.ndarray):
+        with np.errstate(over="ignore"):
+            self.power = np.cumprod(np.full(len(h) + 1, pow(self.BASE, -1, 2**64), np.uint64), dtype=np.uint64)
+            up = np.cumprod(np.full(len(h), self.BASE, np.uint64), dtype=np.uint64)
+            self.sum = np.concatenate((np.zeros(1, np.uint64), np.cumsum(h * up, dtype=np.uint64)))
+
+    def between(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return C.mix((self.sum[hi] - self.sum[lo]) * self.power[lo] + (hi - lo).astype(np.uint64))
+
+
 def _least(x: Level, at: np.ndarray, window: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """For each window the least symbol whose context it holds, and where that stands (-1: none)."""
     below = np.cumsum(np.bincount(np.maximum(x.lo + 1, 0), minlength=n + 3))  # [i]: symbols with lo < i
@@ -242,8 +261,8 @@ def repeats(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS) -> tupl
     twice = seen.groupBy("symbol").agg(F.sum("places").alias("n")).where("n >= 2").select("symbol")
     flagged = C.written(seen.select("symbol", "doc_key").join(twice, "symbol").groupBy("doc_key").agg(F.collect_list("symbol").alias("symbols")), "symbols")
     names = texts.join(flagged, "doc_key").mapInArrow(window_names(window, rounds), "name_a long, name_b long, doc_key long, start int")
-    first = names.groupBy("name_a", "name_b").agg(F.min(F.struct("doc_key", "start")).alias("f"))
-    starts = first.groupBy(F.col("f.doc_key").alias("doc_key")).agg(F.collect_list(F.col("f.start").cast("long")).alias("starts"))
+    first = names.groupBy("name_a", "name_b").agg(F.min("doc_key").alias("doc_key"), F.min_by("start", "doc_key").alias("start"))
+    starts = first.groupBy("doc_key").agg(F.collect_list(F.col("start").cast("long")).alias("starts"))
     return flagged, starts
 
 
