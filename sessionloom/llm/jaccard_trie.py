@@ -212,10 +212,8 @@ def verified(percent: int):
     return run
 
 
-def verify(pairs: DataFrame, texts: DataFrame, width: int, percent: int, order: Order) -> DataFrame:
-    """The pairs (probe, probe_n, m, m_n) that link. One task gets a probe and a block of its partners."""
-    needed = pairs.select(F.col("probe").alias("doc_key")).union(pairs.select("m")).distinct()
-    sets = C.written(texts.join(needed, "doc_key", "left_semi").dropDuplicates(["doc_key"]).mapInArrow(ordered_sets(width, order), "doc_key long, grams array<long>"), "sets")
+def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (probe, m, m_n) that link. One task gets a probe and a block of its partners."""
     blocks = pairs.groupBy("probe").agg(F.ceil(F.sum("m_n") / F.lit(BLOCK)).alias("blocks"))
     dealt = pairs.join(blocks, "probe").select("probe", "m", F.pmod(F.xxhash64("m"), F.col("blocks")).alias("block"))
     members = (
@@ -227,9 +225,10 @@ def verify(pairs: DataFrame, texts: DataFrame, width: int, percent: int, order:
     return members.join(probes, "probe").select("probe", "probe_grams", "members").mapInArrow(verified(percent), "a long, b long")
 
 
-def _close(x: str, y: str, percent: int):
-    """Sizes that can reach the similarity."""
-    return F.least(x, y) * 100 >= F.greatest(x, y) * percent
+def _reaches(percent: int):
+    """Whether the n-grams from a shared one on suffice for a link, had the sets nothing in common before it."""
+    need = F.ceil(percent * (F.col("probe_n") + F.col("m_n")) / F.lit(100 + percent))
+    return F.least(F.col("probe_n") - F.col("probe_at"), F.col("m_n") - F.col("m_at")) >= need
 
 
 def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
@@ -243,45 +242,41 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85) -> Da
     """
     texts = C.doc_frame(docs)
     order = Order(frequent_grams(texts, width))
-    sets = C.written(texts.mapInArrow(prefixes(width, percent, order), "doc_key long, n long, set_a long, set_b long, prefix array<long>"), "prefixes")
+    heads = C.written(texts.mapInArrow(prefixes(width, percent, order), "doc_key long, n long, set_a long, set_b long, prefix array<long>"), "prefixes")
     alike = ["n", "set_a", "set_b"]
-    classes = sets.where("n > 0").groupBy(*alike).agg(F.min("doc_key").alias("cls"))
-    of = C.written(sets.select("doc_key", *alike).join(classes, alike, "left").select("doc_key", "n", F.coalesce("cls", "doc_key").alias("cls")), "classes")
-    heads = sets.join(of.where("cls = doc_key").select("doc_key").distinct(), "doc_key", "left_semi").where("n > 0")
-    rows = heads.select(F.explode("prefix").alias("gram"), F.col("doc_key").alias("cls"), "n")
-    shared = rows.groupBy("gram").agg(F.min("cls").alias("hub"), F.max("cls").alias("other")).where("hub <> other").select("gram", "hub")
-    rows = C.written(rows.join(shared, "gram").select("gram", "cls", "n", "hub"), "grams")
-    sizes = C.written(heads.select(F.col("doc_key").alias("hub"), F.col("n").alias("hub_n")).dropDuplicates(["hub"]), "sizes")
+    classes = heads.where("n > 0").groupBy(*alike).agg(F.min("doc_key").alias("cls"))
+    of = C.written(heads.select("doc_key", *alike).join(classes, alike, "left").select("doc_key", "n", F.coalesce("cls", "doc_key").alias("cls")), "classes")
+    heads = heads.join(of.where("cls = doc_key and n > 0").select("doc_key").distinct(), "doc_key", "left_semi")
+    rows = heads.select(F.posexplode("prefix").alias("at", "gram"), F.col("doc_key").alias("cls"), "n")
+    shared = rows.groupBy("gram").agg(F.min("cls").alias("low"), F.max("cls").alias("high")).where("low <> high").select("gram")
+    rows = C.written(rows.join(shared, "gram").select("gram", "cls", "n", "at", F.col("cls").alias("comp")), "grams")
+    needed = rows.select(F.col("cls").alias("doc_key")).distinct()
+    sets = C.written(texts.join(needed, "doc_key", "left_semi").mapInArrow(ordered_sets(width, order), "doc_key long, grams array<long>"), "sets")
 
     tried = links = labels = None
     for turn in range(HUB_ROUNDS + 1):
-        if turn:
-            known = rows.join(labels.select(F.col("node").alias("cls"), "component"), "cls", "left").select("gram", "cls", "n", F.coalesce("component", "cls").alias("comp"))
-            mixed = known.groupBy("gram").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high")
-            rows = C.written(known.join(mixed, "gram"), "mixed")
-            if not rows.limit(1).count():
-                break
-        if turn < HUB_ROUNDS:
-            if turn:  # the hub of a later round comes from another component than that of the first
-                hubs = rows.where("comp = high").groupBy("gram").agg(F.min("cls").alias("hub"))
-                spokes = rows.join(hubs, "gram").where("comp <> high")
-            else:
-                spokes = rows
-            pairs = spokes.where("cls <> hub").select(F.col("hub").alias("probe"), F.col("cls").alias("m"), F.col("n").alias("m_n")).distinct()
-            pairs = pairs.join(sizes.select(F.col("hub").alias("probe"), F.col("hub_n").alias("probe_n")), "probe")
+        spread = rows.groupBy("gram").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high")
+        rows = C.written(rows.join(spread, "gram").select("gram", "cls", "n", "at", "comp"), "mixed")
+        if not rows.limit(1).count():
+            break
+        if turn < HUB_ROUNDS:  # one hub a gram, drawn anew each turn, meets those of other components
+            drawn = F.xxhash64("cls", "gram", F.lit(turn)) if turn else F.col("cls")
+            hubs = rows.withColumn("draw", drawn).groupBy("gram").agg(*[F.min_by(x, "draw").alias(y) for x, y in (("cls", "probe"), ("n", "probe_n"), ("at", "probe_at"), ("comp", "probe_comp"))])
+            pairs = rows.join(hubs, "gram").where("comp <> probe_comp").select("probe", "probe_n", "probe_at", F.col("cls").alias("m"), F.col("n").alias("m_n"), F.col("at").alias("m_at"))
         else:
-            one, two = (rows.select("gram", F.col("cls").alias(k), F.col("n").alias(f"{k}_n"), F.col("comp").alias(f"{k}_comp")) for k in ("probe", "m"))
-            pairs = one.join(two, "gram").where("probe < m and probe_comp <> m_comp").select("probe", "m", "m_n", "probe_n").distinct()
-        pairs = pairs.where(_close("probe_n", "m_n", percent))
+            one, two = (rows.select("gram", F.col("cls").alias(k), F.col("n").alias(f"{k}_n"), F.col("at").alias(f"{k}_at"), F.col("comp").alias(f"{k}_comp")) for k in ("probe", "m"))
+            pairs = one.join(two, "gram").where("probe < m and probe_comp <> m_comp")
+        pairs = pairs.where(_reaches(percent)).select("probe", "m", "m_n").distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["probe", "m"], "left_anti")
         pairs = C.written(pairs, "pairs")
-        new = C.written(verify(pairs, texts, width, percent, order), "verified")
+        new = C.written(verify(pairs, sets, percent), "verified")
         both = pairs.select("probe", "m").union(pairs.select(F.col("m").alias("probe"), F.col("probe").alias("m")))
         tried = both if tried is None else tried.union(both)
         links = new if links is None else links.union(new)
-        labels = components(links)
-    comps = of.join(labels.select(F.col("node").alias("cls"), "component"), "cls", "left")
+        labels = components(links).select(F.col("node").alias("cls"), "component")
+        rows = rows.drop("comp").join(labels, "cls", "left").select("gram", "cls", "n", "at", F.coalesce("component", "cls").alias("comp"))
+    comps = of.withColumn("component", F.lit(None).cast("long")) if labels is None else of.join(labels, "cls", "left")
     comps = comps.select("doc_key", F.col("n").alias("n_shingles"), F.coalesce("component", "cls").alias("component"))
     return comps.select(C.un_ided("doc_key").alias("doc_id"), "n_shingles", C.un_ided("component").alias("component_id"))
 
