@@ -109,7 +109,7 @@ def rules() -> dict[str, Column]:
     }
 
 
-def fit(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 50, strength: float = 20.0) -> tuple[float, list[dict[int, tuple[float, float]]]]:
+def fit(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 50, strength: float = 20.0, start: dict[int, tuple[float, float]] | None = None) -> tuple[float, list[dict[int, tuple[float, float]]]]:
     """EM on vote patterns and their counts: (prior of good, per rule P(vote | good), P(vote | bad)).
 
     The start believes that a bad vote is rare on good documents and that a good vote says
@@ -117,7 +117,7 @@ def fit(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 50, strength:
     table with votes of one kind only keeps its meaning.
     """
     width = len(patterns[0][0]) if patterns else 0
-    start = {-1: (0.005, 0.3), 0: (0.245, 0.2), 1: (0.75, 0.5)}
+    start = start or {-1: (0.005, 0.3), 0: (0.245, 0.2), 1: (0.75, 0.5)}
     prior, table = 0.8, [dict(start) for _ in range(width)]
     total = sum(n for _, n in patterns)
     for _ in range(rounds if total else 0):
