@@ -2,8 +2,8 @@
 
 Every document becomes its set of distinct word n-grams (64-bit hashes) in one global
 order: frequent n-grams last, else by hash. Two sets of Jaccard similarity t or more
-share an n-gram among the first n - ceil(t n) + 1 of each, so only sets that share such
-a prefix n-gram can link. Candidates are verified on tries: the sets of a block are laid
+share at least l n-grams among the first n - ceil(t n) + l of each, so only sets that
+share that many prefix n-grams can link. Candidates are verified on tries: the sets of a block are laid
 out in trie order, a probe walks them, the overlap counted along a shared path is kept,
 and a subtree is left as soon as the n-grams that remain cannot reach the overlap needed.
 
@@ -31,6 +31,8 @@ COUNTERS = 1 << 16
 #: N-grams that one verification block holds, about.
 BLOCK = 1 << 18
 HUB_ROUNDS = 3
+#: N-grams that the prefixes of a linked pair share at least (fewer for sets smaller than that).
+SHARED = 8
 
 
 def shingle_sets(raw: np.ndarray, offs: np.ndarray, width: int) -> Iterator[np.ndarray]:
@@ -130,7 +132,8 @@ def prefixes(width: int, percent: int, order: Order):
                     with np.errstate(over="ignore"):
                         set_a.append(np.add.reduce(C.mix(grams)) if size else np.uint64(0))
                         set_b.append(np.bitwise_xor.reduce(C.mix(grams + np.uint64(77))) if size else np.uint64(0))
-                    prefix.append(order(grams)[: size - (percent * size + 99) // 100 + 1] if size else grams)
+                    least = (percent * size + 99) // 100
+                    prefix.append(order(grams)[: size - least + min(SHARED, least)])
             flat = np.concatenate(prefix) if prefix else np.zeros(0, np.uint64)
             ends = np.concatenate(([0], np.cumsum([len(p) for p in prefix]))).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
@@ -225,12 +228,34 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return members.join(probes, "probe").select("probe", "probe_grams", "members").mapInArrow(verified(percent), "a long, b long")
 
 
+def _least(n: str, percent: int):
+    """The overlap that a set of n needs for any link."""
+    return F.ceil(F.col(n) * percent / 100)
+
+
+def _shared_least(n: str, percent: int):
+    return F.least(F.lit(SHARED), _least(n, percent))
+
+
 def _reaches(percent: int):
-    """Whether the n-grams from a shared one on suffice for a link, had the sets nothing in common before it."""
+    """Whether the n-grams from a shared one on suffice for a link, had the sets nothing in common before it.
+
+    Holds for the first n-gram that a linked pair shares.
+    """
     need = F.ceil(percent * (F.col("probe_n") + F.col("m_n")) / F.lit(100 + percent))
     return F.least(F.col("probe_n") - F.col("probe_at"), F.col("m_n") - F.col("m_at")) >= need
 
 
+def _cores(rows: DataFrame, sizes: DataFrame, percent: int, turns: int = 2) -> DataFrame:
+    """rows (gram, cls, at, n) of n-grams with several classes and classes with enough such n-grams."""
+    for turn in range(turns):
+        shared = rows.groupBy("gram").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("gram")
+        rows = C.written(rows.join(shared, "gram"), "shared")
+        full = rows.groupBy("cls").agg(F.count(F.lit(1)).alias("c")).join(sizes, "cls").where(F.col("c") >= _shared_least("n", percent)).select("cls")
+        rows = rows.join(full, "cls", "left_semi")
+    return C.written(rows.join(sizes, "cls").select("gram", "cls", "at", "n"), "cores")
+
+
 def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every document.
 
@@ -247,26 +272,26 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85) -> Da
     classes = heads.where("n > 0").groupBy(*alike).agg(F.min("doc_key").alias("cls"))
     of = C.written(heads.select("doc_key", *alike).join(classes, alike, "left").select("doc_key", "n", F.coalesce("cls", "doc_key").alias("cls")), "classes")
     heads = heads.join(of.where("cls = doc_key and n > 0").select("doc_key").distinct(), "doc_key", "left_semi")
-    rows = heads.select(F.posexplode("prefix").alias("at", "gram"), F.col("doc_key").alias("cls"), "n")
-    shared = rows.groupBy("gram").agg(F.min("cls").alias("low"), F.max("cls").alias("high")).where("low <> high").select("gram")
-    rows = C.written(rows.join(shared, "gram").select("gram", "cls", "n", "at", F.col("cls").alias("comp")), "grams")
+    sizes = C.written(heads.select(F.col("doc_key").alias("cls"), "n").distinct(), "sizes")
+    rows = _cores(heads.select(F.posexplode("prefix").alias("at", "gram"), F.col("doc_key").alias("cls")), sizes, percent)
     needed = rows.select(F.col("cls").alias("doc_key")).distinct()
     sets = C.written(texts.join(needed, "doc_key", "left_semi").mapInArrow(ordered_sets(width, order), "doc_key long, grams array<long>"), "sets")
 
+    rows = rows.withColumn("comp", F.col("cls"))
     tried = links = labels = None
     for turn in range(HUB_ROUNDS + 1):
-        spread = rows.groupBy("gram").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high")
-        rows = C.written(rows.join(spread, "gram").select("gram", "cls", "n", "at", "comp"), "mixed")
+        spread = rows.groupBy("gram").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("gram")
+        rows = C.written(rows.join(spread, "gram").select("gram", "cls", "at", "n", "comp"), "mixed")
         if not rows.limit(1).count():
             break
+        probe, m = (rows.select("gram", *[F.col(x).alias(k + y) for x, y in (("cls", ""), ("at", "_at"), ("n", "_n"), ("comp", "_comp"))]) for k in ("probe", "m"))
+        apart = (F.col("probe_comp") != F.col("m_comp")) & _reaches(percent)
         if turn < HUB_ROUNDS:  # one hub a gram, drawn anew each turn, meets those of other components
-            drawn = F.xxhash64("cls", "gram", F.lit(turn)) if turn else F.col("cls")
-            hubs = rows.withColumn("draw", drawn).groupBy("gram").agg(*[F.min_by(x, "draw").alias(y) for x, y in (("cls", "probe"), ("n", "probe_n"), ("at", "probe_at"), ("comp", "probe_comp"))])
-            pairs = rows.join(hubs, "gram").where("comp <> probe_comp").select("probe", "probe_n", "probe_at", F.col("cls").alias("m"), F.col("n").alias("m_n"), F.col("at").alias("m_at"))
+            drawn = F.xxhash64("probe", "gram", F.lit(turn)) if turn else F.col("probe")
+            probe = probe.withColumn("draw", drawn).groupBy("gram").agg(*[F.min_by(c, "draw").alias(c) for c in probe.columns[1:]])
         else:
-            one, two = (rows.select("gram", F.col("cls").alias(k), F.col("n").alias(f"{k}_n"), F.col("at").alias(f"{k}_at"), F.col("comp").alias(f"{k}_comp")) for k in ("probe", "m"))
-            pairs = one.join(two, "gram").where("probe < m and probe_comp <> m_comp")
-        pairs = pairs.where(_reaches(percent)).select("probe", "m", "m_n").distinct()
+            apart = apart & (F.col("probe") < F.col("m"))
+        pairs = probe.join(m, (probe["gram"] == m["gram"]) & apart).select("probe", "m", "m_n").distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["probe", "m"], "left_anti")
         pairs = C.written(pairs, "pairs")
@@ -275,7 +300,7 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85) -> Da
         tried = both if tried is None else tried.union(both)
         links = new if links is None else links.union(new)
         labels = components(links).select(F.col("node").alias("cls"), "component")
-        rows = rows.drop("comp").join(labels, "cls", "left").select("gram", "cls", "n", "at", F.coalesce("component", "cls").alias("comp"))
+        rows = rows.drop("comp").join(labels, "cls", "left").select("gram", "cls", "at", "n", F.coalesce("component", "cls").alias("comp"))
     comps = of.withColumn("component", F.lit(None).cast("long")) if labels is None else of.join(labels, "cls", "left")
     comps = comps.select("doc_key", F.col("n").alias("n_shingles"), F.coalesce("component", "cls").alias("component"))
     return comps.select(C.un_ided("doc_key").alias("doc_id"), "n_shingles", C.un_ided("component").alias("component_id"))
