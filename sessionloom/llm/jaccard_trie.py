@@ -250,7 +250,7 @@ def _cores(rows: DataFrame, sizes: DataFrame, percent: int, turns: int = 2) -> D
     """rows (gram, cls, at, n) of n-grams with several classes and classes with enough such n-grams."""
     for turn in range(turns):
         shared = rows.groupBy("gram").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("gram")
-        rows = C.written(rows.join(shared, "gram"), "shared")
+        rows = C.written(rows.join(shared, "gram"), "shared", release=True)
         full = rows.groupBy("cls").agg(F.count(F.lit(1)).alias("c")).join(sizes, "cls").where(F.col("c") >= _shared_least("n", percent)).select("cls")
         rows = rows.join(full, "cls", "left_semi")
     return C.written(rows.join(sizes, "cls").select("gram", "cls", "at", "n"), "cores")
@@ -275,7 +275,7 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85) -> Da
     sizes = C.written(heads.select(F.col("doc_key").alias("cls"), "n").distinct(), "sizes")
     rows = _cores(heads.select(F.posexplode("prefix").alias("at", "gram"), F.col("doc_key").alias("cls")), sizes, percent)
     needed = rows.select(F.col("cls").alias("doc_key")).distinct()
-    sets = C.written(texts.join(needed, "doc_key", "left_semi").mapInArrow(ordered_sets(width, order), "doc_key long, grams array<long>"), "sets")
+    sets = C.written(texts.join(needed, "doc_key", "left_semi").mapInArrow(ordered_sets(width, order), "doc_key long, grams array<long>"), "sets", release=True)
 
     rows = rows.withColumn("comp", F.col("cls"))
     tried = links = labels = None
@@ -295,7 +295,7 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85) -> Da
         if tried is not None:
             pairs = pairs.join(tried, ["probe", "m"], "left_anti")
         pairs = C.written(pairs, "pairs")
-        new = C.written(verify(pairs, sets, percent), "verified")
+        new = C.written(verify(pairs, sets, percent), "verified", release=True)
         both = pairs.select("probe", "m").union(pairs.select(F.col("m").alias("probe"), F.col("probe").alias("m")))
         tried = both if tried is None else tried.union(both)
         links = new if links is None else links.union(new)

@@ -259,7 +259,7 @@ def repeats(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS) -> tupl
     texts = C.doc_frame(docs)
     seen = texts.mapInArrow(representatives(window, rounds), "symbol long, doc_key long, places int")
     twice = seen.groupBy("symbol").agg(F.sum("places").alias("n")).where("n >= 2").select("symbol")
-    flagged = C.written(seen.select("symbol", "doc_key").join(twice, "symbol").groupBy("doc_key").agg(F.collect_list("symbol").alias("symbols")), "symbols")
+    flagged = C.written(seen.select("symbol", "doc_key").join(twice, "symbol").groupBy("doc_key").agg(F.collect_list("symbol").alias("symbols")), "symbols", release=True)
     names = texts.join(flagged, "doc_key").mapInArrow(window_names(window, rounds), "name_a long, name_b long, doc_key long, start int")
     first = names.groupBy("name_a", "name_b").agg(F.min("doc_key").alias("doc_key"), F.min_by("start", "doc_key").alias("start"))
     starts = first.groupBy("doc_key").agg(F.collect_list(F.col("start").cast("long")).alias("starts"))
