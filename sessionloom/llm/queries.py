@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard_trie, langid, pii, quality, recompression
+from . import jaccard_trie, langid, pii, quality, recompression, urlfilter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -44,3 +44,62 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict_languages(table(spark, sf_dir, "documents"))
+
+
+@query
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived(table(spark, sf_dir, "pages"))
+
+
+@query
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judge_urls(table(spark, sf_dir, "pages"))
+
+
+ORACLES["op3_substring_dedup"] = r"""
+WITH w AS (
+  SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x : x <> '') AS ws FROM documents
+), win AS (
+  SELECT doc_id, i, array_to_string(ws[i : i + 19], ' ') AS k FROM w, range(1, len(ws) - 18) t(i)
+), judged AS (
+  SELECT doc_id, i, row_number() OVER (PARTITION BY k ORDER BY doc_id, i) AS rn FROM win
+), gone AS (
+  SELECT DISTINCT doc_id, i + j AS at FROM judged, range(0, 20) r(j) WHERE rn > 1
+), words AS (
+  SELECT doc_id, i AS at, ws[i] AS word FROM w, range(1, len(ws) + 1) t(i)
+), kept AS (
+  SELECT words.doc_id, string_agg(word, ' ' ORDER BY words.at) AS kept, count(*) AS n
+  FROM words ANTI JOIN gone ON words.doc_id = gone.doc_id AND words.at = gone.at GROUP BY words.doc_id
+)
+SELECT w.doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM w LEFT JOIN kept ON w.doc_id = kept.doc_id
+""".replace("\\", "\")
+
+ORACLES["op9_ngram_jaccard_join"] = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x : x <> '') AS ws FROM documents
+), grams AS (
+  SELECT DISTINCT doc_id, array_to_string(ws[i : i + 3], ' ') AS g FROM w, range(1, greatest(len(ws) - 2, 2)) t(i) WHERE len(ws) > 0
+), sizes AS (
+  SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id
+), common AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2
+), links AS (
+  SELECT a, b FROM common JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)
+), reach AS (
+  SELECT a, b FROM links UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a
+)
+SELECT w.doc_id, coalesce(any_value(sizes.n), 0)::BIGINT AS n_shingles, least(w.doc_id, coalesce(min(reach.b), w.doc_id)) AS component_id
+FROM w LEFT JOIN sizes ON w.doc_id = sizes.doc_id LEFT JOIN reach ON reach.a = w.doc_id GROUP BY w.doc_id
+""".replace("\\", "\")
+
+ORACLES["op4_warc"] = """
+WITH b AS (
+  SELECT page_id, strlen(coalesce(html, '')) AS n, sha256(coalesce(html, '')) AS d FROM pages
+), f AS (
+  SELECT d, min(page_id) AS first FROM b WHERE n >= 100 GROUP BY d
+)
+SELECT page_id, n::BIGINT AS payload_bytes, b.d AS payload_digest,
+       CASE WHEN page_id <> first THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
+FROM b LEFT JOIN f ON b.d = f.d AND n >= 100
+"""
