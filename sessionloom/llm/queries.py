@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import jaccard_trie, langid, pii, quality, recompression, urlfilter, warc
+from . import ann, jaccard_trie, langid, pii, quality, recompression, urlfilter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -21,6 +22,11 @@ def query(f: Callable) -> Callable:
     return f
 
 
+@query
+def op1_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 @query
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recompression.dedup_substrings(table(spark, sf_dir, "documents"))
@@ -73,7 +79,7 @@ WITH w AS (
 )
 SELECT w.doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
 FROM w LEFT JOIN kept ON w.doc_id = kept.doc_id
-""".replace("\\", "\")
+"""
 
 ORACLES["op9_ngram_jaccard_join"] = r"""
 WITH RECURSIVE w AS (
@@ -91,7 +97,7 @@ WITH RECURSIVE w AS (
 )
 SELECT w.doc_id, coalesce(any_value(sizes.n), 0)::BIGINT AS n_shingles, least(w.doc_id, coalesce(min(reach.b), w.doc_id)) AS component_id
 FROM w LEFT JOIN sizes ON w.doc_id = sizes.doc_id LEFT JOIN reach ON reach.a = w.doc_id GROUP BY w.doc_id
-""".replace("\\", "\")
+"""
 
 ORACLES["op4_warc"] = """
 WITH b AS (
