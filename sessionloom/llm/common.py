@@ -54,21 +54,27 @@ def drop_path(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, label: str, release: bool = False) -> DataFrame:
     """Write df to the shared folder and read it back: cuts lineage, survives lost executors.
 
-    release: also let Spark's cleaner delete the shuffle files that nothing needs any more,
-    which it does when the driver collects garbage.
+    The write's own shuffle files go when it is done, as the table stands in their place.
+    release: also let Spark's cleaner run for what earlier steps left.
     """
     spark = df.sparkSession
     path = new_path(spark, label)
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     if release:
-        del df
         gc.collect()
         spark.sparkContext._jvm.System.gc()
-    return out
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def quoted(name: str) -> str:
