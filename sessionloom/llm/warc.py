@@ -58,7 +58,7 @@ def with_revisits(pages: DataFrame, least: int = LEAST_BYTES) -> DataFrame:
 
 
 def write_warc(records: DataFrame, path: str) -> None:
-    """Write the rows of with_revisits() as WARC/1.0 records below path."""
+    """Write the rows of with_revisits() as gzipped WARC/1.0 records below path."""
     revisit = F.col("record_type") == "revisit"
     payload = F.when(revisit, F.lit("")).otherwise(F.col("payload"))
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("payload_bytes").cast("string"), F.lit(END))
@@ -78,7 +78,7 @@ def write_warc(records: DataFrame, path: str) -> None:
         _header("Content-Type", F.lit("application/http; msgtype=response")),
         _header("Content-Length", F.octet_length(http) + F.octet_length(payload)),
     )
-    records.select(F.concat(head, F.lit(END), http, payload).alias("value")).write.option("lineSep", END).text(path)
+    records.select(F.concat(head, F.lit(END), http, payload).alias("value")).write.option("lineSep", END).option("compression", "gzip").text(path)
 
 
 # ------------------------------------------------------------------- reading
