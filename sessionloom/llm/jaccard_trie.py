@@ -132,8 +132,7 @@ def prefixes(width: int, percent: int, order: Order):
                     with np.errstate(over="ignore"):
                         set_a.append(np.add.reduce(C.mix(grams)) if size else np.uint64(0))
                         set_b.append(np.bitwise_xor.reduce(C.mix(grams + np.uint64(77))) if size else np.uint64(0))
-                    least = (percent * size + 99) // 100
-                    prefix.append(order(grams)[: size - least + min(SHARED, least)])
+                    prefix.append(order(grams)[: _prefix_length(size, percent)])
             flat = np.concatenate(prefix) if prefix else np.zeros(0, np.uint64)
             ends = np.concatenate(([0], np.cumsum([len(p) for p in prefix]))).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
@@ -150,8 +149,17 @@ def prefixes(width: int, percent: int, order: Order):
     return run
 
 
-def ordered_sets(width: int, order: Order):
-    """Arrow map: (doc_key, text) -> (doc_key, grams in the global order)."""
+def _prefix_length(size: int, percent: int) -> int:
+    least = (percent * size + 99) // 100
+    return size - least + min(SHARED, least)
+
+
+def ordered_sets(width: int, percent: int, order: Order):
+    """Arrow map: (doc_key, text) -> (doc_key, prefix, grams in the global order)."""
+
+    def listed(sets: list[np.ndarray]) -> pa.Array:
+        ends = np.concatenate(([0], np.cumsum([len(s) for s in sets]))).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), C.signed(np.concatenate(sets)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -159,8 +167,8 @@ def ordered_sets(width: int, order: Order):
             raw, offs = C.text_parts(batch.column("text"))
             for a, b in C.row_chunks(offs):
                 sets = [order(g) for g in shingle_sets(raw, offs[a : b + 1], width)]
-                ends = np.concatenate(([0], np.cumsum([len(s) for s in sets]))).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([keys.slice(a, b - a), pa.ListArray.from_arrays(pa.array(ends), C.signed(np.concatenate(sets)))], ["doc_key", "grams"])
+                prefix = [g[: _prefix_length(len(g), percent)] for g in sets]
+                yield pa.RecordBatch.from_arrays([keys.slice(a, b - a), listed(prefix), listed(sets)], ["doc_key", "prefix", "grams"])
 
     return run
 
@@ -215,8 +223,22 @@ def verified(percent: int):
     return run
 
 
+def _prefixes_suffice(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Of the pairs those whose shared prefix n-grams, with all that stands behind the prefixes, suffice for a link.
+
+    Behind the prefix that ends first in the global order, the two share at most what its set has left.
+    """
+    for k in ("probe", "m"):
+        pairs = pairs.join(sets.select(F.col("doc_key").alias(k), F.col("prefix").alias(f"{k}_prefix")), k)
+    left = [_least(f"{k}_n", percent) - _shared_least(f"{k}_n", percent) for k in ("probe", "m")]
+    need = F.ceil(percent * (F.col("probe_n") + F.col("m_n")) / F.lit(100 + percent))
+    common = F.size(F.array_intersect("probe_prefix", "m_prefix"))
+    return pairs.where(common + F.greatest(*left) >= need).select("probe", "m", "m_n")
+
+
 def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (probe, m, m_n) that link. One task gets a probe and a block of its partners."""
+    """The pairs (probe, probe_n, m, m_n) that link. One task gets a probe and a block of its partners."""
+    pairs = C.written(_prefixes_suffice(pairs, sets, percent), "close")
     blocks = pairs.groupBy("probe").agg(F.ceil(F.sum("m_n") / F.lit(BLOCK)).alias("blocks"))
     dealt = pairs.join(blocks, "probe").select("probe", "m", F.pmod(F.xxhash64("m"), F.col("blocks")).alias("block"))
     members = (
@@ -275,7 +297,7 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85) -> Da
     sizes = C.written(heads.select(F.col("doc_key").alias("cls"), "n").distinct(), "sizes")
     rows = _cores(heads.select(F.posexplode("prefix").alias("at", "gram"), F.col("doc_key").alias("cls")), sizes, percent)
     needed = rows.select(F.col("cls").alias("doc_key")).distinct()
-    sets = C.written(texts.join(needed, "doc_key", "left_semi").mapInArrow(ordered_sets(width, order), "doc_key long, grams array<long>"), "sets", release=True)
+    sets = C.written(texts.join(needed, "doc_key", "left_semi").mapInArrow(ordered_sets(width, percent, order), "doc_key long, prefix array<long>, grams array<long>"), "sets", release=True)
 
     rows = rows.withColumn("comp", F.col("cls"))
     tried = links = labels = None
@@ -291,7 +313,7 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85) -> Da
             probe = probe.withColumn("draw", drawn).groupBy("gram").agg(*[F.min_by(c, "draw").alias(c) for c in probe.columns[1:]])
         else:
             apart = apart & (F.col("probe") < F.col("m"))
-        pairs = probe.join(m, (probe["gram"] == m["gram"]) & apart).select("probe", "m", "m_n").distinct()
+        pairs = probe.join(m, (probe["gram"] == m["gram"]) & apart).select("probe", "probe_n", "m", "m_n").distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["probe", "m"], "left_anti")
         pairs = C.written(pairs, "pairs")
