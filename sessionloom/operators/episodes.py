@@ -77,7 +77,7 @@ def features(events: DataFrame) -> DataFrame:
     out = out.join(idle, EPISODE, "left")
     duration = F.coalesce(F.col("_own"), F.greatest(F.col("_span"), F.lit(0.0)), F.lit(0.0))
     idle_s = F.greatest(F.coalesce("_idle", F.lit(0.0)) - F.coalesce("_own", F.lit(0.0)), F.lit(0.0))
-    return out.select(*EPISODE, "n_tool_calls", "n_files_read", "n_files_edited", "n_test_runs", F.round(duration, 1).alias("duration_s"), F.round(idle_s, 1).alias("idle_s"), "tokens")
+    return out.select(*EPISODE, "n_tool_calls", "n_files_read", "n_files_edited", "n_test_runs", F.round(duration, 2).alias("duration_s"), F.round(idle_s, 2).alias("idle_s"), "tokens")
 
 
 def read_before_edit(calls: DataFrame) -> DataFrame:

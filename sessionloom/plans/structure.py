@@ -163,8 +163,8 @@ oracle(
     f AS (SELECT session_id, idx, count(name) AS n_tool_calls, count(DISTINCT CASE WHEN name = 'Read' THEN path END) AS n_files_read, count(DISTINCT CASE WHEN name = 'Edit' THEN path END) AS n_files_edited,
       coalesce(count_if(name = 'Edit' AND ends_with(path, '0')), 0)::BIGINT AS n_test_runs, sum(CASE WHEN event_type = 'view' THEN value END) AS own, arg_max(s, event_index) - arg_min(s, event_index) AS span,
       coalesce(sum(CASE WHEN event_type = 'purchase' THEN floor(value) END), 0)::BIGINT AS tokens FROM sg GROUP BY 1, 2)
-    SELECT f.session_id, f.idx, n_tool_calls, n_files_read, n_files_edited, n_test_runs, round(coalesce(own, greatest(span, 0)), 1) AS duration_s,
-      round(greatest(coalesce(idle, 0) - coalesce(own, 0), 0), 1) AS idle_s, tokens FROM f LEFT JOIN gi ON f.session_id = gi.session_id AND f.idx = gi.idx""",
+    SELECT f.session_id, f.idx, n_tool_calls, n_files_read, n_files_edited, n_test_runs, round(coalesce(own, greatest(span, 0)), 2) AS duration_s,
+      round(greatest(coalesce(idle, 0) - coalesce(own, 0), 0), 2) AS idle_s, tokens FROM f LEFT JOIN gi ON f.session_id = gi.session_id AND f.idx = gi.idx""",
 )
 
 
