@@ -25,9 +25,10 @@ from pyspark.sql import functions as F
 from . import common as C
 from .components import components
 
-#: Bound of the list of frequent n-grams that is broadcast (8 bytes each), and of each task's counters.
+#: Bound of the list of frequent n-grams that is broadcast (8 bytes each), and of each task's counters:
+#: kept, and held between two prunings.
 FREQUENT = 1 << 20
-COUNTERS = 1 << 16
+COUNTERS, HELD = 1 << 18, 1 << 21
 #: N-grams that one verification block holds, about.
 BLOCK = 1 << 18
 HUB_ROUNDS = 3
@@ -51,51 +52,60 @@ def shingle_sets(raw: np.ndarray, offs: np.ndarray, width: int) -> Iterator[np.n
 
 
 def _merged(grams: np.ndarray, counts: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """A Misra-Gries step: at most `most` counters, each short by no more than (all counts) / most."""
+    """Counts of equal n-grams summed; if there are over `most`, the least frequent go."""
+    if not len(grams):
+        return grams, counts
     order = np.argsort(grams, kind="stable")
     grams, counts = grams[order], counts[order]
     new = np.flatnonzero(np.concatenate(([True], grams[1:] != grams[:-1])))
     grams, counts = grams[new], np.add.reduceat(counts, new)
     if len(grams) > most:
-        cut = np.partition(counts, len(counts) - most - 1)[len(counts) - most - 1]
-        kept = counts > cut
-        grams, counts = grams[kept], counts[kept] - cut
+        kept = counts > np.partition(counts, len(counts) - most - 1)[len(counts) - most - 1]
+        grams, counts = grams[kept], counts[kept]
     return grams, counts
 
 
 def gram_counts(width: int):
-    """Arrow map: text -> (gram, n) of the task's frequent n-grams, and (null, all n-grams)."""
+    """Arrow map: text -> (gram, n) of the task's n-grams that occur in several documents, as far as its counters reach."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams, counts, total = np.zeros(0, np.uint64), np.zeros(0, np.int64), 0
+        grams, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        held = 0
         for batch in batches:
             raw, offs = C.text_parts(batch.column("text"))
             for a, b in C.row_chunks(offs):
-                some = np.concatenate(list(shingle_sets(raw, offs[a : b + 1], width)) or [grams[:0]])
-                total += len(some)
-                found, n = np.unique(some, return_counts=True)
-                grams, counts = np.concatenate((grams, found)), np.concatenate((counts, n))
-                if len(grams) > 8 * COUNTERS:
-                    grams, counts = _merged(grams, counts, COUNTERS)
-        if total:
-            grams, counts = _merged(grams, counts, COUNTERS)
-            kept = counts > 1
-            gram = pa.array([None], pa.int64()), C.signed(grams[kept])
-            yield pa.RecordBatch.from_arrays([gram[0], pa.array([total])], ["gram", "n"])
-            yield pa.RecordBatch.from_arrays([gram[1], pa.array(counts[kept])], ["gram", "n"])
+                found, n = np.unique(np.concatenate(list(shingle_sets(raw, offs[a : b + 1], width)) or [grams[0][:0]]), return_counts=True)
+                grams.append(found)
+                counts.append(n)
+                held += len(found)
+                if held > HELD:
+                    one, two = _merged(np.concatenate(grams), np.concatenate(counts), COUNTERS)
+                    grams, counts, held = [one], [two], len(one)
+        one, two = _merged(np.concatenate(grams), np.concatenate(counts), COUNTERS)
+        kept = two > 1
+        yield pa.RecordBatch.from_arrays([C.signed(one[kept]), pa.array(two[kept])], ["gram", "n"])
 
     return run
 
 
-def frequent_grams(texts: DataFrame, width: int, least: int = 64) -> np.ndarray:
-    """N-grams in the order they stand at the end: counted over all texts, at most FREQUENT of them.
+def frequent_grams(texts: DataFrame, width: int, least: int = 8) -> np.ndarray:
+    """The n-grams that stand at the end of the global order, by their count over all texts: FREQUENT at most.
 
-    The bound holds as a listed n-gram has over 1/FREQUENT of all n-gram occurrences.
+    Counting is approximate where tasks run out of counters. That changes only the order, which
+    any total order may replace: results do not depend on it, only how many candidates there are.
     """
-    counted = C.written(texts.mapInArrow(gram_counts(width), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")), "grams")
-    total = counted.where("gram is null").agg(F.sum("n")).first()[0] or 0
-    rows = counted.where(F.col("gram").isNotNull() & (F.col("n") > max(least, total / FREQUENT))).toPandas()
-    rows = rows.sort_values(["n", "gram"])
+    counted = C.written(texts.mapInArrow(gram_counts(width), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).where(F.col("n") >= least), "grams")
+    size = F.floor(8 * F.log2("n"))
+    steps = sorted(counted.groupBy(size.alias("size")).agg(F.count(F.lit(1)).alias("c")).collect(), key=lambda r: -r["size"])  # under 512 rows
+    taken, lowest = 0, None
+    for r in steps:
+        taken += r["c"]
+        if taken > FREQUENT:
+            break
+        lowest = r["size"]
+    if lowest is None:
+        return np.zeros(0, np.uint64)
+    rows = counted.where(size >= lowest).toPandas().sort_values(["n", "gram"])
     return rows["gram"].to_numpy(np.int64).view(np.uint64)
 
 
