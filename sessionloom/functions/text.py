@@ -138,10 +138,14 @@ def normalize_task_type(x: Column) -> Column:
     s = F.regexp_replace(F.regexp_replace(s, r"[_/]+", " "), r"[^a-z0-9 ]+", "")
     s = js_trim(F.regexp_replace(s, r"\s+", " "))
     singular = F.regexp_replace(s, r"(?<![a-z0-9])([a-z0-9]{3,}[a-hj-rtv-z0-9])s(?![a-z0-9])", "$1")
-    out = singular
-    for pattern, name in reversed(TASK_TYPES):
-        out = F.when(singular.rlike(pattern), name).otherwise(out)
-    return F.when(s == "", "uncategorized").otherwise(out)
+
+    def named(t: Column) -> Column:
+        out = t
+        for pattern, name in reversed(TASK_TYPES):
+            out = F.when(t.rlike(pattern), name).otherwise(out)
+        return F.when(t == "", "uncategorized").otherwise(out)
+
+    return F.get(F.transform(F.array(singular), named), F.lit(0))  # the text is built once, not once a pattern
 
 
 def slugify(x: Column, other: str = "uncategorized", most: int | None = None) -> Column:

@@ -141,3 +141,48 @@ def render(events: DataFrame, cap: int = RENDER_CAP) -> DataFrame:
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("line").isNotNull(), F.struct("event_index", "line")))), lambda p: p["line"]), "\n")
     none = F.lit("--- EVIDENCE SIGNALS ---\n(none)")
     return lines.groupBy(*EPISODE).agg(body.alias("body")).select(*EPISODE, fit_within_cap(F.col("body"), none, cap).alias("rendered"))
+
+
+def result_text(v: Column) -> Column:
+    """A tool result, parsed as VARIANT, as one lower-case text: a string itself, else its output, errors and contents, else its JSON."""
+
+    def text(path: str) -> Column:
+        return F.when(F.schema_of_variant(F.try_variant_get(v, path, "variant")) == "STRING", F.try_variant_get(v, path, "string"))
+
+    kind = F.schema_of_variant(v)
+    interrupted = F.when(F.try_variant_get(v, "$.interrupted", "boolean"), "interrupted")
+    listed = F.array_join(F.transform(F.try_variant_get(v, "$.content", "array<variant>"), lambda p: F.coalesce(F.try_variant_get(p, "$.text", "string"), F.lit(""))), "\n")
+    whole = F.nullif(F.concat_ws("\n", text("$.stdout"), text("$.stderr"), interrupted, F.coalesce(text("$.content"), F.nullif(listed, F.lit("")))), F.lit(""))
+    return F.lower(F.when(v.isNull(), "").when(kind == "STRING", F.try_variant_get(v, "$", "string")).when(kind.startswith("OBJECT"), F.coalesce(whole, F.to_json(v))).otherwise(""))
+
+
+def opens_pull_request(command: Column) -> Column:
+    return command.rlike(r"(?i)gh\s+pr\s+create")
+
+
+def linked_forks(calls: DataFrame, results: DataFrame, forks: DataFrame) -> DataFrame:
+    """Agent calls with their fork: by the result, else by tool-use id, else by lower-cased description, last written first.
+
+    calls: id, description, subagent_type. results: id, agent_id, agent_type, tool_count, status.
+    forks: agent_id, agent_type, description, tool_use_id, tool_count, outcome, name. A count of 0
+    counts as missing.
+    """
+    def index(key: Column, prefix: str) -> DataFrame:
+        x = forks.withColumn("_k", key).where("_k is not null and _k <> ''")
+        return x.groupBy("_k").agg(*[F.max_by(c, "name").alias(f"{prefix}{c}") for c in ("agent_id", "agent_type", "description", "tool_count", "outcome")]).withColumnRenamed("_k", f"{prefix}key")
+
+    by_id, by_text = index(F.col("tool_use_id"), "i_"), index(F.lower(F.trim("description")), "d_")
+    own = results.select(F.col("id").alias("r_id"), F.col("agent_id").alias("r_agent_id"), F.col("agent_type").alias("r_agent_type"), F.col("tool_count").alias("r_tool_count"), F.col("status").alias("r_status"))
+    x = calls.join(own, F.col("id") == F.col("r_id"), "left").join(by_id, F.col("id") == F.col("i_key"), "left").join(by_text, F.lower(F.trim(calls["description"])) == F.col("d_key"), "left")
+
+    def fork(c: str) -> Column:
+        return F.when(F.col("i_key").isNotNull(), F.col(f"i_{c}")).otherwise(F.col(f"d_{c}"))
+
+    return x.select(
+        "id",
+        F.coalesce("r_agent_id", fork("agent_id"), F.lit("")).alias("agent_id"),
+        F.coalesce("r_agent_type", fork("agent_type"), "subagent_type", F.lit("unknown")).alias("agent_type"),
+        F.coalesce(F.nullif(fork("description"), F.lit("")), calls["description"], F.lit("")).alias("description"),
+        F.coalesce(F.nullif(F.col("r_tool_count"), F.lit(0)), fork("tool_count"), F.lit(0)).cast("bigint").alias("tool_count"),
+        F.coalesce("r_status", fork("outcome"), F.lit("unknown")).alias("outcome"),
+    )

@@ -95,3 +95,27 @@ def self_consistency(stored: DataFrame, again: DataFrame) -> DataFrame:
     both = stored.select("episode_id", "outcome").join(again.select("episode_id", F.col("outcome").alias("_again"), "error"), "episode_id")
     good = F.col("error").isNull()
     return both.agg(F.count_if(good).alias("n_checked"), F.count_if(good & (F.col("outcome") == F.col("_again"))).alias("n_matched"), F.count_if(~good).alias("n_errors"))
+
+
+def reconstructed(episodes: DataFrame, evidence: DataFrame) -> DataFrame:
+    """(episode_id, compact): an episode's view rebuilt from stored columns, its evidence ordered by signal.
+
+    episodes: episode_id, first_prompt, workflow (steps joined by >) and friction (array of texts).
+    """
+    line = F.concat("signal", F.lit(" ("), "direction", "weight", F.lit("): "), F.coalesce("value", F.lit("null")), F.lit(" — "), "reason")
+    listed = evidence.withColumn("_line", line).groupBy("episode_id").agg(F.array_sort(F.collect_list(F.struct("signal", "_line"))).alias("_e"))
+    x = episodes.join(listed, "episode_id", "left")
+    phases = F.when(F.coalesce("workflow", F.lit("")) != "", F.concat(F.lit("OBSERVED WORKFLOW PHASES: "), F.replace("workflow", F.lit(">"), F.lit(" > "))))
+    friction = F.when(F.size("friction") > 0, F.concat(F.lit("FRICTION OBSERVED:\n"), F.array_join(F.transform("friction", lambda f: F.concat(F.lit("  - "), f)), "\n")))
+    signals = F.coalesce(F.array_join(F.transform("_e", lambda e: e["_line"]), "\n"), F.lit("(none)"))
+    note = F.lit("\n(NOTE: compact reconstruction from stored columns — the full transcript was not persisted.)")
+    return x.select("episode_id", F.concat_ws("\n", F.concat(F.lit("USER: "), F.coalesce("first_prompt", F.lit(""))), note, phases, friction, F.lit("\n--- EVIDENCE SIGNALS ---"), signals).alias("compact"))
+
+
+def run_counters(calls: DataFrame) -> DataFrame:
+    """One row of what a run did: all, labelled, skipped by the cache, failed, and dollars spent. calls: cached, ran, failed, cost."""
+    ran = F.col("ran")
+    return calls.agg(
+        F.count(F.lit(1)).alias("n_total"), F.count_if(ran & ~F.col("failed")).alias("n_judged"), F.count_if("cached").alias("n_skipped"),
+        F.count_if(ran & F.col("failed")).alias("n_errors"), F.round(F.coalesce(F.sum(F.when(ran, F.col("cost"))), F.lit(0.0)), 2).alias("spent"),
+    )

@@ -97,3 +97,25 @@ def classify(turns: DataFrame, context: DataFrame) -> DataFrame:
     start = F.struct(F.lit(-1).cast("bigint").alias("last"), F.array().cast(kind).alias("out"))
     out = lists.select("session_id", F.explode(F.aggregate("turns", start, fold)["out"]).alias("o"))
     return out.select("session_id", "o.idx", "o.event_index", "o.role", "o.classified_by")
+
+
+def overridden(roles: DataFrame, overrides: DataFrame) -> DataFrame:
+    """Roles with those of an outside pass put in where it gave one of the three it may give; boundaries are not recomputed."""
+    own = overrides.where(F.col("role").isin("new_task", "continuation", "correction")).select("session_id", "idx", F.col("role").alias("_role"))
+    x = roles.join(own, ["session_id", "idx"], "left")
+    by = F.when(F.col("_role").isNotNull(), "outside").otherwise(F.col("classified_by"))
+    return x.withColumn("classified_by", by).withColumn("role", F.coalesce("_role", "role")).drop("_role")
+
+
+def previous_task(roles: DataFrame) -> DataFrame:
+    """roles with the idx of the nearest earlier new_task of the session."""
+    before = Window.partitionBy("session_id").orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)
+    return roles.withColumn("task_idx", F.last(F.when(F.col("role") == "new_task", F.col("idx")), ignorenulls=True).over(before))
+
+
+def checked_number(value: float, name: str, least: float = 0) -> float:
+    """A numeric option that fails closed: not a number, or under `least`, raises."""
+    number = float(value)
+    if not number >= least or number == float("inf"):
+        raise ValueError(f"{name} must be a number of at least {least}")
+    return number
