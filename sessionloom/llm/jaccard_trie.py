@@ -250,13 +250,14 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (probe, probe_n, m, m_n) that link. One task gets a probe and a block of its partners."""
     pairs = C.written(_prefixes_suffice(pairs, sets, percent), "close")
     blocks = pairs.groupBy("probe").agg(F.ceil(F.sum("m_n") / F.lit(BLOCK)).alias("blocks"))
-    dealt = pairs.join(blocks, "probe").select("probe", "m", F.pmod(F.xxhash64("m"), F.col("blocks")).alias("block"))
+    # Written, so that the planner knows how small it is: few pairs are sent to the sets, not the sets to them.
+    dealt = C.written(pairs.join(blocks, "probe").select("probe", "m", F.pmod(F.xxhash64("m"), F.col("blocks")).alias("block")), "dealt")
     members = (
         dealt.join(sets.select(F.col("doc_key").alias("m"), "grams"), "m")
         .groupBy("probe", "block")
         .agg(F.collect_list(F.struct("m", "grams")).alias("members"))
     )
-    probes = sets.select(F.col("doc_key").alias("probe"), F.col("grams").alias("probe_grams"))
+    probes = sets.select(F.col("doc_key").alias("probe"), F.col("grams").alias("probe_grams")).join(dealt.select("probe"), "probe", "left_semi")
     return members.join(probes, "probe").select("probe", "probe_grams", "members").mapInArrow(verified(percent), "a long, b long")
 
 
