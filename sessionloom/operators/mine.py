@@ -101,18 +101,24 @@ def intervention(rows: DataFrame) -> DataFrame:
     return out.select("cluster_id", "votes", F.when(thin, "none").otherwise(F.col("best")).alias("intervention"))
 
 
-def _flags(blob: Column) -> list[Column]:
+def _flags(blob: Column) -> list[tuple[str, Column]]:
     named = [(p, f"destructive: {n}") for p, n in DESTRUCTIVE] + [(p, f"sensitive: {n}") for p, n in SENSITIVE]
-    return [F.when(blob.rlike(p), F.lit(n)) for p, n in named]
+    return [(n, blob.rlike(p)) for p, n in named]
 
 
 def risk_flags(rows: DataFrame) -> DataFrame:
-    """Ordered risk labels of each cluster, from its prompts and tool sequences joined in order, and its edit share."""
+    """Ordered risk labels of each cluster, from its prompts and tool sequences in order, and its edit share.
+
+    A pattern may run over a line's end into the next rows of its cluster, so a row is read
+    together with the two behind it; the cluster's text is never put together in one place.
+    """
     part = F.concat_ws("\n", F.nullif("first_prompt", F.lit("")), F.nullif("tool_sequence", F.lit("")))
-    blob = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", part.alias("part")))), lambda p: p["part"]), "\n")
-    out = rows.groupBy("cluster_id").agg(blob.alias("blob"), F.sum("n_files_edited").alias("edited"), F.sum("n_files_read").alias("read"))
+    behind = Window.partitionBy("cluster_id").orderBy("ord")
+    x = rows.withColumn("_part", part).withColumn("_near", F.concat_ws("\n", "_part", F.lead("_part", 1).over(behind), F.lead("_part", 2).over(behind)))
+    names = _flags(F.col("_near"))
+    out = x.groupBy("cluster_id").agg(*[F.bool_or(c).alias(f"_f{i}") for i, (_, c) in enumerate(names)], F.sum("n_files_edited").alias("edited"), F.sum("n_files_read").alias("read"))
     heavy = F.when((F.col("edited") >= 5) & (F.col("edited") > 2 * F.coalesce("read", F.lit(0))), "write-heavy (edits >> reads)")
-    return out.select("cluster_id", F.array_join(F.array_compact(F.array(*_flags(F.col("blob")), heavy)), "; ").alias("risk_flags"))
+    return out.select("cluster_id", F.array_join(F.array_compact(F.array(*[F.when(F.col(f"_f{i}"), F.lit(n)) for i, (n, _) in enumerate(names)], heavy)), "; ").alias("risk_flags"))
 
 
 def panel_medians(rows: DataFrame) -> DataFrame:
@@ -160,7 +166,13 @@ def tally(items: DataFrame, keys: list[str], most: int = 12, examples: int = 3)
 
     items: keys, text, example, ord.
     """
-    seen = F.slice(F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("ord", "example"))), lambda s: s["example"])), 1, examples)
-    by = items.groupBy(*keys, F.lower("text").alias("item")).agg(F.count(F.lit(1)).alias("n"), F.min_by("text", "ord").alias("text"), F.array_join(seen, "|").alias("examples"))
+    items = items.withColumn("item", F.lower("text"))
+    by = items.groupBy(*keys, "item").agg(F.count(F.lit(1)).alias("n"), F.min_by("text", "ord").alias("text"))
     place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("n"), "item"))
-    return by.withColumn("place", place.cast("bigint")).where(F.col("place") <= most)
+    top = by.withColumn("place", place.cast("bigint")).where(F.col("place") <= most)
+    # Examples of the top items only: the first of each, then the first few - both prune before the exchange.
+    own = items.join(top.select(*keys, "item"), [*keys, "item"], "left_semi").groupBy(*keys, "item", "example").agg(F.min("ord").alias("ord"))
+    nth = F.row_number().over(Window.partitionBy(*keys, "item").orderBy("ord"))
+    own = own.withColumn("_nth", nth).where(F.col("_nth") <= examples)
+    listed = own.groupBy(*keys, "item").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "example"))), lambda s: s["example"]), "|").alias("examples"))
+    return top.join(listed, [*keys, "item"], "left")
