@@ -28,7 +28,7 @@ from .components import components
 #: Bound of the list of frequent n-grams that is broadcast (8 bytes each), and of each task's counters:
 #: kept, and held between two prunings.
 FREQUENT = 1 << 20
-COUNTERS, HELD = 1 << 18, 1 << 21
+COUNTERS, HELD = 1 << 18, 1 << 20
 #: N-grams that one verification block holds, about.
 BLOCK = 1 << 18
 HUB_ROUNDS = 3
