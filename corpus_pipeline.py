@@ -19,26 +19,31 @@ def _sized(docs: DataFrame) -> DataFrame:
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go."""
+    common.ship(spark)
     return quality.quality_filtered(docs)
 
 
 def near_copies_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by Jaccard similarity of 0.8 of five-word shingles one stays."""
+    common.ship(spark)
     return jaccard_trie.near_copies_removed(docs, width=5, percent=80)
 
 
 def repeats_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words under a 20-word window that starts earlier elsewhere go."""
+    common.ship(spark)
     return _sized(recompression.dedup_substrings(docs, with_text=True).select(*docs.columns))
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data is replaced by its kind in brackets."""
+    common.ship(spark)
     return _sized(pii.redacted(docs))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Where each piece of each document goes in sequences of several lengths."""
+    common.ship(spark)
     return packing.pack(docs)
 
 

@@ -4,8 +4,12 @@ from __future__ import annotations
 
 import atexit
 import gc
+import os
+import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +23,7 @@ NULL_ID = -(2**63)
 CHUNK_BYTES = 2_000_000
 
 _made: list[tuple[SparkSession, str]] = []
+_shipped: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -30,6 +35,21 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors once a context, so that their Python workers can import it wherever they run."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    package = Path(__file__).resolve().parents[1]
+    handle, name = tempfile.mkstemp(prefix=f"{package.name}-", suffix=".zip")
+    with os.fdopen(handle, "wb") as out, zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for path in sorted(package.rglob("*.py")):
+            z.write(path, path.relative_to(package.parent))
+    context.addPyFile(name)
+    atexit.register(Path(name).unlink, missing_ok=True)  # the driver serves it as long as it runs
+    _shipped.add(context.applicationId)
+
+
 def new_path(spark: SparkSession, label: str) -> str:
     """A fresh path below the shared folder; removed when the program ends."""
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"

@@ -8,13 +8,14 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, jaccard_trie, langid, merge_dropout, packing, pii, quality, recompression, urlfilter, warc
+from . import ann, common, jaccard_trie, langid, merge_dropout, packing, pii, quality, recompression, urlfilter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    common.ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
