@@ -59,6 +59,19 @@ def new_path(spark: SparkSession, label: str) -> str:
     return path
 
 
+def made_so_far() -> int:
+    """A mark for drop_since()."""
+    return len(_made)
+
+
+def drop_since(mark: int, keep: list[DataFrame]) -> None:
+    """Delete the tables written since the mark, but those that `keep` still reads."""
+    read = {f.rsplit("/", 2)[-2] for df in keep for f in df.inputFiles()}
+    for spark, path in [x for x in _made[mark:] if x[1].rsplit("/", 1)[-1] not in read]:
+        drop_path(spark, path)
+        _made.remove((spark, path))
+
+
 def _clean() -> None:
     for spark, path in _made:
         try:

@@ -298,7 +298,7 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85) -> Da
     reachable. A null doc_id counts as the smallest id of all and is returned as null; repeated
     rows are all returned and, sharing an id, share their class; other columns are ignored.
     """
-    texts = C.doc_frame(docs)
+    texts, mark = C.doc_frame(docs), C.made_so_far()
     order = Order(frequent_grams(texts, width))
     heads = C.written(texts.mapInArrow(prefixes(width, percent, order), "doc_key long, n long, set_a long, set_b long, prefix array<long>"), "prefixes")
     alike = ["n", "set_a", "set_b"]
@@ -334,6 +334,7 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85) -> Da
         links = new if links is None else links.union(new)
         labels = components(links).select(F.col("node").alias("cls"), "component")
         rows = rows.drop("comp").join(labels, "cls", "left").select("gram", "cls", "at", "n", F.coalesce("component", "cls").alias("comp"))
+    C.drop_since(mark, [of] if labels is None else [of, labels])
     comps = of.withColumn("component", F.lit(None).cast("long")) if labels is None else of.join(labels, "cls", "left")
     comps = comps.select("doc_key", F.col("n").alias("n_shingles"), F.coalesce("component", "cls").alias("component"))
     return comps.select(C.un_ided("doc_key").alias("doc_id"), "n_shingles", C.un_ided("component").alias("component_id"))
