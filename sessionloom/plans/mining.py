@@ -23,7 +23,7 @@ RATE = "CASE WHEN n_judged > 0 THEN n_success / n_judged ELSE 0 END"
 @query
 def task_normalize(spark: SparkSession, sf: str) -> DataFrame:
     names = D.table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.col("p_type").alias("raw"))
-    words = D.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.left(T.js_trim(F.coalesce("text", F.lit(""))), F.lit(60)).alias("raw"))
+    words = D.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), T.js_trim(F.coalesce("text", F.lit(""))).alias("raw"))
     label = T.normalize_task_type(F.col("raw"))
     return names.union(words).select("id", "raw", label.alias("label"), T.slugify(label).alias("slug"))
 
