@@ -6,17 +6,16 @@ of rejected URLs (Witten-Bell smoothing: each order falls back to the next short
 A URL that no rule fits is judged by the difference of the two models' log-likelihoods per
 character, calibrated on held-out examples by logistic regression on that difference.
 
-The models are fitted on at most SAMPLE examples of each verdict - those of smallest hash of
-their url - so their size is bounded whatever the table; every URL is judged.
+The models rest on the counts of (context, next character) of all ruled URLs, each distinct
+one once, which Spark adds up. At most about SAMPLE examples of each verdict, chosen by hash, calibrate.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter, defaultdict
 from collections.abc import Iterator
-from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,49 +24,106 @@ from . import common as C
 
 #: Rules as (verdict, host, path); the longest fitting one wins.
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
-#: Most examples of one verdict that a model is fitted on.
+#: About so many examples of one verdict, at most, calibrate; the models count all.
 SAMPLE = 20_000
-#: Most characters of these examples in all; those beyond it teach nothing.
-SAMPLE_CHARS = 4_000_000
 ORDER = 5
 START = "\x02"
+#: Bits of a character's code, and characters that are looked up at a time.
+BITS = np.int64(21)
+STEP = 1 << 17
+
+
+def windows(texts: list[str], order: int = ORDER) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(codes, text of each row): for each character the `order` ones before it and itself, STEP rows at most at a time."""
+    codes, owner, held = [], [], 0
+
+    def joined() -> tuple[np.ndarray, np.ndarray]:
+        return np.concatenate(codes), np.concatenate(owner)
+
+    for k, t in enumerate(texts):
+        padded = np.frombuffer((START * order + t).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        for a in range(0, len(t), STEP):
+            part = np.lib.stride_tricks.sliding_window_view(padded[a : a + STEP + order], order + 1)
+            if held and held + len(part) > STEP:
+                yield joined()
+                codes, owner, held = [], [], 0
+            codes.append(part)
+            owner.append(np.full(len(part), k))
+            held += len(part)
+    if held:
+        yield joined()
+
+
+def packed(codes: np.ndarray) -> pa.Table:
+    """Windows of ORDER + 1 characters as two longs."""
+    a, b = (codes[:, k] << 2 * BITS | codes[:, k + 1] << BITS | codes[:, k + 2] for k in (0, 3))
+    return pa.table({"hi": a, "lo": b})
+
+
+def unpacked(hi: np.ndarray, lo: np.ndarray) -> np.ndarray:
+    return np.stack([x >> s & ((1 << 21) - 1) for x in (hi, lo) for s in (42, 21, 0)], axis=1)
+
+
+def _at(keys: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(where each key is, whether it is there at all)."""
+    if not len(keys):
+        return np.zeros(len(key), np.int64), np.zeros(len(key), bool)
+    at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+    return at, keys[at] == key
 
 
 class MarkovModel:
-    """Characters given up to ORDER characters before them, smoothed by Witten-Bell."""
+    """Characters given up to ORDER characters before them, smoothed by Witten-Bell.
+
+    Contexts are nodes of a trie read backwards from the character; a node's number is its
+    place in the sorted edges (parent, character) plus one, the root's is 0.
+    """
 
     def __init__(self, texts: list[str], order: int = ORDER):
-        self.order = order
-        self.counts: dict[str, Counter] = defaultdict(Counter)
-        for t in texts:
-            padded = START * order + t
-            for i in range(order, len(padded)):
-                for k in range(order + 1):
-                    self.counts[padded[i - k : i]][padded[i]] += 1
-        self.totals = {c: (sum(n.values()), len(n)) for c, n in self.counts.items()}
+        parts = [x for x, _ in windows(texts, order)]
+        codes = np.concatenate(parts) if parts else np.zeros((0, order + 1), np.int64)
+        self._build(codes, np.ones(len(codes), np.int64))
 
-    def probability(self, context: str, char: str) -> float:
-        p = 1 / 4096
-        for k in range(len(context) + 1):
-            total, kinds = self.totals.get(context[len(context) - k :], (0, 0))
-            if not total:
-                break
-            p = (self.counts[context[len(context) - k :]][char] + kinds * p) / (total + kinds)
+    @classmethod
+    def counted(cls, codes: np.ndarray, n: np.ndarray) -> MarkovModel:
+        """From windows and how often each occurs."""
+        model = cls.__new__(cls)
+        model._build(codes[n > 0], n[n > 0])
+        return model
+
+    def _build(self, codes: np.ndarray, n: np.ndarray) -> None:
+        self.order = codes.shape[1] - 1
+        node, made = np.zeros(len(codes), np.int64), 1
+        edges, follow, times = [], [], []
+        for k in range(self.order + 1):
+            if k:
+                keys, inverse = np.unique(node << BITS | codes[:, self.order - k], return_inverse=True)
+                node, made = made + inverse, made + len(keys)
+                edges.append(keys)
+            keys, inverse = np.unique(node << BITS | codes[:, self.order], return_inverse=True)
+            follow.append(keys)
+            times.append(np.bincount(inverse, n, len(keys)))
+        self.edges = np.concatenate([*edges, np.zeros(0, np.int64)])
+        self.follow, self.times = np.concatenate(follow), np.concatenate(times)
+        self.total = np.bincount(self.follow >> BITS, self.times, made)
+        self.kinds = np.bincount(self.follow >> BITS, minlength=made)
+
+    def probabilities(self, codes: np.ndarray) -> np.ndarray:
+        """Of the last character of each window, given those before it."""
+        p, node, order = np.full(len(codes), 1 / 4096), np.zeros(len(codes), np.int64), codes.shape[1] - 1
+        live = np.arange(len(codes)) if self.total[0] else np.zeros(0, np.int64)
+        for k in range(order + 1):
+            if k:
+                at, there = _at(self.edges, node[live] << BITS | codes[live, order - k])
+                live = live[there]
+                node[live] = at[there] + 1
+            own = node[live]
+            at, there = _at(self.follow, own << BITS | codes[live, order])
+            p[live] = (np.where(there, self.times[at], 0) + self.kinds[own] * p[live]) / (self.total[own] + self.kinds[own])
         return p
 
-    def log_likelihood(self, text: str, memo: dict[tuple[str, str], float] | None = None) -> float:
-        padded, total = START * self.order + text, 0.0
-        for i in range(self.order, len(padded)):
-            key = padded[i - self.order : i], padded[i]
-            if memo is None:
-                total += math.log(self.probability(*key))
-                continue
-            if key not in memo:
-                if len(memo) > 1 << 20:
-                    memo.clear()
-                memo[key] = math.log(self.probability(*key))
-            total += memo[key]
-        return total
+    def probability(self, context: str, char: str) -> float:
+        return float(self.probabilities(np.array([[ord(c) for c in context + char]], np.int64))[0])
 
 
 class RatioFilter:
@@ -82,33 +138,52 @@ class RatioFilter:
         self.accepted, self.rejected = MarkovModel(fit_a), MarkovModel(fit_r)
         self.slope, self.shift = 1.0, 0.0
         if self.known:
-            self._calibrate([(self.ratio(t), 0.0) for t in test_a], [(self.ratio(t), 1.0) for t in test_r])
+            self.calibrate(self.ratios(test_a), self.ratios(test_r))
+
+    @classmethod
+    def counted(cls, codes: np.ndarray, allowed: np.ndarray, blocked: np.ndarray) -> RatioFilter:
+        """From windows and how often each occurs in URLs of either verdict; not calibrated."""
+        model = cls.__new__(cls)
+        model.accepted, model.rejected = MarkovModel.counted(codes, allowed), MarkovModel.counted(codes, blocked)
+        model.known = bool(model.accepted.total[0]) and bool(model.rejected.total[0])
+        model.slope, model.shift = 1.0, 0.0
+        return model
 
-    def ratio(self, text: str, memos: tuple[dict, dict] | None = None) -> float:
-        a, r = memos or (None, None)
-        return (self.rejected.log_likelihood(text, r) - self.accepted.log_likelihood(text, a)) / max(len(text), 1)
+    def ratios(self, texts: list[str]) -> np.ndarray:
+        """Difference of the models' log-likelihoods per character."""
+        out = np.zeros(len(texts))
+        for codes, owner in windows(texts):
+            gain = np.log(self.rejected.probabilities(codes)) - np.log(self.accepted.probabilities(codes))
+            out += np.bincount(owner, gain, len(texts))
+        return out / np.array([max(len(t), 1) for t in texts])
 
-    def _calibrate(self, no: list, yes: list) -> None:
+    def ratio(self, text: str) -> float:
+        return float(self.ratios([text])[0])
+
+    def calibrate(self, no: np.ndarray, yes: np.ndarray) -> None:
         """Logistic regression of the verdict on the ratio, both verdicts weighing the same."""
-        rows = [(x, y, 0.5 / len(no)) for x, y in no] + [(x, y, 0.5 / len(yes)) for x, y in yes]
+        x = np.concatenate((no, yes))
+        y = np.repeat((0.0, 1.0), (len(no), len(yes)))
+        n = np.repeat((0.5 / len(no), 0.5 / len(yes)), (len(no), len(yes)))
         w, b = 1.0, 0.0
         for _ in range(50):
-            gw, gb, hww, hwb, hbb = -1e-3 * w, 0.0, 1e-3, 0.0, 1e-6
-            for x, y, n in rows:
-                p = 1 / (1 + math.exp(-max(-30.0, min(30.0, w * x + b))))
-                v = n * max(p * (1 - p), 1e-6)
-                gw, gb = gw + n * (y - p) * x, gb + n * (y - p)
-                hww, hwb, hbb = hww + v * x * x, hwb + v * x, hbb + v
+            p = 1 / (1 + np.exp(-np.clip(w * x + b, -30, 30)))
+            v = n * np.maximum(p * (1 - p), 1e-6)
+            gw, gb = -1e-3 * w + float(np.sum(n * (y - p) * x)), float(np.sum(n * (y - p)))
+            hww, hwb, hbb = 1e-3 + float(np.sum(v * x * x)), float(np.sum(v * x)), 1e-6 + float(np.sum(v))
             det = hww * hbb - hwb * hwb
             if abs(det) < 1e-12:
                 break
             w, b = w + max(-5.0, min(5.0, (hbb * gw - hwb * gb) / det)), b + max(-5.0, min(5.0, (hww * gb - hwb * gw) / det))
         self.slope, self.shift = w, b
 
-    def score(self, text: str, memos: tuple[dict, dict] | None = None) -> float:
+    def scores(self, texts: list[str]) -> np.ndarray:
         if not self.known:
-            return 0.0
-        return 1 / (1 + math.exp(-max(-30.0, min(30.0, self.slope * self.ratio(text, memos) + self.shift))))
+            return np.zeros(len(texts))
+        return 1 / (1 + np.exp(-np.clip(self.slope * self.ratios(texts) + self.shift, -30, 30)))
+
+    def score(self, text: str) -> float:
+        return float(self.scores([text])[0])
 
 
 def parts(url: Column) -> tuple[Column, Column]:
@@ -127,16 +202,65 @@ def fitting_rule(rules=RULES) -> tuple[Column, Column]:
     return rule, verdict
 
 
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(verdict, held, url) -> (hi, lo, and how often the window occurs by verdict and held)."""
+    for batch in batches:
+        column, urls = np.array([2 * b + h for b, h in zip(batch.column("blocked").to_pylist(), batch.column("held").to_pylist(), strict=True)]), batch.column("url").to_pylist()
+        for codes, owner in windows(urls):
+            t = packed(codes)
+            for k in range(4):
+                t = t.append_column(COUNTS[k], pa.array((column[owner] == k).astype(np.int64)))
+            t = t.group_by(["hi", "lo"], use_threads=False).aggregate([(c, "sum") for c in COUNTS])
+            yield from t.select(["hi", "lo", *[f"{c}_sum" for c in COUNTS]]).rename_columns(["hi", "lo", *COUNTS]).combine_chunks().to_batches()
+
+
+#: By 2 x blocked + held.
+COUNTS = ("allow", "allow_held", "block", "block_held")
+
+
+def _ratios(model: RatioFilter):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("blocked"), pa.array(model.ratios(batch.column("url").to_pylist()))], ["blocked", "ratio"])
+
+    return run
+
+
 def _judge(model: RatioFilter):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memos: tuple[dict, dict] = ({}, {})
         for batch in batches:
-            scores = [None if t is None else model.score(t, memos) for t in batch.column("unruled").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in batch.schema.names if c != "unruled"], pa.array(scores, pa.float64())], [*[c for c in batch.schema.names if c != "unruled"], "block_probability"])
+            urls = batch.column("unruled").to_pylist()
+            asked = [i for i, t in enumerate(urls) if t is not None]
+            scores = np.full(len(urls), np.nan)
+            scores[asked] = model.scores([urls[i] for i in asked])
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in batch.schema.names if c != "unruled"], pa.array(scores, pa.float64(), mask=np.isnan(scores))], [*[c for c in batch.schema.names if c != "unruled"], "block_probability"])
 
     return run
 
 
+def fitted(ruled: DataFrame, sample: int) -> RatioFilter:
+    """The filter learned from all of (url, ruled); one URL of five of each verdict, or fewer, is held out to calibrate."""
+    urls = ruled.select("url", (F.col("ruled") == "block").cast("int").alias("blocked")).distinct()
+    sizes = {r["blocked"]: r["count"] for r in urls.groupBy("blocked").count().collect()}
+    if len(sizes) < 2:
+        return RatioFilter([], [])
+    one_of = {b: 5 * max(1, -(-n // (5 * max(sample, 1)))) for b, n in sizes.items()}
+    every = F.when(F.col("blocked") == 1, F.lit(one_of[1])).otherwise(F.lit(one_of[0]))
+    urls = urls.withColumn("held", (F.pmod(F.xxhash64("url"), every) == 0).cast("int"))
+    t = urls.mapInArrow(_count, f"hi long, lo long, {', '.join(f'{c} long' for c in COUNTS)}").groupBy("hi", "lo").agg(*[F.sum(c).alias(c) for c in COUNTS]).toArrow()
+    hi, lo, allow, allow_held, block, block_held = (c.to_numpy() for c in t.columns)
+    codes = unpacked(hi, lo)
+    # Where either part of a verdict is empty, all its URLs both teach and calibrate.
+    split = {b: bool(n.any() and m.any()) for b, n, m in ((0, allow, allow_held), (1, block, block_held))}
+    taught = RatioFilter.counted(codes, allow if split[0] else allow + allow_held, block if split[1] else block + block_held)
+    held = urls.where((F.col("held") == 1) | F.when(F.col("blocked") == 1, F.lit(not split[1])).otherwise(F.lit(not split[0])))
+    found = held.select("url", "blocked").mapInArrow(_ratios(taught), "blocked int, ratio double").toArrow()
+    model = RatioFilter.counted(codes, allow + allow_held, block + block_held)
+    side, ratio = found.column("blocked").to_numpy(), found.column("ratio").to_numpy()
+    model.calibrate(np.sort(ratio[side == 0]), np.sort(ratio[side == 1]))
+    return model
+
+
 def judge_urls(pages: DataFrame, rules=RULES, sample: int = SAMPLE) -> DataFrame:
     """(page_id, host, path, rule, verdict, block_probability) of every row.
 
@@ -149,12 +273,7 @@ def judge_urls(pages: DataFrame, rules=RULES, sample: int = SAMPLE) -> DataFrame
     x = pages.select("page_id", "url").select("page_id", "url", host.alias("host"), path.alias("path"))
     rule, verdict = fitting_rule(rules)
     x = x.select("page_id", "url", "host", "path", rule.alias("rule"), verdict.alias("ruled"))
-    examples = {}
-    for action in ("allow", "block"):
-        rows = x.where(F.col("ruled") == action).select("url").distinct().orderBy(F.xxhash64("url"), "url").limit(sample).collect()
-        ends = accumulate(len(r["url"]) for r in rows)
-        examples[action] = [r["url"] for r, end in zip(rows, ends, strict=True) if end <= SAMPLE_CHARS]
-    model = RatioFilter(examples["allow"], examples["block"])
+    model = fitted(x.where(F.col("ruled").isNotNull()), sample)
     asked = x.select("page_id", "host", "path", "rule", "ruled", F.when(F.col("ruled").isNull(), F.col("url")).alias("unruled"))
     kind = asked.schema["page_id"].dataType.simpleString()
     out = asked.mapInArrow(_judge(model), f"page_id {kind}, host string, path string, rule string, ruled string, block_probability double")

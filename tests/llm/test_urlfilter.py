@@ -54,3 +54,38 @@ def test_probabilities_sum_to_one():
 
 def test_empty(spark):
     assert U.judge_urls(spark.createDataFrame([], "page_id long, url string")).count() == 0
+
+
+def test_all_ruled_urls_are_counted(spark):
+    # A pattern of few URLs among many, and a very long example, with a sample much smaller than the table.
+    common = [(f"http://a.net/{i}", "block") for i in range(300)] + [(f"http://b.org/fr/{i}", "allow") for i in range(300)]
+    rare = [("http://zq.net/kvx" + "kvx" * k, "block") for k in range(1, 4)]
+    long = [("http://l.net/" + "y" * 4_100_000, "block")]
+    rows = common + rare + long
+    model = U.fitted(spark.createDataFrame([*rows, rows[0]], "url string, ruled string").repartition(3), 5)
+    for own, verdict in ((model.accepted, "allow"), (model.rejected, "block")):
+        assert own.total[0] == sum(len(u) for u, v in rows if v == verdict)
+    whole = U.MarkovModel([u for u, v in rows if v == "block"])
+    for context, char in (("\x02\x02\x02\x02\x02", "h"), ("/zq.n", "e"), ("kvxkv", "x"), ("qqqqq", "k"), ("p://a", ".")):
+        assert abs(model.rejected.probability(context, char) - whole.probability(context, char)) < 1e-12
+    assert model.known and model.score("http://zq.com/kvxkvxkvx") > 0.5 > model.score("http://b.com/fr/77")
+
+
+def test_windows_equal_counting_by_hand():
+    r = random.Random(3)
+    texts = ["".join(r.choice("ab/é😀") for _ in range(r.randrange(30))) for _ in range(40)]
+    m = U.MarkovModel(texts, 3)
+
+    def brute(context, char):
+        p = 1 / 4096
+        for k in range(len(context) + 1):
+            end = context[len(context) - k :]
+            after = [t[i] for t in ("\x02" * 3 + t for t in texts) for i in range(3, len(t)) if t[i - k : i] == end]
+            if not after:
+                break
+            p = (after.count(char) + len(set(after)) * p) / (len(after) + len(set(after)))
+        return p
+
+    for _ in range(200):
+        context, char = "".join(r.choice("ab/é😀\x02") for _ in range(3)), r.choice("ab/é😀?")
+        assert abs(m.probability(context, char) - brute(context, char)) < 1e-12
