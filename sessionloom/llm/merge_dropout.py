@@ -3,12 +3,14 @@
 A chunk - a run of word-start marks and what follows - begins as characters. The agenda
 holds its adjacent pairs whose joint text is a piece; the best pair (earliest piece, then
 leftmost) merges and brings in its new neighbours. A candidate is skipped for good if the
-keyed hash of (seed, variant of the document, chunk, place of the pair) falls under the
-dropout. So a seed fixes every segmentation, seeds and variants differ, rate 0 is the
-tokenizer's own encoding, and decoding always gives back the text.
-
-Chunks repeat, so each distinct (variant, chunk) of a run of documents is merged once, all of
-them together in arrays; long chunks go through a heap.
+keyed hash of (seed, document, place of the chunk in it, place of the pair) falls under the
+dropout. So a seed fixes every segmentation, seeds, documents and the occurrences of a word
+in a document differ, rate 0 is the tokenizer's own encoding, and decoding always gives back
+the text.
+
+What a chunk merges to depends on which of the candidates that can arise in it are dropped.
+Occurrences of a frequent chunk that drop the same ones are merged once a run of documents,
+the others each on its own, all in arrays; long chunks go through a heap.
 """
 
 from __future__ import annotations
@@ -29,8 +31,14 @@ from . import common as C
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-#: Documents fall into so many variants, each with its own dropout.
+#: The column `variant` names one of so many classes of documents; segmentations do not depend on it.
 VARIANTS = 4
+#: Candidates of a chunk whose drops are told apart by one integer.
+BITS = 62
+#: From so many occurrences in a run of documents on, those that drop the same are looked for; results do not depend on it.
+OFTEN = 32
+#: Distinct chunks whose candidates a worker remembers.
+KNOWN = 200_000
 #: Chunks of more characters are merged on a heap.
 WIDE = 48
 NONE = np.int32(2**31 - 1)
@@ -83,21 +91,51 @@ class Vocabulary:
         return rank, joint
 
 
-def place_key(chunk: np.ndarray, start, split, end) -> np.ndarray:
-    """Hash of a candidate: its chunk's key and where its halves begin, meet and end."""
+def place_key(chunk: np.ndarray, start, split, end, whole: bool = True) -> np.ndarray:
+    """Hash of a candidate: its chunk's key and where its halves begin, meet and end; not whole: the part without the key."""
     with np.errstate(over="ignore"):
         at = np.asarray(start, np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.asarray(split, np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F) + np.asarray(end, np.uint64) * np.uint64(0x165667B19E3779F9)
-        return C.mix(chunk ^ C.mix(at))
+        return C.mix(chunk ^ C.mix(at)) if whole else C.mix(at)
 
 
-def chunk_key(text: str, seed: int, variant: int) -> int:
-    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8, key=f"{seed}:{variant}".encode()).digest(), "little")
+def occurrence_keys(seed: int, documents: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """A key of each chunk: by seed, document and place among the document's chunks."""
+    start = int.from_bytes(hashlib.blake2b(str(seed).encode(), digest_size=8).digest(), "little")
+    place = np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
+    with np.errstate(over="ignore"):
+        own = C.mix(np.asarray(documents, np.int64).astype(np.uint64) ^ np.uint64(start))
+        return C.mix(np.repeat(own, counts) + (place.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
 
 
 def limit_of(rate: float) -> int:
     return min(int(rate * 2**64), 2**64 - 1)
 
 
+def place_codes(v: Vocabulary, text: str) -> np.ndarray:
+    """What place_key() mixes into a chunk's key, for every candidate that can arise in it under any drops."""
+    n = len(text)
+    sym = [v.symbol.get(c) for c in text]
+    # Spans that a symbol can cover, by their end: (start, symbol).
+    ending: list[list[tuple[int, int]]] = [[] for _ in range(n + 1)]
+    found: list[tuple[int, int, int]] = []
+    for e in range(1, n + 1):
+        if sym[e - 1] is None:
+            continue
+        own = {e - 1: sym[e - 1]}
+        for m in range(e - 1, 0, -1):
+            right = own.get(m)
+            if right is None:
+                continue
+            for a, left in ending[m]:
+                hit = v.by_pair.get(left << 32 | right)
+                if hit:
+                    found.append((a, m, e))
+                    own[a] = hit[1]
+        ending[e] = list(own.items())
+    at = np.array(found, np.uint64).reshape(-1, 3)
+    return place_key(np.uint64(0), at[:, 0], at[:, 1], at[:, 2], False)
+
+
 def merge_one(v: Vocabulary, text: str, key: int, rate: float) -> list[int]:
     """Symbols of one chunk by agenda on a heap; a character that is no piece is -1 - its code."""
     sym = [v.symbol.get(c, -1 - ord(c)) for c in text]
@@ -135,8 +173,10 @@ def merge_many(v: Vocabulary, chunks: list[str], keys: np.ndarray, rate: float)
     lens = np.array([len(c) for c in chunks])
     n, width = len(chunks), int(lens.max())
     codes = np.frombuffer("".join(chunks).encode("utf-32-le", "surrogatepass"), np.uint32)
-    kinds, inverse = np.unique(codes, return_inverse=True)
-    flat = np.array([v.symbol.get(chr(c), -1 - int(c)) for c in kinds], np.int32)[inverse]
+    kinds = np.flatnonzero(np.bincount(codes))
+    of_code = np.zeros(int(kinds[-1]) + 1, np.int32)
+    of_code[kinds] = [v.symbol.get(chr(c), -1 - int(c)) for c in kinds]
+    flat = of_code[codes]
     sym = np.full((n, width + 1), -(2**31) + 1, np.int32)
     sym[np.arange(width + 1)[None, :] < lens[:, None]] = flat
     pos = np.tile(np.arange(width + 2, dtype=np.int32), (n, 1))  # where each symbol begins; the next one tells where it ends
@@ -189,6 +229,7 @@ class Encoder:
 
     def __init__(self, path: str = VOCABULARY, seed: int = 0, rate: float = 0.1, wide: int = WIDE):
         self.v, self.seed, self.rate, self.wide = Vocabulary(path), seed, rate, wide
+        self.codes: dict[str, np.ndarray] = {}
 
     def _ids(self, symbols: np.ndarray | list[int]) -> list[int]:
         out: list[int] = []
@@ -199,19 +240,69 @@ class Encoder:
                 out += [self.v.byte_ids[b] for b in chr(-1 - int(s)).encode("utf-8", "surrogatepass")]
         return out
 
-    def encode_batch(self, texts: list[str], variants: list[int]) -> list[np.ndarray]:
-        """Ids of each text."""
+    def drops(self, words: np.ndarray, word: np.ndarray, keys: np.ndarray) -> np.ndarray:
+        """Of each occurrence of words: the set of dropped candidates as an integer, or -1 where it is not told.
+
+        Words that are longer than `wide` or rarer than OFTEN are not told; of more than BITS candidates only the empty set (0) is.
+        """
+        out = np.zeros(len(word), np.int64)
+        if not self.rate:
+            return out
+        if len(self.codes) > KNOWN:
+            self.codes.clear()
+        own = []
+        for w, often in zip(words, np.bincount(word, minlength=len(words)) >= OFTEN, strict=True):
+            if not often or len(w) > self.wide:
+                own.append(None)
+                continue
+            c = self.codes.get(w)
+            if c is None:
+                c = self.codes[w] = place_codes(self.v, w)
+            own.append(c)
+        size = np.array([-1 if c is None else len(c) for c in own])
+        first = np.cumsum(np.maximum(size, 0)) - np.maximum(size, 0)
+        pool = np.concatenate([np.zeros(0, np.uint64), *[c for c in own if c is not None]])
+        limit = np.uint64(limit_of(self.rate))
+        out[size[word] < 0] = -1
+        for a in range(0, len(word), 1 << 17):
+            part = word[a : a + (1 << 17)]
+            order = np.argsort(-size[part], kind="stable")
+            n, at, key = size[part][order], first[part][order], keys[a : a + (1 << 17)][order]
+            got = np.zeros(len(part), np.int64)
+            many = int(np.searchsorted(-n, -BITS))  # those before it have more than BITS
+            for k in range(int(n[0]) if len(n) else 0):
+                live = int(np.searchsorted(-n, -k))  # more than k candidates
+                lost = C.mix(key[:live] ^ pool[at[:live] + k]) < limit
+                cut = min(many, live)
+                got[:cut][lost[:cut]] = -1
+                if k < BITS:
+                    got[cut:live] |= lost[cut:].astype(np.int64) << k
+            told = n >= 0
+            out[a + order[told]] = got[told]
+        return out
+
+    def encode_batch(self, texts: list[str], documents: list[int]) -> list[np.ndarray]:
+        """Ids of each text; documents: the key of each one's document."""
         split = [CHUNK.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
         counts = np.array([len(s) for s in split], np.int64)
         flat = [c for s in split for c in s]
         if not flat:
             return [np.zeros(0, np.int32) for _ in texts]
         word, words = pd.factorize(np.array(flat, object))
-        both, of = np.unique(word * VARIANTS + np.repeat(np.array(variants, np.int64), counts), return_inverse=True)
-        chunks = [words[b] for b in both // VARIANTS]
-        keys = self._keys(words, both)
+        every = occurrence_keys(self.seed, np.array(documents, np.int64), counts)
+        dropped = self.drops(words, word, every)
+        # Occurrences with the same drops stand for each other.
+        alone = np.flatnonzero(dropped < 0)
+        told = np.flatnonzero(dropped >= 0)
+        by = told[np.lexsort((dropped[told], word[told]))]
+        new = np.ones(len(by), bool)
+        new[1:] = (word[by[1:]] != word[by[:-1]]) | (dropped[by[1:]] != dropped[by[:-1]])
+        some = np.concatenate((by[new], alone))
+        of = np.empty(len(word), np.int64)
+        of[by], of[alone] = np.cumsum(new) - 1, int(new.sum()) + np.arange(len(alone))
+        chunks, keys = [flat[i] for i in some], every[some]
         done: list = [None] * len(chunks)
-        lens = np.array([len(c) for c in chunks])
+        lens = np.array([len(w) for w in words])[word[some]]
         order = np.argsort(lens, kind="stable")
         short = order[: int(np.searchsorted(lens[order], self.wide, "right"))]
         for a in range(0, len(short), 16384):
@@ -219,21 +310,21 @@ class Encoder:
             for i, s in zip(own, merge_many(self.v, [chunks[i] for i in own], keys[own], self.rate), strict=True):
                 done[i] = s
         for i in order[len(short) :]:
-            done[i] = merge_one(self.v, chunks[i], int(keys[i]), self.rate)
-        ids = [np.asarray(s, np.int32) if min(s) >= 0 else np.array(self._ids(s), np.int32) for s in done]
-        sizes = np.array([len(x) for x in ids], np.int64)
-        pool, first = np.concatenate(ids), np.concatenate(([0], np.cumsum(sizes)[:-1]))
+            done[i] = np.array(merge_one(self.v, chunks[i], int(keys[i]), self.rate), np.int64)
+        sizes = np.array([len(x) for x in done], np.int64)
+        pool = np.concatenate(done).astype(np.int32)
+        if (pool < 0).any():  # characters that are no pieces become bytes
+            for i in np.unique(np.repeat(np.arange(len(done)), sizes)[pool < 0]):
+                done[i] = np.array(self._ids(done[i]), np.int32)
+                sizes[i] = len(done[i])
+            pool = np.concatenate(done).astype(np.int32)
+        first = np.concatenate(([0], np.cumsum(sizes)[:-1]))
         got = sizes[of]
         ends = np.cumsum(got)
         spread = pool[np.repeat(first[of] - (ends - got), got) + np.arange(int(ends[-1]))]
         cuts = np.concatenate(([0], ends))[np.cumsum(counts)]
         return np.split(spread, cuts[:-1])
 
-    def _keys(self, words: np.ndarray, both: np.ndarray) -> np.ndarray:
-        base = np.array([chunk_key(w, self.seed, 0) for w in words], np.uint64)
-        with np.errstate(over="ignore"):
-            return C.mix(base[both // VARIANTS] + (both % VARIANTS).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-
     def decode(self, ids) -> str:
         """The text of ids: bytes become characters, marks spaces, the first space goes."""
         out = bytearray()
@@ -253,7 +344,7 @@ def _pieces_table(v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
 
 
 def encoded(path: str, seed: int, rate: float, digest: bool):
-    """Arrow map: (doc_key, variant, text) -> ids of each text, or their count, hash and whether they decode to it."""
+    """Arrow map: (doc_key, variant, document, text) -> ids of each text, or their count, hash and whether they decode to it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(path, seed, rate)
@@ -263,7 +354,7 @@ def encoded(path: str, seed: int, rate: float, digest: bool):
             for a, b in C.row_chunks(offs, 4 * C.CHUNK_BYTES):
                 part = batch.slice(a, b - a)
                 texts = [t or "" for t in part.column("text").to_pylist()]
-                ids = encoder.encode_batch(texts, part.column("variant").to_pylist())
+                ids = encoder.encode_batch(texts, part.column("document").to_pylist())
                 n = pa.array([len(x) for x in ids], pa.int64())
                 if not digest:
                     ends = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int32)
@@ -286,11 +377,12 @@ def encode(docs: DataFrame, seed: int = 0, rate: float = 0.1, path: str = VOCABU
 
     ids_sha256 is over the ids as 32-bit little-endian integers; lossless says that the ids
     decode to the text. Null and empty texts have no ids. A text that itself holds the mark
-    U+2581 decodes to spaces there, as with the tokenizer. The variant depends on doc_id
-    (null: 0), so repeated rows are encoded alike; other columns are ignored.
+    U+2581 decodes to spaces there, as with the tokenizer. Dropout depends on doc_id and the place
+    in the text, so repeated rows are encoded alike; so does variant, a class of doc_id (null: 0)
+    that nothing depends on. Other columns are ignored.
     """
     variant = F.coalesce(F.pmod(F.xxhash64("doc_id"), F.lit(VARIANTS)), F.lit(0)).cast("int")
-    x = docs.select(C.ided("doc_id").alias("doc_key"), F.when(F.col("doc_id").isNull(), 0).otherwise(variant).cast("int").alias("variant"), "text")
+    x = docs.select(C.ided("doc_id").alias("doc_key"), F.when(F.col("doc_id").isNull(), 0).otherwise(variant).cast("int").alias("variant"), F.xxhash64("doc_id").alias("document"), "text")
     made = "ids_sha256 string, lossless boolean" if digest else "ids array<int>"
     out = x.mapInArrow(encoded(path, seed, rate, digest), f"doc_key long, variant int, n_ids long, {made}")
     return out.select(C.un_ided("doc_key").alias("doc_id"), *out.columns[1:])

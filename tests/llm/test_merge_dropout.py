@@ -52,3 +52,24 @@ def test_frames(spark):
     assert all(r.lossless for r in short.values())
     assert {r.doc_id: r.n_ids for r in ids.collect()} == {i: r.n_ids for i, r in short.items()}
     assert M.encode(docs.limit(0)).count() == 0
+
+
+def test_occurrences_differ():
+    e = M.Encoder(seed=3, rate=0.3)
+    word = "international"
+    for many in ([f" {word}" * 2000], [word] * 2000):
+        ids = e.encode_batch(many, list(range(len(many))))
+        text = [tuple(x) for x in ids] if len(many) > 1 else [tuple(x) for x in np.split(ids[0], np.flatnonzero([e.v.texts[i].startswith(M.MARK) for i in ids[0]]))[1:]]
+        assert len(set(text)) > 2 * M.VARIANTS
+
+
+def test_shared_drops_equal_each_alone():
+    # Every occurrence is merged as if no other stood for it, whatever its number of candidates and the rate.
+    own = [t for t in texts() if t][:60]
+    for rate in (0.05, 0.5, 1.0):
+        e = M.Encoder(seed=4, rate=rate)
+        documents = [7 * i - 100 for i in range(len(own))]
+        split = [M.CHUNK.findall(M.MARK + t.replace(" ", M.MARK)) for t in own]
+        keys = iter(M.occurrence_keys(4, np.array(documents), np.array([len(s) for s in split])))
+        for s, x in zip(split, e.encode_batch(own, documents), strict=True):
+            assert [i for c in s for i in e._ids(M.merge_one(e.v, c, int(next(keys)), rate))] == x.tolist()
