@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
+import hashlib
 import os
 import tempfile
 import uuid
@@ -17,22 +19,39 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Stands for a null document id inside joins; it sorts before every other id.
+#: Keys below this stand for rows without an id; they sort before every id.
 NULL_ID = -(2**63)
+NO_ID_END = NULL_ID + 2**60
 #: Bytes of text that one vectorised step works on.
-CHUNK_BYTES = 2_000_000
+CHUNK_BYTES = 1_000_000
 
 _made: list[tuple[SparkSession, str]] = []
 _shipped: set[str] = set()
 
 
+_own_dir: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or an own one where that is unset."""
+    """The folder all executors share: spark.checkpoint.dir.
+
+    Where that is unset: a folder of an own on the cluster's default file system, or, if driver and
+    executors are one local process, a temporary one. A cluster with neither raises ValueError, as
+    a folder of one machine would lose tables with it.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = f"file:///tmp/checkpoints/{spark.sparkContext.applicationId}"
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
+    if base:
+        return base.rstrip("/")
+    app = spark.sparkContext.applicationId
+    if app not in _own_dir:
+        default = spark.sparkContext._jsc.hadoopConfiguration().get("fs.defaultFS", "file:///")
+        if not default.startswith("file:"):
+            _own_dir[app] = f"{default.rstrip('/')}/tmp/checkpoints/{app}"
+        elif spark.sparkContext.master.startswith("local["):
+            _own_dir[app] = f"file:///tmp/checkpoints/{app}"
+        else:
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return _own_dir[app]
 
 
 def ship(spark: SparkSession) -> None:
@@ -115,18 +134,37 @@ def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
-def ided(column: str) -> Column:
-    """The id as a join key: null becomes NULL_ID."""
-    return F.coalesce(F.col(column).cast("long"), F.lit(NULL_ID))
+def ided(column: str, text: str | None = None) -> Column:
+    """The id as a join key. A null id becomes NULL_ID or, with the text's column, a key of its text below NO_ID_END.
+
+    So rows without an id are documents of their own, told apart by their text; an id that
+    lies in that range itself raises an error.
+    """
+    key = F.col(column).cast("long")
+    none = F.lit(NULL_ID)
+    if text:
+        none = none + F.xxhash64(text).bitwiseAND(F.lit(2**60 - 1))
+    sound = F.when(key < NO_ID_END, F.raise_error(F.lit(f"{column} below {NO_ID_END} is kept for rows without an id")).cast("long")).otherwise(key)
+    return F.when(key.isNull(), none).otherwise(sound)
 
 
 def un_ided(column: str) -> Column:
-    return F.when(F.col(column) != NULL_ID, F.col(column))
+    return F.when(F.col(column) >= NO_ID_END, F.col(column))
 
 
 def doc_frame(docs: DataFrame) -> DataFrame:
-    """Only the id and the text, whatever else the table holds."""
-    return docs.select(ided("doc_id").alias("doc_key"), F.col("text"))
+    """Only the key and the text, whatever else the table holds."""
+    return docs.select(ided("doc_id", "text").alias("doc_key"), F.col("text"))
+
+
+_libc = ctypes.CDLL(None) if os.name == "posix" else None
+
+
+def trim() -> None:
+    """Give memory that this Python worker freed back to the machine: an idle worker beside the next stage costs little."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_libc, "malloc_trim"):
+        _libc.malloc_trim(0)
 
 
 # ---------------------------------------------------------------- Arrow text
@@ -182,34 +220,75 @@ class Words:
         self.first = np.searchsorted(self.row, np.arange(len(offs)))  # of each row, and the end
 
     def hashes(self, seed: int, lower: bool = False) -> np.ndarray:
-        """A 64-bit hash of each word; lower folds A-Z."""
+        """A 64-bit hash of each word; lower folds A-Z.
+
+        A polynomial in the word's bytes modulo the prime 2**61 - 1, in a base of the seed's own.
+        """
         lens = self.ends - self.starts
         if not len(lens):
             return np.zeros(0, np.uint64)
-        table, powers = _tables(seed, int(lens.max()))
-        if lower:
-            table = table.copy()
-            table[65:91] = table[97:123]
-        first = np.concatenate(([0], np.cumsum(lens)[:-1]))
-        place = np.arange(int(lens.sum())) - np.repeat(first, lens)
+        first = np.cumsum(lens) - lens
+        low, high = _powers(seed)
+        codes = (_LOWER if lower else _PLAIN)[self.data[self.used]]
+        if int(lens.max()) <= SEGMENT:
+            parts, word = first, None
+            place = np.arange(len(codes)) - np.repeat(first, lens)
+        else:  # long words in segments
+            many = -(-lens // SEGMENT)
+            word = np.repeat(np.arange(len(lens)), many)
+            turn = np.arange(len(word)) - np.repeat(np.cumsum(many) - many, many)
+            parts = first[word] + turn * SEGMENT
+            place = np.arange(len(codes)) - np.repeat(parts, np.diff(np.concatenate((parts, [len(codes)]))))
+        value = _reduced(np.add.reduceat(codes * high[place], parts), np.add.reduceat(codes * low[place], parts))
+        if word is not None:
+            value = _joined(value, word, turn, seed)
         with np.errstate(over="ignore"):
-            got = np.add.reduceat(table[self.data[self.used]] * powers[place], first)
-            return mix(got + lens.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+            return mix(value + lens.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
+PRIME = 2**61 - 1
+#: Bytes of a word that are summed before a reduction.
+SEGMENT = 1 << 14
+_PLAIN = np.arange(1, 257, dtype=np.uint64)
+_LOWER = _PLAIN.copy()
+_LOWER[65:91] = _PLAIN[97:123]
 _cached: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
-def _tables(seed: int, longest: int) -> tuple[np.ndarray, np.ndarray]:
-    table, powers = _cached.get(seed, (None, np.zeros(0, np.uint64)))
-    if table is None:
-        table = mix(np.arange(256, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95) + np.uint64(seed * 7919 + 11))
-    if len(powers) < longest:
-        with np.errstate(over="ignore"):
-            powers = np.cumprod(np.full(max(longest, 64), 0x5851F42D4C957F2D + 8 * seed, np.uint64), dtype=np.uint64)
-    if len(powers) <= 1 << 20:
-        _cached[seed] = table, powers
-    return table, powers
+def _base(seed: int) -> int:
+    return int.from_bytes(hashlib.blake2b(f"base {seed}".encode(), digest_size=8).digest(), "little") % (PRIME - 2**32) + 2**31
+
+
+def _powers(seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the seed's base modulo PRIME: their lower 32 bits, the rest."""
+    if seed not in _cached:
+        base, x, powers = _base(seed), 1, []
+        for _ in range(SEGMENT):
+            powers.append(x)
+            x = x * base % PRIME
+        p = np.array(powers, np.uint64)
+        _cached[seed] = p & np.uint64(2**32 - 1), p >> np.uint64(32)
+    return _cached[seed]
+
+
+def _reduced(high: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """(high * 2**32 + low) modulo PRIME, for sums of a segment: high under 2**53, low under 2**56."""
+    x = (high >> np.uint64(29)) + ((high & np.uint64(2**29 - 1)) << np.uint64(32)) + low
+    x = (x & np.uint64(PRIME)) + (x >> np.uint64(61))
+    return np.where(x >= np.uint64(PRIME), x - np.uint64(PRIME), x)
+
+
+def _joined(value: np.ndarray, word: np.ndarray, turn: np.ndarray, seed: int) -> np.ndarray:
+    """The polynomials of words from those of their segments."""
+    out = value[turn == 0]
+    step, power, at = pow(_base(seed), SEGMENT, PRIME), {}, None
+    for i in np.flatnonzero(turn):
+        k = int(turn[i])
+        if k not in power:
+            power[k] = pow(step, k, PRIME)
+        at = word[i]
+        out[at] = (int(out[at]) + int(value[i]) * power[k]) % PRIME
+    return out
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -1,16 +1,17 @@
 """N-gram Jaccard join on prefix trees.
 
-Every document becomes its set of distinct word n-grams (64-bit hashes) in one global
-order: frequent n-grams last, else by hash. Two sets of Jaccard similarity t or more
-share at least l n-grams among the first n - ceil(t n) + l of each, so only sets that
-share that many prefix n-grams can link. Candidates are verified on tries: the sets of a block are laid
-out in trie order, a probe walks them, the overlap counted along a shared path is kept,
-and a subtree is left as soon as the n-grams that remain cannot reach the overlap needed.
+Every document becomes its set of distinct word n-grams (63-bit hashes), numbered in one
+global order: frequent n-grams last, else by hash. Two sets of Jaccard similarity t or more
+share at least l n-grams among the first n - ceil(t n) + l of each (their prefixes), so these
+prefixes route sets to each other. What meets goes through tries: a task stores the ordered
+sets of its block in a prefix tree, a probe walks it from the root, the overlap counted on a
+node holds for all sets below it, and a subtree is left as a whole as soon as what remains of
+its longest set, or of the probe, cannot reach the overlap that its smallest set needs.
 
 Groups may be large. Equal sets are one class. Each prefix n-gram first links its classes
 to one hub (linear in the group); groups whose classes then lie in one component need no
-further pair, which settles the groups of near copies; only pairs of different components
-that were not verified yet remain.
+further pair, which settles the groups of near copies. In what remains mixed, blocks of a group meet
+in tries of their prefixes, and only pairs that the prefixes leave possible come out.
 """
 
 from __future__ import annotations
@@ -29,8 +30,11 @@ from .components import components
 #: kept, and held between two prunings.
 FREQUENT = 1 << 20
 COUNTERS, HELD = 1 << 18, 1 << 20
-#: N-grams that one verification block holds, about.
+#: N-grams that one verification block holds, about, and classes that a block of a mixed group holds.
 BLOCK = 1 << 18
+MEMBERS = 256
+#: Classes of more documents than this, and than one in HOT_SHARE of all, are dealt by broadcast: there are at most HOT_SHARE.
+HOT, HOT_SHARE = 4096, 1 << 16
 HUB_ROUNDS = 3
 #: N-grams that the prefixes of a linked pair share at least (fewer for sets smaller than that).
 SHARED = 8
@@ -40,13 +44,13 @@ def shingle_sets(raw: np.ndarray, offs: np.ndarray, width: int) -> Iterator[np.n
     """For each row its sorted distinct n-gram hashes; a shorter row's whole sequence is one n-gram."""
     words = C.Words(raw, offs)
     h = words.hashes(3, lower=True)
-    grams = C.run_hash(h, np.arange(max(0, len(h) - width + 1)), width, 9)
+    grams = C.run_hash(h, np.arange(max(0, len(h) - width + 1)), width, 9) >> np.uint64(1)
     for r in range(len(offs) - 1):
         a, b = int(words.first[r]), int(words.first[r + 1])
         if b - a >= width:
             yield np.unique(grams[a : b - width + 1])
         elif b > a:
-            yield C.run_hash(h, np.array([a]), b - a, 100 + b - a)
+            yield C.run_hash(h, np.array([a]), b - a, 100 + b - a) >> np.uint64(1)
         else:
             yield np.zeros(0, np.uint64)
 
@@ -110,22 +114,21 @@ def frequent_grams(texts: DataFrame, width: int, least: int = 8) -> np.ndarray:
 
 
 class Order:
-    """The global order: all others by hash, then the frequent n-grams by their count."""
+    """Numbers n-grams in the global order: all others by hash, then the frequent n-grams by their count."""
 
     def __init__(self, frequent: np.ndarray):
         self.by = np.sort(frequent)
-        self.rank = np.argsort(frequent, kind="stable")  # the count rank of each, in hash order
+        self.rank = np.argsort(frequent, kind="stable").astype(np.uint64) + np.uint64(2**63)  # the number of each, in hash order
 
     def __call__(self, grams: np.ndarray) -> np.ndarray:
-        """grams (sorted by hash) in the global order."""
+        """The numbers of grams (sorted by hash), sorted."""
         if not len(self.by) or not len(grams):
             return grams
         at = np.minimum(np.searchsorted(self.by, grams), len(self.by) - 1)
         late = self.by[at] == grams
         if not late.any():
             return grams
-        tail = grams[late]
-        return np.concatenate((grams[~late], tail[np.argsort(self.rank[at[late]], kind="stable")]))
+        return np.concatenate((grams[~late], np.sort(self.rank[at[late]])))
 
 
 def prefixes(width: int, percent: int, order: Order):
@@ -183,38 +186,93 @@ def ordered_sets(width: int, percent: int, order: Order):
     return run
 
 
-def trie_links(probe: np.ndarray, sets: list[np.ndarray], percent: int) -> list[int]:
-    """Which of `sets` have Jaccard similarity of at least percent/100 with `probe`.
+class Trie:
+    """A prefix tree of ordered sets, edges compressed; nodes in depth-first order.
 
-    The sets, sorted as sequences, are the paths of a trie in depth-first order; the part
-    a path shares with the one before keeps its overlap counts, and a path is left where
-    what remains of it cannot reach the overlap it needs.
+    paths: what is stored of each set. sizes: n-grams of the whole set. reach: n-grams of the
+    whole set from where its path begins (more than the path holds, if that is a part).
     """
-    known = np.sort(probe)
-    found: list[int] = []
-    path = np.zeros(0, np.uint64)
-    overlap = np.zeros(1, np.int64)  # [d]: of the first d n-grams of the path; as deep as it was walked
-    for i in sorted(range(len(sets)), key=lambda i: sets[i].tobytes()):
-        own = sets[i]
-        need = -(-percent * (len(probe) + len(own)) // (100 + percent))
-        if need > min(len(probe), len(own)):
-            continue
-        m = min(len(path), len(own))
-        differ = np.flatnonzero(path[:m] != own[:m])
-        depth = min(int(differ[0]) if len(differ) else m, len(overlap) - 1)
-        path, overlap = own, overlap[: depth + 1]
-        while depth < len(own) and overlap[-1] + len(own) - depth >= need:
-            part = own[depth : depth + 128]
-            at = np.minimum(np.searchsorted(known, part), len(known) - 1)
-            overlap = np.concatenate((overlap, overlap[-1] + np.cumsum(known[at] == part)))
-            depth += len(part)
-        if depth == len(own) and overlap[-1] >= need:
-            found.append(i)
-    return found
+
+    def __init__(self, paths: list[np.ndarray], sizes: list[int], reach: list[int]):
+        order = sorted(range(len(paths)), key=lambda i: paths[i].astype(">u8").tobytes())
+        self.paths, self.sizes, self.reach = paths, sizes, reach
+        # A node: edge [begin, end) of the path of set `rep`, sets that end in it, children.
+        top: list = [0, 0, -1, [], []]
+        open_nodes, before = [top], np.zeros(0, np.uint64)
+        for i in order:
+            own = paths[i]
+            m = min(len(before), len(own))
+            differ = np.flatnonzero(before[:m] != own[:m])
+            shared = int(differ[0]) if len(differ) else m
+            while open_nodes[-1][0] >= shared and len(open_nodes) > 1:
+                open_nodes.pop()
+            node = open_nodes[-1]
+            if node[1] > shared:  # its edge parts here
+                lower = [shared, node[1], node[2], node[3], node[4]]
+                node[1], node[3], node[4] = shared, [], [lower]
+            if len(own) > shared:
+                leaf = [shared, len(own), i, [i], []]
+                node[4].append(leaf)
+                open_nodes.append(leaf)
+            else:
+                node[3].append(i)
+            before = own
+        self.nodes: list[tuple[int, int, int, list[int]]] = []
+        self.up: list[int] = []
+        todo = [(top, -1)]
+        while todo:
+            node, above = todo.pop()
+            k = len(self.nodes)
+            self.nodes.append((node[0], node[1], node[2], node[3]))
+            self.up.append(above)
+            todo += [(child, k) for child in reversed(node[4])]
+        n = len(self.nodes)
+        self.behind = list(range(1, n + 1))  # the first node that is not below
+        self.least, self.most, self.far = [2**62] * n, [0] * n, [0] * n  # sizes, and reach, of the sets below
+        for k in range(n - 1, -1, -1):
+            for i in self.nodes[k][3]:
+                self.least[k], self.most[k], self.far[k] = min(self.least[k], sizes[i]), max(self.most[k], sizes[i]), max(self.far[k], reach[i])
+            u = self.up[k]
+            if u >= 0:
+                self.least[u], self.most[u], self.far[u] = min(self.least[u], self.least[k]), max(self.most[u], self.most[k]), max(self.far[u], self.far[k])
+                self.behind[u] = max(self.behind[u], self.behind[k])
+
+    def links(self, probe: np.ndarray, size: int, reach: int, percent: int) -> list[int]:
+        """The sets that can have a similarity of percent/100 with the probe's set: with whole paths, those that have it."""
+        low, high = -(-percent * size // 100), 100 * size // percent
+        overlap = [0] * len(self.nodes)
+        found: list[int] = []
+        k = 0
+        while k < len(self.nodes):
+            begin, end, rep, own = self.nodes[k]
+            if self.most[k] < low or self.least[k] > high:
+                k = self.behind[k]
+                continue
+            need = -(-percent * (size + self.least[k]) // (100 + percent))
+            count, at, left = overlap[self.up[k]] if k else 0, begin, True
+            while left and at < end:
+                part = self.paths[rep][at : min(at + 128, end)]
+                spot = np.searchsorted(probe, part)
+                spot[spot == len(probe)] = 0
+                hit = probe[spot] == part
+                count += int(np.count_nonzero(hit))
+                at += len(part)
+                behind = reach - int(spot[-1]) - int(hit[-1]) if part[-1] <= probe[-1] else reach - len(probe)
+                left = count + min(self.far[k] - at, behind) >= need
+            if not left and (at < end or not own):
+                k = self.behind[k]
+                continue
+            overlap[k] = count
+            for i in own:
+                rest = max(reach - len(probe), self.reach[i] - len(self.paths[i]))
+                if low <= self.sizes[i] <= high and (100 + percent) * (count + rest) >= percent * (size + self.sizes[i]):
+                    found.append(i)
+            k = k + 1 if left else self.behind[k]
+        return found
 
 
 def verified(percent: int):
-    """Arrow map: (probe, probe_grams, members list<struct<m, grams>>) -> links (a, b)."""
+    """Arrow map: (probe, probe_grams, members list<struct<m, grams>>) -> links (a, b), from a trie of the members."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -225,14 +283,52 @@ def verified(percent: int):
                 ids = members.field("m").to_numpy(zero_copy_only=False)
                 inner = members.field("grams")
                 sets = [np.asarray(inner[i].values, np.int64).view(np.uint64) for i in range(len(ids))]
-                hit = trie_links(probe, sets, percent)
+                sizes = [len(x) for x in sets]
+                hit = Trie(sets, sizes, sizes).links(probe, len(probe), len(probe), percent)
                 a += [batch.column("probe")[r].as_py()] * len(hit)
                 b += [int(ids[i]) for i in hit]
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+            C.trim()
+
+    return run
+
+
+def met(percent: int):
+    """Of two blocks of a group: the pairs (probe, m) of different components that their prefixes, from the group's n-gram on, leave possible."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        flat, owner = C.list_parts(table["path"])
+        paths = C.lists(flat.view(np.uint64), owner, table.num_rows)
+        keys, sizes, reach, comp, first = (table[c].to_pylist() for c in ("cls", "n", "reach", "comp", "first"))
+        both = sorted({(keys[i], comp[i]) for i in range(len(keys))})
+        pairs = set()
+        if len({c for _, c in both}) > 1:
+            stored = [i for i in range(len(keys)) if not first[i]] or list(range(len(keys)))  # one block meets itself if there is no other
+            trie = Trie([paths[i] for i in stored], [sizes[i] for i in stored], [reach[i] for i in stored])
+            for i in range(len(keys)):
+                if first[i] or len(stored) == len(keys):
+                    for j in trie.links(paths[i], sizes[i], reach[i], percent):
+                        j = stored[j]
+                        if comp[i] != comp[j]:
+                            pairs.add((min((keys[i], sizes[i]), (keys[j], sizes[j])), max((keys[i], sizes[i]), (keys[j], sizes[j]))))
+        out = np.array([(p, pn, m, mn) for (p, pn), (m, mn) in sorted(pairs)], np.int64).reshape(-1, 4)
+        return pa.table({k: pa.array(out[:, c]) for c, k in enumerate(("probe", "probe_n", "m", "m_n"))})
 
     return run
 
 
+def remaining_pairs(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (probe, probe_n, m, m_n) of the classes that share an n-gram of rows, from tries of blocks of each group."""
+    blocks = rows.groupBy("gram").agg(F.ceil(F.count(F.lit(1)) / F.lit(MEMBERS)).alias("blocks"))
+    own = F.pmod(F.xxhash64("cls"), F.col("blocks"))
+    paths = sets.select(F.col("doc_key").alias("cls"), "prefix")
+    x = rows.join(blocks, "gram").join(paths, "cls").select("gram", "cls", "n", "comp", (F.col("n") - F.col("at")).alias("reach"), F.slice("prefix", F.col("at") + 1, F.size("prefix")).alias("path"), "blocks", own.alias("own"))
+    x = x.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    x = x.select("gram", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") < F.col("other")).alias("first"), "cls", "n", "comp", "reach", "path")
+    return x.groupBy("gram", "i", "j").applyInArrow(met(percent), "probe long, probe_n long, m long, m_n long").distinct()
+
+
 def _prefixes_suffice(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Of the pairs those whose shared prefix n-grams, with all that stands behind the prefixes, suffice for a link.
 
@@ -289,26 +385,47 @@ def _cores(rows: DataFrame, sizes: DataFrame, percent: int, turns: int = 2) -> D
     return C.written(rows.join(sizes, "cls").select("gram", "cls", "at", "n"), "cores")
 
 
+def _classes(heads: DataFrame) -> DataFrame:
+    """(doc_key, n, cls): cls is the least key with an equal set; a document without n-grams is its own."""
+    alike = ["n", "set_a", "set_b"]
+    classes = C.written(heads.where("n > 0").groupBy(*alike).agg(F.min("doc_key").alias("cls"), F.count(F.lit(1)).alias("c")), "alike")
+    large = max(HOT, (classes.agg(F.sum("c")).first()[0] or 0) // HOT_SHARE)
+    hot = classes.where(F.col("c") > large).select(*alike, F.col("cls").alias("hot"))  # HOT_SHARE rows at most
+    seen = heads.select("doc_key", *alike).join(F.broadcast(hot), alike, "left")
+    of_hot = seen.where("hot is not null").select("doc_key", "n", F.col("hot").alias("cls"))
+    rest = seen.where("hot is null").drop("hot").join(classes.where(F.col("c") <= large).drop("c"), alike, "left")
+    return C.written(of_hot.unionByName(rest.select("doc_key", "n", F.coalesce("cls", "doc_key").alias("cls"))), "classes")
+
+
 def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every document.
 
     A-Z are lower-cased, words are ``[^\\x20\\x09-\\x0D]+``. Documents link when 100 x intersection
     >= percent x union of their distinct `width`-word shingles; a text of fewer words is one
     shingle; without words or text a document is alone. component_id: the smallest doc_id
-    reachable. A null doc_id counts as the smallest id of all and is returned as null; repeated
-    rows are all returned and, sharing an id, share their class; other columns are ignored.
+    reachable. A null doc_id counts as smaller than any id and is returned as null; rows without
+    an id are documents told apart by their texts; repeated rows are all returned and share
+    their class; other columns are ignored.
     """
-    texts, mark = C.doc_frame(docs), C.made_so_far()
+    comps = _components(C.doc_frame(docs), width, percent)
+    return comps.select(C.un_ided("doc_key").alias("doc_id"), "n_shingles", C.un_ided("component").alias("component_id"))
+
+
+def _components(texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """(doc_key, n_shingles, component) of every row."""
+    mark = C.made_so_far()
     order = Order(frequent_grams(texts, width))
     heads = C.written(texts.mapInArrow(prefixes(width, percent, order), "doc_key long, n long, set_a long, set_b long, prefix array<long>"), "prefixes")
-    alike = ["n", "set_a", "set_b"]
-    classes = heads.where("n > 0").groupBy(*alike).agg(F.min("doc_key").alias("cls"))
-    of = C.written(heads.select("doc_key", *alike).join(classes, alike, "left").select("doc_key", "n", F.coalesce("cls", "doc_key").alias("cls")), "classes")
+    of = _classes(heads)
     heads = heads.join(of.where("cls = doc_key and n > 0").select("doc_key").distinct(), "doc_key", "left_semi")
+    repeated = of.groupBy("doc_key").count().where("count > 1").limit(1).count()  # repeated rows are rare and stand for one
+    heads = heads.dropDuplicates(["doc_key"]) if repeated else heads
     sizes = C.written(heads.select(F.col("doc_key").alias("cls"), "n").distinct(), "sizes")
     rows = _cores(heads.select(F.posexplode("prefix").alias("at", "gram"), F.col("doc_key").alias("cls")), sizes, percent)
     needed = rows.select(F.col("cls").alias("doc_key")).distinct()
-    sets = C.written(texts.join(needed, "doc_key", "left_semi").mapInArrow(ordered_sets(width, percent, order), "doc_key long, prefix array<long>, grams array<long>"), "sets", release=True)
+    sets = texts.join(needed, "doc_key", "left_semi")
+    sets = sets.dropDuplicates(["doc_key"]) if repeated else sets
+    sets = C.written(sets.mapInArrow(ordered_sets(width, percent, order), "doc_key long, prefix array<long>, grams array<long>"), "sets", release=True)
 
     rows = rows.withColumn("comp", F.col("cls"))
     tried = links = labels = None
@@ -317,14 +434,14 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85) -> Da
         rows = C.written(rows.join(spread, "gram").select("gram", "cls", "at", "n", "comp"), "mixed")
         if not rows.limit(1).count():
             break
-        probe, m = (rows.select("gram", *[F.col(x).alias(k + y) for x, y in (("cls", ""), ("at", "_at"), ("n", "_n"), ("comp", "_comp"))]) for k in ("probe", "m"))
-        apart = (F.col("probe_comp") != F.col("m_comp")) & _reaches(percent)
         if turn < HUB_ROUNDS:  # one hub a gram, drawn anew each turn, meets those of other components
+            probe, m = (rows.select("gram", *[F.col(x).alias(k + y) for x, y in (("cls", ""), ("at", "_at"), ("n", "_n"), ("comp", "_comp"))]) for k in ("probe", "m"))
+            apart = (F.col("probe_comp") != F.col("m_comp")) & _reaches(percent)
             drawn = F.xxhash64("probe", "gram", F.lit(turn)) if turn else F.col("probe")
             probe = probe.withColumn("draw", drawn).groupBy("gram").agg(*[F.min_by(c, "draw").alias(c) for c in probe.columns[1:]])
+            pairs = probe.join(m, (probe["gram"] == m["gram"]) & apart).select("probe", "probe_n", "m", "m_n").distinct()
         else:
-            apart = apart & (F.col("probe") < F.col("m"))
-        pairs = probe.join(m, (probe["gram"] == m["gram"]) & apart).select("probe", "probe_n", "m", "m_n").distinct()
+            pairs = remaining_pairs(rows, sets, percent)
         if tried is not None:
             pairs = pairs.join(tried, ["probe", "m"], "left_anti")
         pairs = C.written(pairs, "pairs")
@@ -336,11 +453,24 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85) -> Da
         rows = rows.drop("comp").join(labels, "cls", "left").select("gram", "cls", "at", "n", F.coalesce("component", "cls").alias("comp"))
     C.drop_since(mark, [of] if labels is None else [of, labels])
     comps = of.withColumn("component", F.lit(None).cast("long")) if labels is None else of.join(labels, "cls", "left")
-    comps = comps.select("doc_key", F.col("n").alias("n_shingles"), F.coalesce("component", "cls").alias("component"))
-    return comps.select(C.un_ided("doc_key").alias("doc_id"), "n_shingles", C.un_ided("component").alias("component_id"))
+    return comps.select("doc_key", F.col("n").alias("n_shingles"), F.coalesce("component", "cls").alias("component"))
 
 
 def near_copies_removed(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """docs without the near copies: of each group only the document with the smallest doc_id stays."""
-    groups = jaccard_components(docs, width, percent).select(C.ided("doc_id").alias("_key"), C.ided("component_id").alias("_head")).where("_key <> _head").select("_key").distinct()
-    return docs.join(groups, C.ided("doc_id") == groups["_key"], "left_anti")
+    """docs without the near copies: of each group only the document with the smallest doc_id stays.
+
+    Of repeated rows of one document one stays, whichever; of rows without an id, which are
+    documents told apart by their texts and smaller than any id, that with the least hash of
+    the text. Documents without words stay.
+    """
+    comps = C.written(_components(C.doc_frame(docs), width, percent), "comps")
+    groups = comps.where("doc_key <> component").select(F.col("doc_key").alias("_key")).distinct()
+    key = C.ided("doc_id", "text")
+    left = docs.join(groups, key == groups["_key"], "left_anti")
+    again = comps.where("doc_key = component").groupBy("doc_key").count().where("count > 1").select(F.col("doc_key").alias("_key"))
+    if not again.limit(1).count():
+        return left
+    row = F.struct(*[F.col(C.quoted(c)) for c in docs.columns])
+    once = left.join(again, key == again["_key"], "left_semi").groupBy(key.alias("_key")).agg(F.first(row).alias("row"))
+    once = once.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
+    return left.join(again, key == again["_key"], "left_anti").unionByName(once)

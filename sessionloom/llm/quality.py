@@ -27,17 +27,15 @@ MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 
 
-def features(docs: DataFrame) -> DataFrame:
-    """(doc_key, text_key, counts of each text); null text counts as empty."""
+def features(docs: DataFrame, keep: list[str]) -> DataFrame:
+    """(row, counts of each text): row is a struct of the columns in `keep`; null text counts as empty."""
     words = docs.select(
-        C.ided("doc_id").alias("doc_key"),
-        F.xxhash64("text").alias("text_key"),
+        F.struct(*[F.col(C.quoted(c)) for c in keep]).alias("row"),
         F.coalesce("text", F.lit("")).alias("text"),
     ).withColumn("words", F.filter(F.split("text", SPACE), lambda w: w != ""))
     n = F.size("words")
     lines = words.select(
-        "doc_key",
-        "text_key",
+        "row",
         n.cast("long").alias("n_words"),
         F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
         F.length(F.regexp_replace("text", r"[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
@@ -61,8 +59,7 @@ def features(docs: DataFrame) -> DataFrame:
 
     twice = F.transform(F.filter("ranked", met), lambda s: F.array(s["i"], s["i"] + 1, s["i"] + 2))
     return ranked.select(
-        "doc_key",
-        "text_key",
+        "row",
         "n_words",
         "word_chars",
         "n_symbols",
@@ -88,8 +85,6 @@ def _share(x: str, y: str) -> Column:
     return F.col(x) / F.greatest(F.col(y), F.lit(1))
 
 
-
-
 def rules() -> dict[str, Column]:
     symbols, capitals = _share("n_symbols", "n_words"), _share("n_capitals", "word_chars")
     exclaims, repeats = _share("n_exclaims", "n_words"), _share("n_repeat_words", "n_words")
@@ -138,12 +133,12 @@ def fit(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 50, strength:
     return prior, table
 
 
-def judged(docs: DataFrame) -> DataFrame:
-    """features, base_failed, quality (posterior probability of good) and kept of every document."""
+def judged(docs: DataFrame, keep: list[str]) -> DataFrame:
+    """row (the columns in `keep`), features, base_failed, quality (posterior probability of good) and kept of every document."""
     names = list(rules())
-    table = C.written(features(docs), "features").withColumns(rules())
+    table = C.written(features(docs, keep), "features").withColumns(rules())
     counts = table.groupBy(*names).count().collect()  # at most 3 ** len(names) rows
-    prior, fitted = fit([(tuple(r[k] for k in names), r["count"]) for r in counts])
+    prior, fitted = fit(sorted((tuple(r[k] for k in names), r["count"]) for r in counts))
     odds = F.lit(math.log(prior / (1 - prior)))
     for k, votes in zip(names, fitted, strict=False):
         ratio = {v: math.log(votes[v][0] / votes[v][1]) for v in votes}
@@ -157,10 +152,14 @@ def quality_verdicts(docs: DataFrame) -> DataFrame:
     Null or empty text has no words and fails; repeated rows and null ids are returned as
     they are; other columns are ignored; an empty table gives an empty result.
     """
-    return judged(docs).select(C.un_ided("doc_key").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality")
+    made = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality"]
+    return judged(docs, ["doc_id"]).select(F.col("row")["doc_id"].alias("doc_id"), *made)
 
 
 def quality_filtered(docs: DataFrame) -> DataFrame:
-    """docs without the documents that the verdict rejects; all columns stay."""
-    kept = judged(docs).where("kept").select("doc_key", "text_key").distinct()
-    return docs.join(kept, (C.ided("doc_id") == kept["doc_key"]) & (F.xxhash64("text") == kept["text_key"]), "left_semi")
+    """docs without the documents that the verdict rejects; all columns, repeated rows and null ids stay.
+
+    The rows are written beside their counts and read again once the rules' accuracies are
+    known: no text is shuffled or joined.
+    """
+    return judged(docs, docs.columns).where("kept").select(*[F.col("row").getField(c).alias(c) for c in docs.columns])

@@ -10,8 +10,10 @@ level whose context it holds, named with that context (the window's own hash, if
 holds none).
 
 Plan: representatives of all documents -> those that occur twice -> only windows with
-such a representative are named by a 128-bit hash -> the first place of each name ->
-words under a window that is not in its first place go.
+such a representative are verified, by a 128-bit cryptographic digest of their words ->
+the first place of each digest -> words under a window that is not in its first place go.
+Symbols and representatives are fast hashes: that two texts share one by chance makes a
+window a candidate and no more.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -166,21 +169,34 @@ def representatives(window: int, rounds: int):
                     [C.signed(rep[at]), pa.array(keys[a + row[at]]), pa.array(np.where(twice, 2, 1).astype(np.int32))],
                     ["symbol", "doc_key", "places"],
                 )
+            C.trim()
 
     return run
 
 
-def _candidates(words: C.Words, flags: np.ndarray, flag_row: np.ndarray, window: int, rounds: int):
-    """Windows whose representative is flagged in their row: (Windows, start word in the row, 128-bit names)."""
+def _candidates(words: C.Words, flags: np.ndarray, flag_row: np.ndarray, window: int, rounds: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first word, row) of the windows whose representative is flagged in their row."""
     w = Windows(words, window, rounds)
     if not len(w.at) or not len(flags):
-        return w, np.zeros(0, np.int64), None
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     with np.errstate(over="ignore"):
         salt = np.uint64(0x9E3779B97F4A7C15)
         known = np.sort(C.mix(flags.view(np.uint64) + flag_row.astype(np.uint64) * salt))
         asked = C.mix(w.rep + w.row.astype(np.uint64) * salt)
-    spot = np.minimum(np.searchsorted(known, asked), len(known) - 1)
-    return w, np.flatnonzero(known[spot] == asked), known
+    hit = known[np.minimum(np.searchsorted(known, asked), len(known) - 1)] == asked
+    return w.at[hit], w.row[hit]
+
+
+def digests(words: C.Words, at: np.ndarray, window: int) -> np.ndarray:
+    """A 128-bit BLAKE2b digest, as two integers, of the `window` words from each of `at`, joined by one space."""
+    lens = words.ends - words.starts
+    starts = np.cumsum(lens) - lens + np.arange(len(lens))
+    text = np.full(int(lens.sum()) + len(lens), 0x20, np.uint8)
+    text[np.arange(int(lens.sum())) + np.repeat(np.arange(len(lens)), lens)] = words.data[words.used]
+    raw, blake = text.tobytes(), hashlib.blake2b
+    spans = zip(starts[at].tolist(), (starts[at + window - 1] + lens[at + window - 1]).tolist(), strict=True)
+    made = b"".join([blake(raw[a:b], digest_size=16).digest() for a, b in spans])
+    return np.frombuffer(made, np.int64).reshape(-1, 2)
 
 
 def window_names(window: int, rounds: int):
@@ -194,62 +210,76 @@ def window_names(window: int, rounds: int):
             for a, b in C.row_chunks(offs):
                 words = C.Words(raw, offs[a : b + 1])
                 mine = slice(*np.searchsorted(flag_row, (a, b)))
-                w, hit, _ = _candidates(words, flags[mine], flag_row[mine] - a, window, rounds)
-                if not len(hit):
+                at, row = _candidates(words, flags[mine], flag_row[mine] - a, window, rounds)
+                if not len(at):
                     continue
-                at, row = w.at[hit], w.row[hit]
-                name_a = C.run_hash(w.h, at, window, 1)
-                name_b = C.run_hash(words.hashes(2), at, window, 2)
-                order = np.lexsort((at, name_b, name_a, row))
-                at, row, name_a, name_b = at[order], row[order], name_a[order], name_b[order]
-                new = np.concatenate(([True], (name_a[1:] != name_a[:-1]) | (name_b[1:] != name_b[:-1]) | (row[1:] != row[:-1])))
-                at, row = at[new], row[new]
+                name = digests(words, at, window)
+                order = np.lexsort((at, name[:, 0], row))  # one word of the digest is enough to bring equal ones together
+                at, row, name = at[order], row[order], name[order]
+                new = np.concatenate(([True], (name[1:] != name[:-1]).any(axis=1) | (row[1:] != row[:-1])))
+                at, row, name = at[new], row[new], name[new]
                 yield pa.RecordBatch.from_arrays(
-                    [C.signed(name_a[new]), C.signed(name_b[new]), pa.array(keys[a + row]), pa.array((at - words.first[row]).astype(np.int32))],
+                    [pa.array(name[:, 0]), pa.array(name[:, 1]), pa.array(keys[a + row]), pa.array((at - words.first[row]).astype(np.int32))],
                     ["name_a", "name_b", "doc_key", "start"],
                 )
+            C.trim()
 
     return run
 
 
+def _cut(doc: bytes, starts: np.ndarray, ends: np.ndarray, lost: np.ndarray) -> bytes:
+    """doc without its lost words: of what stood between words, what follows a removed run goes with it (at the end, what precedes it)."""
+    keep = np.flatnonzero(~lost)
+    if not len(keep):
+        return b""
+    out, last = [], len(lost) - 1
+    for run in np.split(keep, np.flatnonzero(np.diff(keep) > 1) + 1):
+        i, j = run[0], run[-1]
+        end = len(doc) if j == last else ends[j] if j == keep[-1] else starts[j + 1]
+        out.append(doc[starts[i] if i else 0 : end])
+    return b"".join(out)
+
+
 def kept_words(window: int, rounds: int, with_text: bool):
-    """Arrow map: (doc_key, text, symbols, starts) -> what is left of each document; rest columns pass."""
+    """Arrow map: (doc_key, text, symbols, starts) -> what is left of each document; other columns pass."""
+
+    def covered_words(batch: pa.RecordBatch) -> Iterator[tuple[int, C.Words, int, np.ndarray]]:
+        """(row, words of its chunk, row in that, which of its words go) of the rows that lose any."""
+        flagged = pa.compute.indices_nonzero(pa.compute.greater(pa.compute.fill_null(pa.compute.list_value_length(batch.column("symbols")), 0), 0)).to_numpy()
+        some = batch.take(pa.array(flagged))  # the others lose nothing
+        raw, offs = C.text_parts(some.column("text"))
+        flags, flag_row = C.list_parts(some.column("symbols"))
+        firsts, first_row = C.list_parts(some.column("starts"))
+        for a, b in C.row_chunks(offs):
+            words = C.Words(raw, offs[a : b + 1])
+            mine, own = (slice(*np.searchsorted(x, (a, b))) for x in (flag_row, first_row))
+            at, _ = _candidates(words, flags[mine], flag_row[mine] - a, window, rounds)
+            at = at[~np.isin(at, words.first[first_row[own] - a] + firsts[own])]
+            edge = np.zeros(len(words.starts) + 1, np.int32)
+            np.add.at(edge, at, 1)
+            np.add.at(edge, at + window, -1)
+            covered = np.cumsum(edge[:-1]) > 0
+            for r in np.unique(words.row[covered]):
+                yield int(flagged[a + r]), words, int(r), covered[words.first[r] : words.first[r + 1]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, offs = C.text_parts(batch.column("text"))
-            flags, flag_row = C.list_parts(batch.column("symbols"))
-            firsts, first_row = C.list_parts(batch.column("starts"))
-            n_words, n_removed, out = [], [], []
-            for a, b in C.row_chunks(offs):
-                gone: dict[int, np.ndarray] = {}
-                mine = slice(*np.searchsorted(flag_row, (a, b)))
-                if mine.start < mine.stop:
-                    words = C.Words(raw, offs[a : b + 1])
-                    w, hit, _ = _candidates(words, flags[mine], flag_row[mine] - a, window, rounds)
-                    own = slice(*np.searchsorted(first_row, (a, b)))
-                    first_at = words.first[first_row[own] - a] + firsts[own]
-                    at = w.at[hit]
-                    at = at[~np.isin(at, first_at)]
-                    edge = np.zeros(len(w.h) + 1, np.int32)
-                    np.add.at(edge, at, 1)
-                    np.add.at(edge, at + window, -1)
-                    covered = np.cumsum(edge[:-1]) > 0
-                    for r in np.unique(words.row[covered]):
-                        gone[int(r)] = covered[words.first[r] : words.first[r + 1]]
-                for r in range(a, b):
-                    doc = raw[offs[r] : offs[r + 1]].tobytes().split()
-                    n_words.append(len(doc))
-                    lost = gone.get(r - a)
-                    n_removed.append(0 if lost is None else int(lost.sum()))
-                    out.append(b" ".join(doc if lost is None else compress(doc, ~lost)))
+            docs = [raw[offs[r] : offs[r + 1]].tobytes() for r in range(batch.num_rows)]
+            n_removed = np.zeros(len(docs), np.int64)
+            out: dict[int, bytes] = {}
+            for r, words, k, lost in covered_words(batch):
+                n_removed[r] = lost.sum()
+                own = slice(words.first[k], words.first[k + 1])
+                out[r] = _cut(docs[r], words.starts[own] - words.offs[k], words.ends[own] - words.offs[k], lost) if with_text else b" ".join(compress(docs[r].split(), ~lost))
             cols = {name: batch.column(name) for name in batch.schema.names if name not in ("text", "symbols", "starts")}
-            cols |= {"n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(n_removed, pa.int64())}
+            cols |= {"n_words": pa.array([len(d.split()) for d in docs], pa.int64()), "n_removed": pa.array(n_removed)}
             if with_text:
-                cols["text"] = pa.array([x.decode("utf-8", "replace") for x in out], pa.string())
+                cols["text"] = pa.array([out[r].decode("utf-8") if r in out else t for r, t in enumerate(batch.column("text").to_pylist())], pa.string())
             else:
-                cols["kept_sha256"] = pa.array([hashlib.sha256(x).hexdigest() for x in out], pa.string())
+                cols["kept_sha256"] = pa.array([hashlib.sha256(out[r] if r in out else b" ".join(d.split())).hexdigest() for r, d in enumerate(docs)], pa.string())
             yield pa.RecordBatch.from_arrays(list(cols.values()), list(cols))
+            C.trim()
 
     return run
 
@@ -257,7 +287,7 @@ def kept_words(window: int, rounds: int, with_text: bool):
 def repeats(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
     """(symbols of each document that occur twice, starts of each document's candidate windows that come first)."""
     texts = C.doc_frame(docs)
-    seen = texts.mapInArrow(representatives(window, rounds), "symbol long, doc_key long, places int")
+    seen = C.written(texts.mapInArrow(representatives(window, rounds), "symbol long, doc_key long, places int"), "seen")
     twice = seen.groupBy("symbol").agg(F.sum("places").alias("n")).where("n >= 2").select("symbol")
     flagged = C.written(seen.select("symbol", "doc_key").join(twice, "symbol").groupBy("doc_key").agg(F.collect_list("symbol").alias("symbols")), "symbols", release=True)
     names = texts.join(flagged, "doc_key").mapInArrow(window_names(window, rounds), "name_a long, name_b long, doc_key long, start int")
@@ -270,15 +300,16 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS
     """Remove every word under a `window`-word sequence that also starts earlier.
 
     Earlier: in a smaller doc_id, or in the same document at an earlier word. Judged on
-    the input. Null text and documents under `window` words lose nothing; a null doc_id
-    comes before all others; repeated rows of one doc_id count as one document (the same
-    row gives the same result); further columns are ignored, or with_text=True kept
-    beside the new text.
+    the input. Null text and documents under `window` words lose nothing. Rows without a
+    doc_id come before all others, in an order by hash of their texts, each text a document
+    of its own; repeated rows are one document and get the same result. Further columns are
+    ignored, or with_text=True kept beside the new text: a text that loses nothing stays as
+    it is, null included, from others only the removed words and the space next to them go.
     """
     flagged, starts = repeats(docs, window, rounds)
     if with_text:
         rest = [F.col(C.quoted(c)) for c in docs.columns if c != "text"]
-        base = docs.select(C.ided("doc_id").alias("doc_key"), "text", F.struct(*rest).alias("rest"))
+        base = docs.select(C.ided("doc_id", "text").alias("doc_key"), "text", F.struct(*rest).alias("rest"))
     else:
         base = C.doc_frame(docs)
     joined = base.join(flagged, "doc_key", "left").join(starts, "doc_key", "left")

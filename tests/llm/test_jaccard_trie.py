@@ -71,15 +71,83 @@ def test_frequent_grams_go_last(spark):
     late = J.frequent_grams(texts, 4, least=50)
     assert len(late) == 1
     order = J.Order(late)
-    assert order(np.sort(np.concatenate((late, np.array([1, 2**63], np.uint64)))))[-1] == late[0]
+    assert order(np.sort(np.concatenate((late, np.array([1, 2**63 - 1], np.uint64))))).tolist() == [1, 2**63 - 1, 2**63]
 
 
-def test_trie_links():
-    r = np.random.default_rng(1)
+def jaccard(a, b):
+    return 100 * len(np.intersect1d(a, b)) / len(np.union1d(a, b))
+
+
+@pytest.mark.parametrize("percent", [30, 60, 85])
+def test_trie_of_whole_sets(percent):
+    r = np.random.default_rng(percent)
     sets = [np.unique(r.integers(0, 40, r.integers(1, 40)).astype(np.uint64)) for _ in range(80)]
-    for probe in sets[:20]:
-        want = [i for i, s in enumerate(sets) if 100 * len(np.intersect1d(s, probe)) >= 60 * len(np.union1d(s, probe))]
-        assert sorted(J.trie_links(probe, sets, 60)) == want
+    sets += [s[:-1] for s in sets[:20] if len(s) > 1] + [sets[3]] + [np.arange(n, dtype=np.uint64) for n in (1, 2, 300, 301, 340)]
+    sizes = [len(s) for s in sets]
+    trie = J.Trie(sets, sizes, sizes)
+    for probe in sets:
+        assert sorted(trie.links(probe, len(probe), len(probe), percent)) == [i for i, s in enumerate(sets) if jaccard(s, probe) >= percent]
+
+
+def test_subtrees_are_left_as_a_whole(monkeypatch):
+    far = [np.concatenate((np.arange(1000, 1040), [2000 + i])).astype(np.uint64) for i in range(500)]
+    trie = J.Trie(far, [41] * 500, [41] * 500)
+    asked = []
+    find = np.searchsorted
+    monkeypatch.setattr(J.np, "searchsorted", lambda a, v: asked.append(len(v)) or find(a, v))
+    assert trie.links(np.arange(41, dtype=np.uint64), 41, 41, 80) == []
+    assert len(asked) <= 1  # the shared path of all 500 is looked at once
+
+
+def test_trie_of_prefixes_keeps_every_link():
+    r = np.random.default_rng(7)
+    base = [np.unique(r.integers(0, 10**6, 60).astype(np.uint64)) for _ in range(8)]
+    sets = [np.unique(np.concatenate((np.delete(b, r.integers(0, len(b), 4)), r.integers(0, 10**6, 3).astype(np.uint64)))) for b in base for _ in range(12)]
+    sizes = [len(s) for s in sets]
+    heads = [s[: J._prefix_length(len(s), 80)] for s in sets]
+    trie = J.Trie(heads, sizes, sizes)
+    for i, p in enumerate(heads):
+        got = set(trie.links(p, sizes[i], sizes[i], 80))
+        want = {j for j, s in enumerate(sets) if jaccard(s, sets[i]) >= 80}
+        assert want <= got and len(got) < 30
+
+
+def test_large_groups_meet_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(J, "HUB_ROUNDS", 0)
+    monkeypatch.setattr(J, "MEMBERS", 8)  # in this process the blocks are planned
+    rows = corpus(6)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in J.jaccard_components(docs, 4, 85).collect()} == brute(rows, 4, 85)
+
+
+def test_hot_classes(spark, monkeypatch):
+    monkeypatch.setattr(J, "HOT", 2)
+    rows = [(i, "one two three four five") for i in range(5)] + [(9, "a b c d e"), (8, "a b c d e"), (10, None)]
+    got = {r.doc_id: r.component_id for r in J.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {**{i: 0 for i in range(5)}, 8: 8, 9: 8, 10: 10}
+
+
+def thue_morse(n):
+    t = "a"
+    while len(t) < n:
+        t += t.translate({97: 98, 98: 97})
+    return t[:n], t[:n].translate({97: 98, 98: 97})
+
+
+def test_words_that_polynomials_of_machine_words_confuse(spark):
+    rows = [(i, t) for i, t in enumerate([*thue_morse(1024), *thue_morse(4096)])]
+    got = {r.doc_id: r.component_id for r in J.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: i for i in range(4)}
+
+
+def test_repeated_rows_and_rows_without_an_id(spark):
+    a, b, c = ("x " + " ".join(f"{k}{i}" for i in range(60)) for k in "abc")
+    rows = [(None, a), (None, b), (None, b), (4, b + " tail"), (5, c), (5, c), (6, c + " end"), (7, None), (8, "")]
+    docs = spark.createDataFrame([(i, t, n) for n, (i, t) in enumerate(rows)], "doc_id long, text string, `_key` int")
+    comps = sorted(((r.doc_id, r.component_id) for r in J.jaccard_components(docs).collect()), key=str)
+    assert comps == sorted([(None, None)] * 3 + [(4, None), (5, 5), (5, 5), (6, 5), (7, 7), (8, 8)], key=str)
+    left = J.near_copies_removed(docs.withColumnRenamed("_key", "n")).collect()
+    assert sorted(((str(r.doc_id), r.text) for r in left), key=str) == sorted([("None", a), ("None", b), ("5", c), ("7", None), ("8", "")], key=str)
 
 
 def test_empty(spark):

@@ -54,6 +54,25 @@ def test_added_spans_and_redaction(spark):
     assert out[0]["so.urce"] == "x" and out[0].__fields__ == ["doc_id", "text", "so.urce"]
 
 
+def test_whole_secrets_and_hidden_addresses(spark):
+    key, letters, local = "aB3" * 150, "CorrectHorseBatteryStaple", "n" * 90
+    texts = [f"token: {key} end", f"password = {letters} end", f"write {local} (at) site (dot) org now", f"token: {'k9' * 3000}"]
+    docs = spark.createDataFrame([(i, t, i, "x") for i, t in enumerate(texts * 40)], "doc_id long, text string, _ int, row string")
+    out = {r.doc_id: r for r in P.redacted(docs).collect()}
+    assert out[0].text == "token: [SECRET] end" and out[3].text == "token: [SECRET]"
+    assert letters not in out[1].text or out[1].text == texts[1]  # whole or not at all, as the classifier says
+    assert out[2].text in ("write [EMAIL] now", texts[2])
+    assert out[5]["_"] == 5 and out[5]["row"] == "x"
+    spans = {r.doc_id: r.spans for r in P.find_pii(docs).collect()}
+    assert spans[0] == f"secret:7:{7 + len(key)}"
+
+
+def test_repeated_rows_and_ties(spark):
+    docs = spark.createDataFrame([(1, "mail a@b.com"), (1, "mail a@b.com"), (None, "a@b.com"), (None, "a@b.com")], "doc_id long, text string")
+    assert [r.text for r in P.redacted(docs).collect()] == ["mail [EMAIL]"] * 2 + ["[EMAIL]"] * 2
+    assert P.find_pii(docs).count() == 4
+
+
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert P.find_pii(docs).count() == 0 and P.redacted(docs).count() == 0
