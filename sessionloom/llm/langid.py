@@ -2,7 +2,8 @@
 
 Each language has a probability for every piece of a public vocabulary. A word (with its
 word-start mark) scores the sum, over all ways to cut it into pieces, of the product of the
-pieces' probabilities: the forward algorithm. A text's log-score is the sum over its words.
+pieces' probabilities: the forward algorithm, which keeps the states of the last characters
+only, so words of any length are scored whole. A text's log-score is the sum over its words.
 Training is one expectation step: posterior piece counts of all learning texts under a flat
 start (forward-backward), summed by language and smoothed.
 """
@@ -24,8 +25,10 @@ VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = 0x2581
 #: Probability of a character that no piece covers.
 RARE = 1e-7
-#: Words that one vectorised step cuts; a longer word is cut in parts of this many characters.
-LONGEST = 48
+#: Characters of a word that are held at a time; a longer word goes on from the state of its last ones, so it is never cut.
+BLOCK = 512
+#: Numbers that one step's states hold, about, over words, characters and languages.
+CELLS = 1 << 22
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -89,123 +92,151 @@ def word_matrix(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Cuts:
-    """All pieces in all places of a word matrix: for each end place, (size, words, piece ids)."""
-
-    def __init__(self, pieces: Pieces, codes: np.ndarray, lens: np.ndarray):
-        n, width = codes.shape
-        self.at: list[list[tuple[int, np.ndarray, np.ndarray]]] = [[] for _ in range(width + 1)]
-        self.lost: list[np.ndarray] = []  # words whose character at a place is no piece
+    """The pieces that end at the places a + 1 .. b of a word matrix: at[j - a] holds (size, words, piece ids) for end place j."""
+
+    def __init__(self, pieces: Pieces, codes: np.ndarray, lens: np.ndarray, a: int = 0, b: int | None = None):
+        b = codes.shape[1] if b is None else b
+        self.a, self.b, self.span = a, b, pieces.lengths[-1]
+        c = max(0, a - self.span + 1)  # pieces may begin before the block
+        part = codes[:, c:b]
+        n, width = part.shape
+        self.at: list[list[tuple[int, np.ndarray, np.ndarray]]] = [[] for _ in range(b - a + 1)]
+        self.lost: list[np.ndarray] = [np.zeros(0, np.int64)]  # by end place: words whose character before it is no piece
         with np.errstate(over="ignore"):
-            mixed = np.ascontiguousarray(C.mix(codes.astype(np.uint64) + np.uint64(1)).T)  # places x words
-            h = np.zeros((width, n), np.uint64)
-            for size in range(1, min(pieces.lengths[-1], width) + 1):
-                # h[j]: hash of the `size` characters of each word that end at place j
-                h = h[:-1] * _FACTOR + mixed[size - 1 :] if size > 1 else mixed
+            mixed = np.ascontiguousarray(C.mix(part.astype(np.uint64) + np.uint64(1)).T)  # places x words
+            for size in range(1, min(self.span, width) + 1):
+                # h[j]: hash of the `size` characters of each word that begin at place j
+                h = h[:-1] * _FACTOR + mixed[size - 1 :] if size > 1 else mixed  # noqa: F821
                 if size not in pieces.tables:
                     continue
-                where, ids = pieces.find(h, size)
+                skip = max(0, a - c - size + 1)  # those that end at a or before
+                where, ids = pieces.find(h[skip:], size)
                 place, word = np.divmod(where, n)
-                place += size
+                place += skip + size + c
                 inside = lens[word] >= place
                 place, word, ids = place[inside], word[inside], ids[inside]
-                cuts = np.searchsorted(place, np.arange(width + 2))
-                for j in range(size, width + 1):
-                    if cuts[j] < cuts[j + 1]:
-                        part = slice(cuts[j], cuts[j + 1])
-                        self.at[j].append((size, word[part], ids[part]))
-        for j in range(1, width + 1):
+                cuts = np.searchsorted(place, np.arange(a + 1, b + 2))
+                for j in range(a + 1, b + 1):
+                    own = slice(cuts[j - a - 1], cuts[j - a])
+                    if own.start < own.stop:
+                        self.at[j - a].append((size, word[own], ids[own]))
+        for j in range(a + 1, b + 1):
             lost = lens >= j
-            for size, word, _ in self.at[j]:
+            for size, word, _ in self.at[j - a]:
                 if size == 1:
                     lost[word] = False
             self.lost.append(np.flatnonzero(lost))
 
 
-def forward(cuts: Cuts, codes: np.ndarray, lens: np.ndarray, prob: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(log-probability of each word in each language, scaled alphas, their log scales).
+def fresh(span: int, n: int, langs: int) -> tuple[np.ndarray, np.ndarray]:
+    """(alphas, log scales) of the places before a word and of its start; the last row is the start."""
+    alpha, scale = np.zeros((span + 1, n, langs)), np.zeros((span + 1, n))
+    alpha[-1] = 1.0
+    return alpha, scale
+
 
-    prob: pieces x languages, with one row more (the last) of zeros for "no piece".
+def forward(cuts: Cuts, state: tuple[np.ndarray, np.ndarray], lens: np.ndarray, prob: np.ndarray, out: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Alphas (scaled) and their log scales for the places from a - span to b, given those up to a; fills out for words that end in the block.
+
+    prob: pieces x languages, with one row more (the last) of zeros for "no piece". out: words x languages.
     """
-    n, width = codes.shape
-    langs = prob.shape[1]
-    alpha = np.zeros((width + 1, n, langs))
-    scale = np.zeros((width + 1, n))
-    alpha[0] = 1.0
-    out = np.zeros((n, langs))
-    for j in range(1, width + 1):
+    span, steps, n, langs = cuts.span, cuts.b - cuts.a, len(lens), prob.shape[1]
+    alpha, scale = np.empty((span + 1 + steps, n, langs)), np.empty((span + 1 + steps, n))
+    alpha[: span + 1], scale[: span + 1] = state[0][-span - 1 :], state[1][-span - 1 :]
+    for i in range(1, steps + 1):
+        j = span + i
         now = np.zeros((n, langs))
-        for size, hit, ids in cuts.at[j]:
+        for size, hit, ids in cuts.at[i]:
             back = np.exp(scale[j - size][hit] - scale[j - 1][hit])[:, None]
             now[hit] += alpha[j - size][hit] * prob[ids] * back
-        lost = cuts.lost[j - 1]
+        lost = cuts.lost[i]
         now[lost] += alpha[j - 1][lost] * RARE
         top = now.max(axis=1)
         top[top <= 0] = 1.0
         alpha[j] = now / top[:, None]
         scale[j] = scale[j - 1] + np.log(top)
-        done = lens == j
-        with np.errstate(divide="ignore"):
+        done = lens == cuts.a + i
+        if done.any():
             out[done] = np.log(np.maximum(alpha[j][done], 1e-300)) + scale[j][done][:, None]
-    return out, alpha, scale
-
-
-def expected_counts(cuts: Cuts, codes: np.ndarray, lens: np.ndarray, prob: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """Posterior counts of pieces (one language), the words weighted by weight (words x groups): pieces x groups."""
-    n, width = codes.shape
-    total, alpha, scale = forward(cuts, codes, lens, prob)
-    beta = np.zeros((width + 1, n))
-    under = np.zeros((width + 1, n))  # log scale of beta
-    beta[lens, np.arange(n)] = 1.0
-    out = np.zeros((prob.shape[0], weight.shape[1]))
-    for j in range(width - 1, -1, -1):
-        live = lens > j
-        now = np.zeros(n)
-        for end in range(j + 1, width + 1):
-            for size, hit, ids in cuts.at[end]:
-                if size != end - j:
-                    continue
-                p = prob[ids, 0]
-                now[hit] += beta[end][hit] * p * np.exp(under[end][hit] - under[j + 1][hit])
-                share = alpha[j][hit, 0] * p * beta[end][hit] * np.exp(scale[j][hit] + under[end][hit] - total[hit, 0])
-                for g in range(weight.shape[1]):
-                    out[:, g] += np.bincount(ids, share * weight[hit, g], len(out))
-        lost = cuts.lost[j]
-        now[lost] += beta[j + 1][lost] * RARE
-        top = np.where(now > 0, now, 1.0)
-        beta[j] = np.where(live, now / top, beta[j])
-        under[j] = np.where(live, under[j + 1] + np.log(top), under[j])
+    return alpha, scale
+
+
+def _blocks(width: int) -> list[tuple[int, int]]:
+    return [(a, min(width, a + BLOCK)) for a in range(0, width, BLOCK)]
+
+
+def word_scores(pieces: Pieces, codes: np.ndarray, lens: np.ndarray, prob: np.ndarray) -> np.ndarray:
+    """Log-probability of each word in each language, over all its segmentations."""
+    out = np.zeros((len(lens), prob.shape[1]))
+    state = fresh(pieces.lengths[-1], len(lens), prob.shape[1])
+    for a, b in _blocks(codes.shape[1]):
+        state = forward(Cuts(pieces, codes, lens, a, b), state, lens, prob, out)
     return out
 
 
+def expected_counts(pieces: Pieces, codes: np.ndarray, lens: np.ndarray, prob: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Posterior counts of pieces (one language), the words weighted by weight (words x groups): pieces x groups.
+
+    Backward over the same blocks; held are the states between blocks and the inside of one.
+    """
+    span, n, blocks = pieces.lengths[-1], len(lens), _blocks(codes.shape[1])
+    states, total = [fresh(span, n, 1)], np.zeros((n, 1))
+    kept = None
+    for a, b in blocks:
+        kept = Cuts(pieces, codes, lens, a, b)
+        alpha, scale = forward(kept, states[-1], lens, prob, total)
+        states.append((alpha[-span - 1 :].copy(), scale[-span - 1 :].copy()))
+    after = np.zeros((span + 1, n))  # what pieces that end in the next block give to places up to its start
+    piece, share, word = [], [], []
+    every = np.arange(n)
+    for k in range(len(blocks) - 1, -1, -1):
+        a, b = blocks[k]
+        if k < len(blocks) - 1:
+            kept = Cuts(pieces, codes, lens, a, b)
+            alpha, scale = forward(kept, states[k], lens, prob, np.zeros((n, 1)))
+        # beta[j]: sum over the ways from place j on, times exp(scale[j] - total): at most 1 by this.
+        beta = np.zeros((span + 1 + b - a, n))
+        beta[-span - 1 :] += after[max(0, len(after) - len(beta)) :]
+        for i in range(b - a, 0, -1):
+            j = span + i
+            done = every[lens == a + i]
+            beta[j][done] = np.exp(scale[j][done] - total[done, 0])
+            for size, hit, ids in kept.at[i]:
+                way = prob[ids, 0] * beta[j][hit] * np.exp(scale[j - size][hit] - scale[j][hit])
+                beta[j - size][hit] += way
+                piece.append(ids)
+                share.append(alpha[j - size][hit, 0] * way)
+                word.append(hit)
+            lost = kept.lost[i]
+            beta[j - 1][lost] += RARE * beta[j][lost] * np.exp(scale[j - 1][lost] - scale[j][lost])
+        after = beta[: span + 1]
+    ids, share, word = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (piece, share, word))
+    return np.stack([np.bincount(ids, share * weight[word, g], prob.shape[0]) for g in range(weight.shape[1])], axis=1)
+
+
 def _texts(batch: pa.RecordBatch, limit: int) -> Iterator[tuple[int, int, list[str | None]]]:
     _, offs = C.text_parts(batch.column("text"))
     for a, b in C.row_chunks(offs, limit):
         yield a, b, batch.column("text").slice(a, b - a).to_pylist()
 
 
-def split_words(text: str | None) -> list[str]:
-    """Lower-cased words; very long ones in parts."""
-    words = (text or "").lower().split()
-    if max(map(len, words), default=0) > LONGEST:
-        words = [w[i : i + LONGEST] for w in words for i in range(0, len(w), LONGEST)]
-    return words
-
-
 def _unique(texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """(distinct words, word of each occurrence, text of each occurrence)."""
-    split = [split_words(t) for t in texts]
+    """(distinct lower-cased words, word of each occurrence, text of each occurrence)."""
+    split = [(t or "").lower().split() for t in texts]
     at, words = pd.factorize(np.array(list(chain.from_iterable(split)), object))
     return list(words), at, np.repeat(np.arange(len(split)), [len(x) for x in split])
 
 
-def _steps(words: list[str]) -> Iterator[np.ndarray]:
-    """Indices of words in steps of similar length, so padding is small."""
-    order = np.argsort(np.array([len(w) for w in words]), kind="stable")
-    a = 0
-    while a < len(order):
-        b = min(len(order), a + 16384)
+def _steps(words: list[str], langs: int) -> Iterator[np.ndarray]:
+    """Indices of words in steps of similar length, so padding is small, and of bounded states."""
+    lens = np.array([len(w) for w in words])
+    order = np.argsort(lens, kind="stable")
+    b = len(order)
+    while b:  # from the longest on
+        width = min(int(lens[order[b - 1]]) + 1, BLOCK)
+        a = max(0, b - max(1, min(16384, CELLS // (width * max(langs, 1)))))
         yield order[a:b]
-        a = b
+        b = a
 
 
 def piece_counts(vocabulary: str, langs: list[str]):
@@ -219,16 +250,17 @@ def piece_counts(vocabulary: str, langs: list[str]):
         sums = np.zeros((pieces.size + 1, len(langs)))
         for batch in batches:
             own = [code.get(x, -1) for x in batch.column("lang").to_pylist()]
-            for a, b, texts in _texts(batch, 6 * C.CHUNK_BYTES):
+            for a, b, texts in _texts(batch, 8 * C.CHUNK_BYTES):
                 words, at, row = _unique(texts)
                 if not words:
                     continue
                 lang = np.array(own[a:b])[row]
                 keep = lang >= 0
                 weight = np.bincount(at[keep] * len(langs) + lang[keep], minlength=len(words) * len(langs)).reshape(len(words), len(langs)).astype(float)
-                for step in _steps(words):
+                for step in _steps(words, 1):
                     codes, lens = word_matrix([words[i] for i in step])
-                    sums += expected_counts(Cuts(pieces, codes, lens), codes, lens, start, weight[step])
+                    sums += expected_counts(pieces, codes, lens, start, weight[step])
+            C.trim()
         piece, lang = np.nonzero(sums > 0)
         yield pa.RecordBatch.from_arrays([pa.array([langs[i] for i in lang], pa.string()), pa.array(piece.astype(np.int32)), pa.array(sums[piece, lang])], ["lang", "piece", "n"])
 
@@ -243,12 +275,12 @@ def scored(vocabulary: str, langs: list[str], prob: np.ndarray):
         for batch in batches:
             preds: list[str] = []
             scores: list[float] = []
-            for _, _, texts in _texts(batch, 6 * C.CHUNK_BYTES):
+            for _, _, texts in _texts(batch, 8 * C.CHUNK_BYTES):
                 words, at, row = _unique(texts if langs else [])
                 logs = np.zeros((len(words), len(langs)))
-                for step in _steps(words):
+                for step in _steps(words, len(langs)):
                     codes, lens = word_matrix([words[i] for i in step])
-                    logs[step] = forward(Cuts(pieces, codes, lens), codes, lens, prob)[0]
+                    logs[step] = word_scores(pieces, codes, lens, prob)
                 for r, t in enumerate(texts):
                     mine = at[slice(*np.searchsorted(row, (r, r + 1)))]
                     if not langs or t is None or not any(map(str.isalpha, t)):
@@ -261,6 +293,7 @@ def scored(vocabulary: str, langs: list[str], prob: np.ndarray):
                     preds.append(langs[best])
                     scores.append(float(odds[best] / odds.sum()))
             yield pa.RecordBatch.from_arrays([batch.column("doc_key"), batch.column("held_out"), pa.array(preds, pa.string()), pa.array(scores, pa.float64())], ["doc_key", "held_out", "lang_pred", "score"])
+            C.trim()
 
     return run
 

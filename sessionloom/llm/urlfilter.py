@@ -6,13 +6,14 @@ of rejected URLs (Witten-Bell smoothing: each order falls back to the next short
 A URL that no rule fits is judged by the difference of the two models' log-likelihoods per
 character, calibrated on held-out examples by logistic regression on that difference.
 
-The models rest on the counts of (context, next character) of all ruled URLs, each distinct
-one once, which Spark adds up. At most about SAMPLE examples of each verdict, chosen by hash, calibrate.
+The models are tables: counts of (context, next character) of all ruled URLs, each distinct
+one once. The distinct windows of the URLs to judge meet them in joins, and a URL's ratio is the
+sum over its windows, so neither the driver nor a task ever holds a model. At most about SAMPLE
+examples of each verdict, chosen by hash, calibrate; only their ratios come to the driver.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,8 +27,11 @@ from . import common as C
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 #: About so many examples of one verdict, at most, calibrate; the models count all.
 SAMPLE = 20_000
+#: Characters of the longest context, and what stands before a URL's first one.
 ORDER = 5
 START = "\x02"
+#: Probability of any character without a model.
+FLAT = 1 / 4096
 #: Bits of a character's code, and characters that are looked up at a time.
 BITS = np.int64(21)
 STEP = 1 << 17
@@ -60,130 +64,22 @@ def packed(codes: np.ndarray) -> pa.Table:
     return pa.table({"hi": a, "lo": b})
 
 
-def unpacked(hi: np.ndarray, lo: np.ndarray) -> np.ndarray:
-    return np.stack([x >> s & ((1 << 21) - 1) for x in (hi, lo) for s in (42, 21, 0)], axis=1)
-
-
-def _at(keys: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(where each key is, whether it is there at all)."""
-    if not len(keys):
-        return np.zeros(len(key), np.int64), np.zeros(len(key), bool)
-    at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-    return at, keys[at] == key
-
-
-class MarkovModel:
-    """Characters given up to ORDER characters before them, smoothed by Witten-Bell.
-
-    Contexts are nodes of a trie read backwards from the character; a node's number is its
-    place in the sorted edges (parent, character) plus one, the root's is 0.
-    """
-
-    def __init__(self, texts: list[str], order: int = ORDER):
-        parts = [x for x, _ in windows(texts, order)]
-        codes = np.concatenate(parts) if parts else np.zeros((0, order + 1), np.int64)
-        self._build(codes, np.ones(len(codes), np.int64))
-
-    @classmethod
-    def counted(cls, codes: np.ndarray, n: np.ndarray) -> MarkovModel:
-        """From windows and how often each occurs."""
-        model = cls.__new__(cls)
-        model._build(codes[n > 0], n[n > 0])
-        return model
-
-    def _build(self, codes: np.ndarray, n: np.ndarray) -> None:
-        self.order = codes.shape[1] - 1
-        node, made = np.zeros(len(codes), np.int64), 1
-        edges, follow, times = [], [], []
-        for k in range(self.order + 1):
-            if k:
-                keys, inverse = np.unique(node << BITS | codes[:, self.order - k], return_inverse=True)
-                node, made = made + inverse, made + len(keys)
-                edges.append(keys)
-            keys, inverse = np.unique(node << BITS | codes[:, self.order], return_inverse=True)
-            follow.append(keys)
-            times.append(np.bincount(inverse, n, len(keys)))
-        self.edges = np.concatenate([*edges, np.zeros(0, np.int64)])
-        self.follow, self.times = np.concatenate(follow), np.concatenate(times)
-        self.total = np.bincount(self.follow >> BITS, self.times, made)
-        self.kinds = np.bincount(self.follow >> BITS, minlength=made)
-
-    def probabilities(self, codes: np.ndarray) -> np.ndarray:
-        """Of the last character of each window, given those before it."""
-        p, node, order = np.full(len(codes), 1 / 4096), np.zeros(len(codes), np.int64), codes.shape[1] - 1
-        live = np.arange(len(codes)) if self.total[0] else np.zeros(0, np.int64)
-        for k in range(order + 1):
-            if k:
-                at, there = _at(self.edges, node[live] << BITS | codes[live, order - k])
-                live = live[there]
-                node[live] = at[there] + 1
-            own = node[live]
-            at, there = _at(self.follow, own << BITS | codes[live, order])
-            p[live] = (np.where(there, self.times[at], 0) + self.kinds[own] * p[live]) / (self.total[own] + self.kinds[own])
-        return p
-
-    def probability(self, context: str, char: str) -> float:
-        return float(self.probabilities(np.array([[ord(c) for c in context + char]], np.int64))[0])
-
-
-class RatioFilter:
-    """The two models and the calibration; score() is the calibrated probability that a URL is to be blocked."""
-
-    def __init__(self, accepted: list[str], rejected: list[str]):
-        def held(texts: list[str]) -> tuple[list[str], list[str]]:
-            return ([t for i, t in enumerate(texts) if i % 5], texts[::5]) if len(texts) >= 10 else (texts, texts)
-
-        self.known = bool(accepted) and bool(rejected)
-        (fit_a, test_a), (fit_r, test_r) = held(accepted), held(rejected)
-        self.accepted, self.rejected = MarkovModel(fit_a), MarkovModel(fit_r)
-        self.slope, self.shift = 1.0, 0.0
-        if self.known:
-            self.calibrate(self.ratios(test_a), self.ratios(test_r))
-
-    @classmethod
-    def counted(cls, codes: np.ndarray, allowed: np.ndarray, blocked: np.ndarray) -> RatioFilter:
-        """From windows and how often each occurs in URLs of either verdict; not calibrated."""
-        model = cls.__new__(cls)
-        model.accepted, model.rejected = MarkovModel.counted(codes, allowed), MarkovModel.counted(codes, blocked)
-        model.known = bool(model.accepted.total[0]) and bool(model.rejected.total[0])
-        model.slope, model.shift = 1.0, 0.0
-        return model
-
-    def ratios(self, texts: list[str]) -> np.ndarray:
-        """Difference of the models' log-likelihoods per character."""
-        out = np.zeros(len(texts))
-        for codes, owner in windows(texts):
-            gain = np.log(self.rejected.probabilities(codes)) - np.log(self.accepted.probabilities(codes))
-            out += np.bincount(owner, gain, len(texts))
-        return out / np.array([max(len(t), 1) for t in texts])
-
-    def ratio(self, text: str) -> float:
-        return float(self.ratios([text])[0])
-
-    def calibrate(self, no: np.ndarray, yes: np.ndarray) -> None:
-        """Logistic regression of the verdict on the ratio, both verdicts weighing the same."""
-        x = np.concatenate((no, yes))
-        y = np.repeat((0.0, 1.0), (len(no), len(yes)))
-        n = np.repeat((0.5 / len(no), 0.5 / len(yes)), (len(no), len(yes)))
-        w, b = 1.0, 0.0
-        for _ in range(50):
-            p = 1 / (1 + np.exp(-np.clip(w * x + b, -30, 30)))
-            v = n * np.maximum(p * (1 - p), 1e-6)
-            gw, gb = -1e-3 * w + float(np.sum(n * (y - p) * x)), float(np.sum(n * (y - p)))
-            hww, hwb, hbb = 1e-3 + float(np.sum(v * x * x)), float(np.sum(v * x)), 1e-6 + float(np.sum(v))
-            det = hww * hbb - hwb * hwb
-            if abs(det) < 1e-12:
-                break
-            w, b = w + max(-5.0, min(5.0, (hbb * gw - hwb * gb) / det)), b + max(-5.0, min(5.0, (hww * gb - hwb * gw) / det))
-        self.slope, self.shift = w, b
-
-    def scores(self, texts: list[str]) -> np.ndarray:
-        if not self.known:
-            return np.zeros(len(texts))
-        return 1 / (1 + np.exp(-np.clip(self.slope * self.ratios(texts) + self.shift, -30, 30)))
-
-    def score(self, text: str) -> float:
-        return float(self.scores([text])[0])
+def calibrated(no: np.ndarray, yes: np.ndarray) -> tuple[float, float]:
+    """(slope, shift): logistic regression of the verdict on the ratio, both verdicts weighing the same."""
+    x = np.concatenate((no, yes))
+    y = np.repeat((0.0, 1.0), (len(no), len(yes)))
+    n = np.repeat((0.5 / len(no), 0.5 / len(yes)), (len(no), len(yes)))
+    w, b = 1.0, 0.0
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(w * x + b, -30, 30)))
+        v = n * np.maximum(p * (1 - p), 1e-6)
+        gw, gb = -1e-3 * w + float(np.sum(n * (y - p) * x)), float(np.sum(n * (y - p)))
+        hww, hwb, hbb = 1e-3 + float(np.sum(v * x * x)), float(np.sum(v * x)), 1e-6 + float(np.sum(v))
+        det = hww * hbb - hwb * hwb
+        if abs(det) < 1e-12:
+            break
+        w, b = w + max(-5.0, min(5.0, (hbb * gw - hwb * gb) / det)), b + max(-5.0, min(5.0, (hww * gb - hwb * gw) / det))
+    return w, b
 
 
 def parts(url: Column) -> tuple[Column, Column]:
@@ -202,63 +98,111 @@ def fitting_rule(rules=RULES) -> tuple[Column, Column]:
     return rule, verdict
 
 
+#: The four models: of accepted and of rejected URLs, each from the URLs that do not calibrate and from all.
+MODELS = ("allow_taught", "allow", "block_taught", "block")
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(verdict, held, url) -> (hi, lo, and how often the window occurs by verdict and held)."""
+    """(url, blocked, taught) -> (hi, lo, and how often the window occurs in each model's URLs)."""
     for batch in batches:
-        column, urls = np.array([2 * b + h for b, h in zip(batch.column("blocked").to_pylist(), batch.column("held").to_pylist(), strict=True)]), batch.column("url").to_pylist()
-        for codes, owner in windows(urls):
+        blocked, taught = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("blocked", "taught"))
+        of = np.stack([(blocked == 0) & (taught == 1), blocked == 0, (blocked == 1) & (taught == 1), blocked == 1]).astype(np.int64)
+        for codes, owner in windows(batch.column("url").to_pylist()):
             t = packed(codes)
-            for k in range(4):
-                t = t.append_column(COUNTS[k], pa.array((column[owner] == k).astype(np.int64)))
-            t = t.group_by(["hi", "lo"], use_threads=False).aggregate([(c, "sum") for c in COUNTS])
-            yield from t.select(["hi", "lo", *[f"{c}_sum" for c in COUNTS]]).rename_columns(["hi", "lo", *COUNTS]).combine_chunks().to_batches()
+            for name, own in zip(MODELS, of, strict=True):
+                t = t.append_column(name, pa.array(own[owner]))
+            t = t.group_by(["hi", "lo"], use_threads=False).aggregate([(c, "sum") for c in MODELS])
+            yield from t.select(["hi", "lo", *[f"{c}_sum" for c in MODELS]]).rename_columns(["hi", "lo", *MODELS]).combine_chunks().to_batches()
 
 
-#: By 2 x blocked + held.
-COUNTS = ("allow", "allow_held", "block", "block_held")
+def _windows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(u, url) -> (u, hi, lo, n): the windows of each URL and how often they occur in it."""
+    for batch in batches:
+        u = batch.column("u").to_numpy(zero_copy_only=False)
+        for codes, owner in windows(batch.column("url").to_pylist()):
+            t = packed(codes).append_column("u", pa.array(u[owner])).group_by(["u", "hi", "lo"], use_threads=False).aggregate([([], "count_all")])
+            yield from t.select(["u", "hi", "lo", "count_all"]).rename_columns(["u", "hi", "lo", "n"]).combine_chunks().to_batches()
 
 
-def _ratios(model: RatioFilter):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("blocked"), pa.array(model.ratios(batch.column("url").to_pylist()))], ["blocked", "ratio"])
+def _orders() -> Column:
+    """For a window, of each order: (k, h, l, c), its last k + 1 characters as two longs, and c as l without the last."""
+    one, two = 2 ** int(BITS) - 1, 2 ** (2 * int(BITS)) - 1
+    out = []
+    for k in range(ORDER + 1):
+        h = F.lit(0).cast("long") if k < 3 else F.col("hi").bitwiseAND(F.lit((one, two, -1)[k - 3]).cast("long"))
+        low = F.col("lo").bitwiseAND(F.lit((one, two, -1)[min(k, 2)]).cast("long"))
+        out.append(F.struct(F.lit(k).alias("k"), h.alias("h"), low.alias("l"), (low - low.bitwiseAND(F.lit(one).cast("long"))).alias("c")))
+    return F.array(*out)
 
-    return run
 
+def models(urls: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(grams, contexts) of (url, blocked, taught): counts by order k of characters after contexts, and each context's sum and kinds."""
+    counted = urls.mapInArrow(_count, f"hi long, lo long, {', '.join(f'{c} long' for c in MODELS)}").groupBy("hi", "lo").agg(*[F.sum(c).alias(c) for c in MODELS])
+    grams = counted.select(F.explode(_orders()).alias("o"), *MODELS).groupBy("o.k", "o.h", "o.l", "o.c").agg(*[F.sum(m).alias(m) for m in MODELS])
+    grams = C.written(grams, "grams")
+    contexts = grams.groupBy("k", "h", "c").agg(*[F.sum(m).alias(f"{m}_sum") for m in MODELS], *[F.count_if(F.col(m) > 0).alias(f"{m}_kinds") for m in MODELS])
+    return grams, C.written(contexts, "contexts")
 
-def _judge(model: RatioFilter):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            urls = batch.column("unruled").to_pylist()
-            asked = [i for i, t in enumerate(urls) if t is not None]
-            scores = np.full(len(urls), np.nan)
-            scores[asked] = model.scores([urls[i] for i in asked])
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in batch.schema.names if c != "unruled"], pa.array(scores, pa.float64(), mask=np.isnan(scores))], [*[c for c in batch.schema.names if c != "unruled"], "block_probability"])
 
-    return run
+def probabilities(asked: DataFrame, grams: DataFrame, contexts: DataFrame) -> DataFrame:
+    """asked (hi, lo) with p: of the last character given those before it, by each of MODELS."""
+    x = asked.select("hi", "lo", F.explode(_orders()).alias("o")).select("hi", "lo", "o.*")
+    x = x.join(grams.drop("c"), ["k", "h", "l"], "left").join(contexts, ["k", "h", "c"], "left")
 
+    def each(tail: str) -> Column:
+        return F.array(*[F.coalesce(f"{m}{tail}", F.lit(0)).cast("double") for m in MODELS])
 
-def fitted(ruled: DataFrame, sample: int) -> RatioFilter:
-    """The filter learned from all of (url, ruled); one URL of five of each verdict, or fewer, is held out to calibrate."""
+    level = F.struct("k", each("").alias("n"), each("_sum").alias("total"), each("_kinds").alias("kinds"))
+    levels = F.sort_array(F.collect_list(level))  # one of each order
+
+    def smoothed(p: Column, own: Column) -> Column:
+        def one(q: Column, i: Column) -> Column:
+            weight = F.get(own["total"], i) + F.get(own["kinds"], i)
+            return F.when(weight > 0, (F.get(own["n"], i) + F.get(own["kinds"], i) * q) / weight).otherwise(q)
+
+        return F.transform(p, one)
+
+    start = F.array(*[F.lit(FLAT)] * len(MODELS))
+    return x.groupBy("hi", "lo").agg(levels.alias("levels")).select("hi", "lo", F.aggregate("levels", start, smoothed).alias("p"))
+
+
+def ratios(texts: DataFrame, grams: DataFrame, contexts: DataFrame) -> DataFrame:
+    """texts (u, url, ...) with taught and whole: the models' differences in log-likelihood per character; u tells rows apart."""
+    own = C.written(texts.select("u", "url").mapInArrow(_windows_of, "u long, hi long, lo long, n long"), "windows")
+    p = F.col("p")
+    gains = probabilities(own.select("hi", "lo").distinct(), grams, contexts)
+    gains = gains.select("hi", "lo", *[(F.log(F.get(p, F.lit(b))) - F.log(F.get(p, F.lit(a)))).alias(c) for c, a, b in (("taught", 0, 2), ("whole", 1, 3))])
+    sums = own.join(gains, ["hi", "lo"]).groupBy("u").agg(*[F.sum(F.col("n") * F.col(c)).alias(c) for c in ("taught", "whole")])
+    chars = F.greatest(F.length("url"), F.lit(1))
+    return texts.join(sums, "u", "left").select(*texts.columns, *[(F.coalesce(c, F.lit(0.0)) / chars).alias(c) for c in ("taught", "whole")])
+
+
+def scored(ruled: DataFrame, asked: DataFrame, sample: int) -> DataFrame | None:
+    """(url, block_probability) of the distinct urls of asked, learned from all of (url, ruled); None without examples of both verdicts.
+
+    One URL of five of each verdict, or fewer, calibrates models of the others. A verdict
+    that would be left without URLs on either side uses all of them on both.
+    """
     urls = ruled.select("url", (F.col("ruled") == "block").cast("int").alias("blocked")).distinct()
-    sizes = {r["blocked"]: r["count"] for r in urls.groupBy("blocked").count().collect()}
+    sizes = {r["blocked"]: r["count"] for r in urls.groupBy("blocked").count().collect()}  # two rows
     if len(sizes) < 2:
-        return RatioFilter([], [])
+        return None
     one_of = {b: 5 * max(1, -(-n // (5 * max(sample, 1)))) for b, n in sizes.items()}
     every = F.when(F.col("blocked") == 1, F.lit(one_of[1])).otherwise(F.lit(one_of[0]))
-    urls = urls.withColumn("held", (F.pmod(F.xxhash64("url"), every) == 0).cast("int"))
-    t = urls.mapInArrow(_count, f"hi long, lo long, {', '.join(f'{c} long' for c in COUNTS)}").groupBy("hi", "lo").agg(*[F.sum(c).alias(c) for c in COUNTS]).toArrow()
-    hi, lo, allow, allow_held, block, block_held = (c.to_numpy() for c in t.columns)
-    codes = unpacked(hi, lo)
-    # Where either part of a verdict is empty, all its URLs both teach and calibrate.
-    split = {b: bool(n.any() and m.any()) for b, n, m in ((0, allow, allow_held), (1, block, block_held))}
-    taught = RatioFilter.counted(codes, allow if split[0] else allow + allow_held, block if split[1] else block + block_held)
-    held = urls.where((F.col("held") == 1) | F.when(F.col("blocked") == 1, F.lit(not split[1])).otherwise(F.lit(not split[0])))
-    found = held.select("url", "blocked").mapInArrow(_ratios(taught), "blocked int, ratio double").toArrow()
-    model = RatioFilter.counted(codes, allow + allow_held, block + block_held)
-    side, ratio = found.column("blocked").to_numpy(), found.column("ratio").to_numpy()
-    model.calibrate(np.sort(ratio[side == 0]), np.sort(ratio[side == 1]))
-    return model
+    urls = C.written(urls.withColumn("held", F.pmod(F.xxhash64("url"), every) == 0), "ruled")
+    sides = {(r["blocked"], r["held"]) for r in urls.where("url <> ''").groupBy("blocked", "held").count().collect()}
+    split = F.lit(False)
+    for b in (0, 1):
+        split = F.when(F.col("blocked") == b, F.lit({(b, True), (b, False)} <= sides)).otherwise(split)
+    urls = urls.withColumns({"taught": (~(F.col("held") & split)).cast("int"), "calibrates": F.col("held") | ~split})
+    texts = urls.where("calibrates").select("url", "blocked").unionByName(asked.select("url").distinct().withColumn("blocked", F.lit(-1)))
+    texts = C.written(texts.withColumn("u", F.monotonically_increasing_id()), "asked")
+    rated = C.written(ratios(texts, *models(urls.select("url", "blocked", "taught"))), "ratios")
+    found = rated.where("blocked >= 0").select("blocked", "taught").toPandas()  # about 2 x sample rows
+    side, ratio = found["blocked"].to_numpy(), found["taught"].to_numpy()
+    slope, shift = calibrated(np.sort(ratio[side == 0]), np.sort(ratio[side == 1]))
+    odds = F.greatest(F.lit(-30.0), F.least(F.lit(30.0), slope * F.col("whole") + shift))
+    return rated.where("blocked < 0").select("url", F.round(1 / (1 + F.exp(-odds)), 12).alias("block_probability"))
 
 
 def judge_urls(pages: DataFrame, rules=RULES, sample: int = SAMPLE) -> DataFrame:
@@ -273,9 +217,14 @@ def judge_urls(pages: DataFrame, rules=RULES, sample: int = SAMPLE) -> DataFrame
     x = pages.select("page_id", "url").select("page_id", "url", host.alias("host"), path.alias("path"))
     rule, verdict = fitting_rule(rules)
     x = x.select("page_id", "url", "host", "path", rule.alias("rule"), verdict.alias("ruled"))
-    model = fitted(x.where(F.col("ruled").isNotNull()), sample)
-    asked = x.select("page_id", "host", "path", "rule", "ruled", F.when(F.col("ruled").isNull(), F.col("url")).alias("unruled"))
-    kind = asked.schema["page_id"].dataType.simpleString()
-    out = asked.mapInArrow(_judge(model), f"page_id {kind}, host string, path string, rule string, ruled string, block_probability double")
+    asked = x.where("ruled is null and url is not null")
+    found = scored(x.where("ruled is not null").select("url", "ruled"), asked, sample)
+    none = F.lit(None).cast("double").alias("block_probability")
+    made = ["page_id", "host", "path", "rule", "ruled", "block_probability"]
+    if found is None:
+        out = x.select(*made[:-1], none)
+    else:
+        settled = x.where("ruled is not null or url is null").select(*made[:-1], none)
+        out = settled.unionByName(asked.join(found, "url").select(*made))
     own = F.when(F.col("block_probability") >= 0.5, "block").otherwise("allow")
     return out.select("page_id", "host", "path", "rule", F.coalesce("ruled", own).alias("verdict"), "block_probability")

@@ -57,3 +57,39 @@ def test_parts_are_balanced():
     x = np.random.default_rng(1).normal(size=(1000, 8))
     part = A.balanced_parts(x, A.nearest(x, x, 11), 8)
     assert np.bincount(part).max() <= 138 and np.bincount(part).min() > 0
+
+
+def test_double_precision_and_extreme_values(spark):
+    rows = {0: [1e-60, 0.0], 100: [1e39, 1.0], 200: [1.0, 1.0 + 2**-50], 1: [1.0, 1.0], 2: [1e300, -1e300], 3: [-1.7e308, 1.7e308], 4: [2e-200, 0.0], 5: [3e-200, 0.0], 300: [1e308, -1e308], 400: [1e-200, 0.0]}
+    got = {}
+    for x in A.search(spark.createDataFrame(list(rows.items()), "vec_id long, embedding array<double>"), asked()).collect():
+        got.setdefault(x.query_id, []).append((x.vec_id, x.score))
+    assert got.keys() == {0, 100, 200, 300, 400} and all(len(v) == 9 for v in got.values())
+    assert dict(got[200])[1] == 2**-50 and got[200][0][0] == 1
+    assert got[400][0] == (4, 1e-200) and abs(got[400][1][1] / 2e-200 - 1) < 1e-12
+    assert abs(dict(got[300])[2] / (1e300 * (1e8 - 1) * 2**0.5) - 1) < 1e-9
+    assert dict(got[300])[3] == float("inf")  # beyond the range of doubles
+    assert [s for _, s in got[100]] == sorted(s for _, s in got[100])
+
+
+def test_repeated_ids_ask_with_the_least_vector(spark):
+    rows = [(100, [5.0, 5.0]), (100, [1.0, 0.0]), (100, [1.0, 0.0]), (1, [1.0, 0.5]), (2, [5.0, 5.1]), (2, [5.0, 5.1])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = [(x.vec_id, x.score) for x in A.search(df, asked()).orderBy("rank").collect()]
+    assert [i for i, _ in got] == [1, 2, 2] and got[0][1] == 0.5
+
+
+def test_blocks_of_a_part_meet(spark, monkeypatch):
+    r = np.random.default_rng(8)
+    rows = {i: r.normal(size=4).tolist() for i in range(0, 6000, 10)}
+    df = spark.createDataFrame(list(rows.items()), "vec_id long, embedding array<double>").repartition(3)
+    monkeypatch.setattr(A, "BLOCK", 7)
+    got = {}
+    for x in A.search(df, asked(), recall=1.1).collect():  # all parts visited: exact
+        got.setdefault(x.query_id, []).append((x.score, x.vec_id))
+    want = brute(rows, [i for i in rows if i % 100 == 0])
+    assert {q: [i for _, i in sorted(v)] for q, v in got.items()} == {q: [i for _, i in v] for q, v in want.items()}
+
+
+def test_parts_grow_with_the_table():
+    assert [A.parts_for(n, 8192) for n in (0, 10**6, 2 * 10**6, 10**7, 10**8, 10**10)] == [16, 16, 32, 256, 512, 512]
