@@ -6,7 +6,8 @@ leftmost) merges and brings in its new neighbours. A candidate is skipped for go
 keyed hash of (seed, document, place of the chunk in it, place of the pair) falls under the
 dropout. So a seed fixes every segmentation, seeds, documents and the occurrences of a word
 in a document differ, rate 0 is the tokenizer's own encoding, and decoding always gives back
-the text.
+the text. For that a mark that stands in the text itself is encoded as its bytes, where the
+tokenizer would take it for a space.
 
 What a chunk merges to depends on which of the candidates that can arise in it are dropped.
 Occurrences of a frequent chunk that drop the same ones are merged once a run of documents,
@@ -22,7 +23,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,8 +31,8 @@ from . import common as C
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-#: The column `variant` names one of so many classes of documents; segmentations do not depend on it.
-VARIANTS = 4
+#: Stands for a mark of the text itself while it is encoded; no text holds it, as it is half a surrogate pair.
+OWN_MARK = "\ud800"
 #: Candidates of a chunk whose drops are told apart by one integer.
 BITS = 62
 #: From so many occurrences in a run of documents on, those that drop the same are looked for; results do not depend on it.
@@ -231,16 +231,20 @@ class Encoder:
         self.v, self.seed, self.rate, self.wide = Vocabulary(path), seed, rate, wide
         self.codes: dict[str, np.ndarray] = {}
 
+    def chunks(self, text: str) -> list[str]:
+        return CHUNK.findall(MARK + text.replace(MARK, OWN_MARK).replace(" ", MARK)) if text else []
+
     def _ids(self, symbols: np.ndarray | list[int]) -> list[int]:
         out: list[int] = []
         for s in symbols:
             if s >= 0:
                 out.append(int(s))
             else:
-                out += [self.v.byte_ids[b] for b in chr(-1 - int(s)).encode("utf-8", "surrogatepass")]
+                c = chr(-1 - int(s))
+                out += [self.v.byte_ids[b] for b in (MARK if c == OWN_MARK else c).encode("utf-8", "surrogatepass")]
         return out
 
-    def drops(self, words: np.ndarray, word: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    def drops(self, words: list[str], word: np.ndarray, keys: np.ndarray) -> np.ndarray:
         """Of each occurrence of words: the set of dropped candidates as an integer, or -1 where it is not told.
 
         Words that are longer than `wide` or rarer than OFTEN are not told; of more than BITS candidates only the empty set (0) is.
@@ -283,12 +287,14 @@ class Encoder:
 
     def encode_batch(self, texts: list[str], documents: list[int]) -> list[np.ndarray]:
         """Ids of each text; documents: the key of each one's document."""
-        split = [CHUNK.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
+        split = [self.chunks(t) for t in texts]
         counts = np.array([len(s) for s in split], np.int64)
         flat = [c for s in split for c in s]
         if not flat:
             return [np.zeros(0, np.int32) for _ in texts]
-        word, words = pd.factorize(np.array(flat, object))
+        known: dict[str, int] = {}
+        word = np.array([known.setdefault(c, len(known)) for c in flat], np.int64)
+        words = list(known)
         every = occurrence_keys(self.seed, np.array(documents, np.int64), counts)
         dropped = self.drops(words, word, every)
         # Occurrences with the same drops stand for each other.
@@ -333,8 +339,8 @@ class Encoder:
             if b is not None:
                 out.append(b)
             else:
-                out += self.v.texts[int(i)].encode("utf-8")
-        return bytes(out).decode("utf-8", "surrogatepass").replace(MARK, " ")[1:]
+                out += self.v.texts[int(i)].replace(MARK, " ").encode("utf-8")
+        return bytes(out).decode("utf-8", "surrogatepass")[1:]
 
 
 def _pieces_table(v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
@@ -344,14 +350,14 @@ def _pieces_table(v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
 
 
 def encoded(path: str, seed: int, rate: float, digest: bool):
-    """Arrow map: (doc_key, variant, document, text) -> ids of each text, or their count, hash and whether they decode to it."""
+    """Arrow map: (doc_key, document, text) -> ids of each text, or their count, hash and whether they decode to it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(path, seed, rate)
         table, first = _pieces_table(encoder.v)
         for batch in batches:
             _, offs = C.text_parts(batch.column("text"))
-            for a, b in C.row_chunks(offs, 4 * C.CHUNK_BYTES):
+            for a, b in C.row_chunks(offs, 8 * C.CHUNK_BYTES):
                 part = batch.slice(a, b - a)
                 texts = [t or "" for t in part.column("text").to_pylist()]
                 ids = encoder.encode_batch(texts, part.column("document").to_pylist())
@@ -365,26 +371,26 @@ def encoded(path: str, seed: int, rate: float, digest: bool):
                         size = first[x + 1] - first[x]
                         ends = np.cumsum(size)
                         raw = table[np.repeat(first[x] - (ends - size), size) + np.arange(int(ends[-1]))] if len(x) else table[:0]
-                        whole.append(raw[1:].tobytes() == t.replace(MARK, " ").encode("utf-8"))
+                        whole.append(raw[1:].tobytes() == t.encode("utf-8"))
                     made = {"n_ids": n, "ids_sha256": pa.array([hashlib.sha256(x.astype("<i4").tobytes()).hexdigest() for x in ids]), "lossless": pa.array(whole, pa.bool_())}
-                yield pa.RecordBatch.from_arrays([part.column("doc_key"), part.column("variant"), *made.values()], ["doc_key", "variant", *made])
+                yield pa.RecordBatch.from_arrays([part.column("doc_key"), *made.values()], ["doc_key", *made])
+            C.trim()
 
     return run
 
 
 def encode(docs: DataFrame, seed: int = 0, rate: float = 0.1, path: str = VOCABULARY, digest: bool = False) -> DataFrame:
-    """(doc_id, variant, n_ids, ids) of every document; digest: ids_sha256 and lossless in place of ids.
+    """(doc_id, n_ids, ids) of every document; digest: ids_sha256 and lossless in place of ids.
 
     ids_sha256 is over the ids as 32-bit little-endian integers; lossless says that the ids
-    decode to the text. Null and empty texts have no ids. A text that itself holds the mark
-    U+2581 decodes to spaces there, as with the tokenizer. Dropout depends on doc_id and the place
-    in the text, so repeated rows are encoded alike; so does variant, a class of doc_id (null: 0)
-    that nothing depends on. Other columns are ignored.
+    decode to the very text. Null and empty texts have no ids. Dropout depends on doc_id (on the
+    text, where that is null) and the place in the text, so repeated rows are encoded alike.
+    Other columns are ignored; an empty table gives an empty result.
     """
-    variant = F.coalesce(F.pmod(F.xxhash64("doc_id"), F.lit(VARIANTS)), F.lit(0)).cast("int")
-    x = docs.select(C.ided("doc_id").alias("doc_key"), F.when(F.col("doc_id").isNull(), 0).otherwise(variant).cast("int").alias("variant"), F.xxhash64("doc_id").alias("document"), "text")
+    document = F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("doc_id"))
+    x = docs.select(C.ided("doc_id").alias("doc_key"), document.alias("document"), "text")
     made = "ids_sha256 string, lossless boolean" if digest else "ids array<int>"
-    out = x.mapInArrow(encoded(path, seed, rate, digest), f"doc_key long, variant int, n_ids long, {made}")
+    out = x.mapInArrow(encoded(path, seed, rate, digest), f"doc_key long, n_ids long, {made}")
     return out.select(C.un_ided("doc_key").alias("doc_id"), *out.columns[1:])
 
 
