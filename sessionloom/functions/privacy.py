@@ -31,18 +31,51 @@ IDENTIFIER_RULES = [
 ]
 RULES = CREDENTIAL_RULES + IDENTIFIER_RULES
 
+#: What a lower-cased text must hold for a rule to match at all: one string of each group.
+NEEDS: dict[str, list[list[str]]] = {
+    "private_key": [["-----begin"]],
+    "password_kv": [["pass", "khau", "mk", "pwd"], [":", "="]],
+    "api_key_kv": [["key", "secret", "token"], [":", "="]],
+    "bearer_hdr": [["bearer"]],
+    "basic_hdr": [["basic"]],
+    "known_secret": [["sk-", "k_live_", "k_test_", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "akia", "aiza", "xox", "glpat-"]],
+    "conn_string": [["://"]],
+    "jwt": [["eyj"]],
+    "email": [["@"]],
+    "money": [["$", "vnd", "vnđ", "đ", "usd"]],
+    "cust_code": [["kh", "hd", "cus", "inv"]],
+}
+#: Runs of digits, with their separators, that a rule needs.
+DIGITS = {"vn_id": r"[0-9]{9}", "vn_phone": r"[0-9](?:[ \-.]?[0-9]){8}", "bank_acct": r"[0-9]{8}", "money": r"[0-9][0-9.,]{2}", "cust_code": r"[0-9]{4}"}
+
+
+def _may_match(name: str, low: Column) -> Column:
+    out = F.lit(True)
+    for group in NEEDS.get(name, []):
+        some = F.lit(False)
+        for w in group:
+            some = some | low.contains(w)
+        out = out & some
+    return out & low.rlike(DIGITS[name]) if name in DIGITS else out
+
 
 def sanitize(df: DataFrame, column: str = "text") -> DataFrame:
     """df with clean_text, hits (rule names in order), had_credential and n_strong_pii of `column` (null: empty).
 
-    The rules run as one projection each, so that a rule's text is built once.
+    The rules run as one projection each, so that a rule's text is built once. As long as no
+    rule has hit, a rule runs only on texts that hold the plain strings it needs.
     """
-    df = df.withColumn("_t0", F.coalesce(F.col(column), F.lit("")))
+    df = df.withColumn("_t0", F.coalesce(F.col(column), F.lit(""))).withColumn("_low", F.lower("_t0"))
+    may = {name: _may_match(name, F.col("_low")) for name, _, _ in RULES}
+    df = df.withColumn("_may", F.array(*may.values()))
+    df = df.withColumn("_any", F.exists("_may", lambda m: m))
     for i, (_, pattern, mask) in enumerate(RULES):
-        df = df.withColumn(f"_t{i + 1}", F.regexp_replace(f"_t{i}", pattern, mask.replace("$", r"\$")))
+        now = F.col(f"_t{i}")
+        tried = F.col("_any") & (F.get("_may", F.lit(i)) | (now != F.col("_t0")))
+        df = df.withColumn(f"_t{i + 1}", F.when(tried, F.regexp_replace(now, pattern, mask.replace("$", r"\$"))).otherwise(now))
     hits = F.array_compact(F.array(*[F.when(F.col(f"_t{i}") != F.col(f"_t{i + 1}"), F.lit(n)) for i, (n, _, _) in enumerate(RULES)]))
     df = df.withColumn("clean_text", F.col(f"_t{len(RULES)}")).withColumn("hits", hits)
-    df = df.drop(*[f"_t{i}" for i in range(len(RULES) + 1)])
+    df = df.drop(*[f"_t{i}" for i in range(len(RULES) + 1)], "_low", "_may", "_any")
     credential, strong = (_among(F.col("hits"), rules) for rules in (CREDENTIAL_RULES, IDENTIFIER_RULES))
     return df.withColumns({"had_credential": credential > 0, "n_strong_pii": strong})
 

@@ -6,6 +6,8 @@ accented text gives the same result on every engine. Lengths are code points.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,6 +15,8 @@ from pyspark.sql import functions as F
 B = r"(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"
 S = r"[\s\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]"
 
+SPACES = " \t\n\x0b\f\r\u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
+
 INTERRUPT_MARKER = "[Request interrupted by user]"
 #: Word and phrase lists of the classifier.
 APPROVALS = ["ok", "okay", "yes", "yep", "yeah", "go", "go ahead", "continue", "lgtm", "perfect", "great", "thanks", "thank you", "do it", "sounds good", "proceed", "👍"]
@@ -41,6 +45,11 @@ TASK_TYPES = [
 ]
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value built once however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _any(x: Column, words: list[str], test: str = "contains") -> Column:
     out = F.lit(False)
     for w in words:
@@ -49,7 +58,7 @@ def _any(x: Column, words: list[str], test: str = "contains") -> Column:
 
 
 def js_trim(x: Column) -> Column:
-    return F.regexp_replace(x, f"^{S}+|{S}+$", "")
+    return F.trim(x, F.lit(SPACES))
 
 
 def one_line(x: Column, n: int = 100) -> Column:
@@ -61,15 +70,18 @@ def normalize_ack(x: Column) -> Column:
 
 
 def is_approval(x: Column) -> Column:
-    norm = normalize_ack(x)
-    words = F.split(norm, f"{S}+")
-    phrase = (F.length(norm) <= 20) & (F.size(words) <= 3) & F.forall(words, lambda w: w.isin(APPROVALS))
-    return F.length(x).between(1, 40) & (norm.isin(APPROVALS) | phrase)
+    def said(norm: Column) -> Column:
+        words = F.split(norm, f"{S}+")
+        return norm.isin(APPROVALS) | ((F.length(norm) <= 20) & (F.size(words) <= 3) & F.forall(words, lambda w: w.isin(APPROVALS)))
+
+    return F.when(F.length(x).between(1, 40), bound(normalize_ack(x), said)).otherwise(F.lit(False))
 
 
 def is_correction(x: Column) -> Column:
-    t = js_trim(F.lower(x))
-    return t.isin("no", "nope") | _any(t, CORRECTIONS, "startswith") | t.rlike(f"^still{B}")
+    def starts(t: Column) -> Column:
+        return t.isin("no", "nope") | _any(t, CORRECTIONS, "startswith") | t.rlike(f"^still{B}")
+
+    return bound(F.lower(F.left(js_trim(x), F.lit(24))), starts)  # longer than any of the phrases
 
 
 def is_continuation_cue(x: Column) -> Column:
@@ -78,29 +90,51 @@ def is_continuation_cue(x: Column) -> Column:
 
 
 def has_request_cue(x: Column) -> Column:
-    return _any(F.lower(x), REQUEST_CUES)
+    return bound(F.lower(x), lambda t: _any(t, REQUEST_CUES))
 
 
 def is_paste(x: Column) -> Column:
-    """Pasted output: log tokens, shell echoes, stack frames, listings, process tables, or mostly non-letter lines."""
-    lines = F.split(x, "\n", -1)
-    filled = F.filter(lines, lambda s: js_trim(s) != "")
-    token = _any(F.lower(x), LOG_TOKENS)
-    shell = F.exists(lines, lambda s: s.rlike(rf"[A-Za-z0-9_]+@[A-Za-z0-9_.-]+.*[%$]{S}") | s.rlike(rf"^{S}*\$ "))
-    frames = x.rlike(rf"\n{S}*at{S}+[^\s]+:[0-9]+") | x.rlike(r'File ".*", line [0-9]+')
-    listing = F.size(F.filter(lines, lambda s: js_trim(s).rlike(r"^[-d][rwx-]{9}") | s.rlike(rf"{B}[0-9]{{2,}}%{B}.*[0-9]{{2}}:[0-9]{{2}}:[0-9]{{2}}"))) >= 2
+    """Pasted output: log tokens, shell echoes, stack frames, listings, process tables, or mostly non-letter lines.
+
+    Plain string tests stand before the patterns that need them, and lines are trimmed once.
+    """
+
+    def listed(s: Column) -> Column:
+        load = s.contains("%") & s.rlike(rf"{B}[0-9]{{2,}}%{B}.*[0-9]{{2}}:[0-9]{{2}}:[0-9]{{2}}")
+        return (F.left(s, F.lit(1)).isin("-", "d") & s.rlike(r"^[-d][rwx-]{9}")) | load
 
     def table_row(s: Column) -> Column:
-        cols = F.split(js_trim(s), f"{S}+")
-        return (F.size(cols) >= 6) & (F.size(F.filter(cols, lambda c: c.rlike(r"^[0-9][0-9.,%]*$"))) >= 4)
+        def counted(cols: Column) -> Column:
+            return (F.size(cols) >= 6) & (F.size(F.filter(cols, lambda c: c.rlike(r"^[0-9][0-9.,%]*$"))) >= 4)
 
-    table = F.size(F.filter(lines, table_row)) >= 2
-    odd = F.size(F.filter(filled, lambda s: ~js_trim(s).rlike("^[A-Za-z]")))
-    ratio = (F.size(filled) >= 4) & (odd >= 0.6 * F.size(filled))
-    first = F.coalesce(F.get(filled, F.lit(0)), F.lit(""))
-    asks = first.contains("?") & (F.length(first) < 120)
-    hard = token | shell | frames | listing | table
-    return (F.length(x) >= 60) & F.when(hard, ~asks).otherwise(ratio & ~has_request_cue(x))
+        return s.rlike(rf"(?:[0-9][0-9.,%]*{S}+(?:.*{S})?){{3}}[0-9]") & bound(F.split(s, f"{S}+"), counted)
+
+    def odd(s: Column) -> Column:
+        first = F.left(s, F.lit(1))
+        return ~(first.between("A", "Z") | first.between("a", "z"))
+
+    def judged(z: Column) -> Column:
+        lines, low = z["lines"], z["low"]
+        shell = (x.contains("@") | x.contains("$ ")) & F.exists(lines, lambda s: s.rlike(rf"[A-Za-z0-9_]+@[A-Za-z0-9_.-]+.*[%$]{S}") | s.rlike(rf"^{S}*\$ "))
+        frames = (x.contains("at") & x.rlike(rf"\n{S}*at{S}+[^\s]+:[0-9]+")) | (x.contains('File "') & x.rlike(r'File ".*", line [0-9]+'))
+
+        def by_lines(trimmed: Column) -> Column:
+            listing = F.size(F.filter(trimmed, listed)) >= 2
+            table = F.size(F.filter(trimmed, table_row)) >= 2
+
+            def by_filled(filled: Column) -> Column:
+                first = F.coalesce(F.get(filled, F.lit(0)), F.lit(""))
+                ratio = (F.size(filled) >= 4) & (F.size(F.filter(filled, odd)) >= 0.6 * F.size(filled))
+                # `first` is the untrimmed line where that matters: its length.
+                asks = F.exists(F.slice(F.filter(lines, lambda s: js_trim(s) != ""), 1, 1), lambda s: s.contains("?") & (F.length(s) < 120))
+                return F.when(_any(low, LOG_TOKENS) | shell | frames | listing | table, ~asks).otherwise(ratio & ~_any(low, REQUEST_CUES) & (first != ""))
+
+            return bound(F.filter(trimmed, lambda s: s != ""), by_filled)
+
+        return bound(F.transform(lines, js_trim), by_lines)
+
+    whole = F.struct(F.split(x, "\n", -1).alias("lines"), F.lower(x).alias("low"))
+    return F.when(F.length(x) >= 60, bound(whole, judged)).otherwise(F.lit(False))
 
 
 def heuristic_role(text: Column, n_images: Column) -> Column:
@@ -160,8 +194,14 @@ def pattern_signature(steps: Column) -> Column:
 
 
 def hash31(x: Column) -> Column:
-    """32-bit hash h = 31 h + code over the characters, as eight lower-case hex digits."""
-    codes = F.transform(F.split(x, ""), lambda c: F.ascii(c).cast("bigint"))
+    """32-bit hash h = 31 h + unit over the UTF-16 units, as eight lower-case hex digits."""
+
+    def units(c: Column) -> Column:
+        code = F.ascii(c).cast("bigint")
+        high, low = F.floor((code - 65536) / 1024) + 55296, (code - 65536) % 1024 + 56320
+        return F.when(code > 65535, F.array(high.cast("bigint"), low)).otherwise(F.array(code))
+
+    codes = F.flatten(F.transform(F.split(x, ""), units))
     h = F.aggregate(codes, F.lit(0).cast("bigint"), lambda a, c: (a * 31 + c).bitwiseAND(F.lit(4294967295)))
     return F.when(x == "", "00000000").otherwise(F.lpad(F.lower(F.hex(h)), 8, "0"))
 

@@ -89,9 +89,9 @@ def read_before_edit(calls: DataFrame) -> DataFrame:
 
 
 def next_event(events: DataFrame, wanted: Column, column: str, keys: list[str] = EPISODE) -> Column:
-    """column of the nearest later event of the episode that is wanted: a forward as-of lookup."""
-    after = Window.partitionBy(*keys).orderBy("event_index").rowsBetween(1, Window.unboundedFollowing)
-    return F.first(F.when(wanted, F.col(column)), ignorenulls=True).over(after)
+    """column of the nearest later event of the episode that is wanted: a forward as-of lookup, as a running one backwards."""
+    after = Window.partitionBy(*keys).orderBy(F.desc("event_index")).rowsBetween(Window.unboundedPreceding, -1)
+    return F.last(F.when(wanted, F.col(column)), ignorenulls=True).over(after)
 
 
 def last_is_open(events: DataFrame, is_open: Column) -> DataFrame:

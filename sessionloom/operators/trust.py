@@ -43,18 +43,29 @@ def strata(rows: DataFrame, flags: dict[str, Column]) -> DataFrame:
 
 
 def stratified_draw(members: DataFrame, n: int, seed: int = 0) -> DataFrame:
-    """n episodes in turn from the strata without repeats, in an order fixed by the hash of id and seed.
+    """n episodes (episode_id, stratum) in turn from the strata without repeats; within a stratum in the order of a hash of id and seed.
 
-    Each round offers the next `n` members of each stratum; a member goes to the stratum that
-    reaches it first. Only the first n of each stratum can be drawn, so the rest is cut before.
+    Each turn of a stratum takes its first member that no turn before has taken; strata that have
+    run out are passed over. A cursor only ever passes taken members, so the first n of each
+    stratum are all that n turns can reach, and the turns fold over n x strata ids at most.
     """
-    order = Window.partitionBy("stratum").orderBy(F.xxhash64("episode_id", F.lit(seed)), "episode_id")
-    top = members.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= n * 2)
-    first = F.row_number().over(Window.partitionBy("episode_id").orderBy("_r", "stratum_k"))
-    own = top.withColumn("_f", first).where("_f = 1")
-    place = F.row_number().over(order)
-    own = own.withColumn("_place", place)
-    return own.orderBy("_place", "stratum_k").limit(n).select("episode_id", "stratum")
+    key = F.md5(F.concat_ws(":", F.col("episode_id").cast("string"), F.lit(str(seed))))
+    order = Window.partitionBy("stratum_k").orderBy("_h", "episode_id")
+    top = members.withColumn("_h", key).withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= n)
+    lists = top.groupBy("stratum_k", "stratum").agg(F.transform(F.array_sort(F.collect_list(F.struct("_r", "episode_id"))), lambda x: x["episode_id"]).alias("ids"))
+    lists = lists.agg(F.array_sort(F.collect_list(F.struct("stratum_k", "stratum", "ids"))).alias("lists"))
+    kind = members.schema["episode_id"].dataType.simpleString()
+    start = F.struct(F.array().cast(f"array<{kind}>").alias("taken"), F.array().cast("array<string>").alias("by"))
+
+    def turn(acc: Column, i: Column) -> Column:
+        own = F.get("lists", i % F.size("lists"))
+        pick = F.get(F.array_except(own["ids"], acc["taken"]), F.lit(0))
+        more = pick.isNotNull() & (F.size(acc["taken"]) < n)
+        return F.when(more, F.struct(F.array_append(acc["taken"], pick).alias("taken"), F.array_append(acc["by"], own["stratum"]).alias("by"))).otherwise(acc)
+
+    drawn = F.aggregate(F.sequence(F.lit(0), F.size("lists") * n - 1), start, turn)
+    rows = lists.where(F.size("lists") > 0).select(drawn.alias("d")).select(F.explode(F.arrays_zip(F.col("d.taken").alias("episode_id"), F.col("d.by").alias("stratum"))).alias("x"))
+    return rows.select("x.episode_id", "x.stratum")
 
 
 def agreement(rows: DataFrame) -> DataFrame:

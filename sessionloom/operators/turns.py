@@ -64,7 +64,8 @@ def classify(turns: DataFrame, context: DataFrame) -> DataFrame:
 
     turns: session_id, idx, event_index, text, n_images, gap_s, repeats. context: session_id,
     event_index, words (an assistant event's keywords). The fold's state is the event of the
-    last task boundary; an ambiguous turn is a follow-up or opens a task (see SURVEY 2.9).
+    last task boundary and the distinct context words since then; an ambiguous turn is a follow-up
+    or opens a task (see SURVEY 2.9). Each turn brings the words between its predecessor and itself.
     """
     known = turns.withColumn("role0", T.heuristic_role(F.col("text"), F.col("n_images"))).select(
         "session_id",
@@ -73,14 +74,19 @@ def classify(turns: DataFrame, context: DataFrame) -> DataFrame:
             T.is_continuation_cue(F.col("text")).alias("cue"), T.keywords(F.col("text")).alias("words"),
         ).alias("t"),
     )
-    lists = known.groupBy("session_id").agg(F.array_sort(F.collect_list("t")).alias("turns"))
-    windows = context.groupBy("session_id").agg(F.collect_list(F.struct("event_index", "words")).alias("window"))
-    lists = lists.join(windows, "session_id", "left")
+    both = context.select("session_id", "event_index", "words", F.lit(None).cast("bigint").alias("idx")).unionByName(turns.select("session_id", "event_index", F.lit(None).cast("array<string>").alias("words"), "idx"))
+    back = Window.partitionBy("session_id").orderBy(F.desc("event_index")).rowsBetween(Window.unboundedPreceding, 0)
+    between = both.withColumn("idx", F.last("idx", ignorenulls=True).over(back)).where("words is not null and idx is not null")
+    between = between.groupBy("session_id", "idx").agg(F.array_distinct(F.flatten(F.collect_list("words"))).alias("new"))
+    known = known.withColumn("idx", F.col("t.idx")).join(between, ["session_id", "idx"], "left")
+    none = F.array().cast("array<string>")
+    lists = known.groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("t.*", F.coalesce("new", none).alias("new")))).alias("turns"))
 
     def fold(acc: Column, t: Column) -> Column:
+        return F.get(F.transform(F.array(F.array_union(acc["seen"], t["new"])), lambda seen: step(acc, t, seen)), F.lit(0))
+
+    def step(acc: Column, t: Column, seen: Column) -> Column:
         last = acc["last"]
-        window = F.filter("window", lambda e: (e["event_index"] >= last) & (e["event_index"] < t["event_index"]))
-        seen = F.coalesce(F.array_distinct(F.flatten(F.transform(window, lambda e: e["words"]))), F.array().cast("array<string>"))
         overlap = T.containment(t["words"], seen)
         open_ = last >= 0
         near = (t["gap_s"] < SHORT_GAP_S) & ((overlap >= SOME_OVERLAP) | (t["chars"] <= SHORT_TEXT))
@@ -91,10 +97,11 @@ def classify(turns: DataFrame, context: DataFrame) -> DataFrame:
         by = F.when(sure | (~follows & open_ & (overlap >= SOME_OVERLAP)), "heuristic").otherwise("signal")
         moved = F.when(role == "new_task", t["event_index"]).otherwise(last)
         made = F.struct(t["idx"].alias("idx"), t["event_index"].alias("event_index"), role.alias("role"), by.alias("classified_by"))
-        return F.struct(moved.cast("bigint").alias("last"), F.array_append(acc["out"], made).alias("out"))
+        since = F.when(role == "new_task", none).otherwise(seen)
+        return F.struct(moved.cast("bigint").alias("last"), since.alias("seen"), F.array_append(acc["out"], made).alias("out"))
 
     kind = "array<struct<idx:bigint,event_index:bigint,role:string,classified_by:string>>"
-    start = F.struct(F.lit(-1).cast("bigint").alias("last"), F.array().cast(kind).alias("out"))
+    start = F.struct(F.lit(-1).cast("bigint").alias("last"), none.alias("seen"), F.array().cast(kind).alias("out"))
     out = lists.select("session_id", F.explode(F.aggregate("turns", start, fold)["out"]).alias("o"))
     return out.select("session_id", "o.idx", "o.event_index", "o.role", "o.classified_by")
 

@@ -42,7 +42,7 @@ def _sql_slug(x: str) -> str:
 
 oracle(
     "task_normalize",
-    f"""WITH x AS (SELECT p_partkey AS id, p_type AS raw FROM part UNION ALL SELECT doc_id, left({D.sql_trim("coalesce(text, '')")}, 60) FROM documents),
+    f"""WITH x AS (SELECT p_partkey AS id, p_type AS raw FROM part UNION ALL SELECT doc_id, {D.sql_trim("coalesce(text, '')")} FROM documents),
     y AS (SELECT id, raw, {_sql_normalize('raw')} AS label FROM x) SELECT id, raw, label, {_sql_slug('label')} AS slug FROM y""",
 )
 
@@ -243,6 +243,17 @@ def stratified_draw(spark: SparkSession, sf: str) -> DataFrame:
     return Q.stratified_draw(_members(spark, sf), 40, seed=7)
 
 
+oracle(
+    "stratified_draw",
+    f"""WITH RECURSIVE {D.EPISODES}, {_MEMBERS}, l AS (SELECT stratum_k, stratum, list(episode_id ORDER BY md5(episode_id || ':7'), episode_id) AS ids FROM me GROUP BY 1, 2),
+    a AS (SELECT list(ids ORDER BY stratum_k) AS ls, list(stratum ORDER BY stratum_k) AS names FROM l),
+    d AS (SELECT 0 AS i, []::BIGINT[] AS taken, []::VARCHAR[] AS who UNION ALL
+      SELECT i + 1, CASE WHEN pick IS NULL THEN taken ELSE list_append(taken, pick) END, CASE WHEN pick IS NULL THEN who ELSE list_append(who, name) END FROM (
+        SELECT i, taken, who, names[i % len(ls) + 1] AS name, list_filter(ls[i % len(ls) + 1], lambda x : NOT list_contains(taken, x))[1] AS pick FROM d, a WHERE len(taken) < 40 AND i < 40 * len(ls)))
+    SELECT taken[k] AS episode_id, who[k] AS stratum FROM (SELECT taken, who FROM d ORDER BY i DESC LIMIT 1), range(1, len(taken) + 1) t(k)""",
+)
+
+
 def _calibration(x: DataFrame) -> DataFrame:
     k = F.col("episode_id")
     human = Q.human_outcome(F.when(k % 11 == 0, "partial"), F.when(k % 4 < 3, k % 4 > 0), F.col("outcome"))
@@ -369,7 +380,7 @@ def hash31(spark: SparkSession, sf: str) -> DataFrame:
 oracle(
     "hash31",
     """WITH x AS (SELECT c_custkey, 'conv|' || lower(c_name) || '|' || c_mktsegment AS s FROM customer)
-    SELECT c_custkey, lpad(lower(printf('%x', list_reduce(list_prepend(0::BIGINT, list_transform(string_split(s, ''), lambda c : ascii(c)::BIGINT)), lambda a, c : (a * 31 + c) % 4294967296))), 8, '0') AS h FROM x""",
+    SELECT c_custkey, lpad(lower(printf('%x', list_reduce(list_prepend(0::BIGINT, list_transform(string_split(s, ''), lambda c : unicode(c)::BIGINT)), lambda a, c : (a * 31 + c) % 4294967296))), 8, '0') AS h FROM x""",
 )
 
 
