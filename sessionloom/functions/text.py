@@ -207,25 +207,25 @@ def hash31(x: Column) -> Column:
 
 
 def json_object(x: Column) -> Column:
-    """The first balanced {...} of a text, aware of strings and escapes; null if there is none."""
-    body = F.substr(x, F.locate("{", x))
-    start = F.struct(F.lit(0).alias("depth"), F.lit(False).alias("quoted"), F.lit(False).alias("escaped"), F.lit(0).alias("at"), F.lit(0).alias("end"))
-
-    def step(a: Column, c: Column) -> Column:
-        at = a["at"] + 1
-        live = a["end"] == 0
-        plain = ~a["quoted"]
-        depth = a["depth"] + F.when(plain & (c == "{"), 1).when(plain & (c == "}"), -1).otherwise(0)
-        quoted = F.when(a["escaped"], a["quoted"]).when(c == '"', ~a["quoted"]).otherwise(a["quoted"])
-        escaped = a["quoted"] & ~a["escaped"] & (c == "\\")
-        end = F.when(live & plain & (c == "}") & (depth == 0), at).otherwise(a["end"])
-        return F.struct(
-            F.when(live, depth).otherwise(a["depth"]).cast("int").alias("depth"),
-            F.when(live, quoted).otherwise(a["quoted"]).alias("quoted"),
-            F.when(live, escaped).otherwise(a["escaped"]).alias("escaped"),
-            at.cast("int").alias("at"),
-            end.cast("int").alias("end"),
-        )
-
-    end = F.aggregate(F.split(body, ""), start, step)["end"]
-    return F.when((F.locate("{", x) > 0) & (end > 0), F.substr(body, F.lit(1), end))
+    """The first balanced {...} of a text - of its first fenced block, if it has one -, aware of strings and escapes; null if there is none."""
+    inner = F.when(x.contains("```") & x.rlike(FENCE), F.regexp_extract(x, FENCE, 1)).otherwise(x)
+    return bound(inner, lambda t: bound(F.when(F.locate("{", t) > 0, F.substr(t, F.locate("{", t))), _balanced))
+
+
+FENCE = r"(?is)```(?:json)?\s*(.*?)```"
+#: A string, open to the end if it is not closed; a brace; anything else.
+JSON_TOKEN = r'(?s)"(?:[^"\\]|\\.)*+"?|[{}]|[^"{}]+'
+
+
+def _balanced(body: Column) -> Column:
+    """The balanced object that a text begins with, token by token."""
+    start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("at"), F.lit(0).alias("end"))
+
+    def step(a: Column, token: Column) -> Column:
+        at = a["at"] + F.length(token)
+        depth = a["depth"] + F.when(token == "{", 1).when(token == "}", -1).otherwise(0)
+        end = F.when((a["end"] == 0) & (token == "}") & (depth == 0), at).otherwise(a["end"])
+        return F.struct(depth.alias("depth"), at.alias("at"), end.alias("end"))
+
+    end = F.aggregate(F.regexp_extract_all(body, F.lit(JSON_TOKEN), 0), start, step)["end"]
+    return F.when(end > 0, F.left(body, end))

@@ -106,17 +106,40 @@ def _flags(blob: Column) -> list[tuple[str, Column]]:
     return [(n, blob.rlike(p)) for p, n in named]
 
 
-def risk_flags(rows: DataFrame) -> DataFrame:
-    """Ordered risk labels of each cluster, from its prompts and tool sequences in order, and its edit share.
+#: Places of a cluster's texts that are looked at together; a cluster is never in one place as a whole.
+RUN = 4096
 
-    A pattern may run over a line's end into the next rows of its cluster, so a row is read
-    together with the two behind it; the cluster's text is never put together in one place.
+
+def risk_flags(rows: DataFrame, evidence: DataFrame | None = None) -> DataFrame:
+    """Ordered risk labels of each cluster, from its prompts, tool sequences and evidence texts in order, and its edit share.
+
+    rows: cluster_id, ord, first_prompt, tool_sequence, n_files_edited, n_files_read; evidence:
+    cluster_id, ord, text, behind the rows. All texts of a cluster, joined by line feeds, are one
+    text to the patterns. These run over a line's end only where they allow white space, twice
+    at most, so a text is read with the two behind it that are not blank: first within runs of
+    RUN places (ord is a running number), then over the ends of runs, of which a cluster has few.
     """
     part = F.concat_ws("\n", F.nullif("first_prompt", F.lit("")), F.nullif("tool_sequence", F.lit("")))
-    behind = Window.partitionBy("cluster_id").orderBy("ord")
-    x = rows.withColumn("_part", part).withColumn("_near", F.concat_ws("\n", "_part", F.lead("_part", 1).over(behind), F.lead("_part", 2).over(behind)))
+    texts = rows.select("cluster_id", F.lit(0).alias("_kind"), "ord", part.alias("_part"))
+    if evidence is not None:
+        texts = texts.unionByName(evidence.select("cluster_id", F.lit(1).alias("_kind"), "ord", F.col("text").alias("_part")))
+    texts = texts.where(F.col("_part").rlike(r"\S")).withColumn("_run", F.floor(F.col("ord") / RUN))
+    run = ["cluster_id", "_kind", "_run"]
+    up, down = (Window.partitionBy(*run).orderBy(o) for o in (F.col("ord").asc(), F.col("ord").desc()))
+
+    def lead(n: int, w) -> Column:
+        return F.lead("_part", n).over(w)
+
+    texts = texts.withColumns({"_near": F.concat_ws("\n", "_part", lead(1, up), lead(2, up)), "_first": F.row_number().over(up), "_last": F.row_number().over(down)})
     names = _flags(F.col("_near"))
-    out = x.groupBy("cluster_id").agg(*[F.bool_or(c).alias(f"_f{i}") for i, (_, c) in enumerate(names)], F.sum("n_files_edited").alias("edited"), F.sum("n_files_read").alias("read"))
+    marks = [F.bool_or(c).alias(f"_f{i}") for i, (_, c) in enumerate(names)]
+    ends = [F.max(F.when(F.col(place) == k, F.col("_part"))).alias(f"{place}{k}") for place in ("_first", "_last") for k in (1, 2)]
+    runs = texts.groupBy(*run).agg(*marks, *ends)
+    order = Window.partitionBy("cluster_id").orderBy("_kind", "_run")
+    heads = [F.lead(f"_first{k}", n).over(order) for n in (1, 2) for k in (1, 2)]
+    runs = runs.withColumn("_near", F.concat_ws("\n", "_last2", "_last1", *heads))
+    found = runs.groupBy("cluster_id").agg(*[F.bool_or(F.col(f"_f{i}") | c).alias(f"_f{i}") for i, (_, c) in enumerate(names)])
+    out = rows.groupBy("cluster_id").agg(F.sum("n_files_edited").alias("edited"), F.sum("n_files_read").alias("read")).join(found, "cluster_id", "left")
     heavy = F.when((F.col("edited") >= 5) & (F.col("edited") > 2 * F.coalesce("read", F.lit(0))), "write-heavy (edits >> reads)")
     return out.select("cluster_id", F.array_join(F.array_compact(F.array(*[F.when(F.col(f"_f{i}"), F.lit(n)) for i, (n, _) in enumerate(names)], heavy)), "; ").alias("risk_flags"))
 

@@ -11,6 +11,20 @@ OUTCOMES = ["success", "partial", "failed", "abandoned", "qa_only"]
 SKILL_TYPES = ["skill", "script", "sop", "none"]
 
 
+def once(df: DataFrame) -> DataFrame:
+    """df computed now and kept in the shared folder of spark.checkpoint.dir, so that nothing behind it runs twice.
+
+    Without that setting driver and executors must be one local process; its own temporary folder is used.
+    """
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or f"file:///tmp/checkpoints/{context.applicationId}")
+    return df.checkpoint(eager=True)
+
+
 def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """old with the rows of new in place of those of the same key; columns only one side has are filled with nulls."""
     return old.join(new.select(*keys).distinct(), keys, "left_anti").unionByName(new, allowMissingColumns=True)

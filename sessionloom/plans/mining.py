@@ -85,7 +85,9 @@ oracle("intervention", f"WITH {D.EPISODES}, {_INTERVENTION} SELECT * FROM it")
 
 @query
 def risk_flags(spark: SparkSession, sf: str) -> DataFrame:
-    return M.risk_flags(D.clusters(spark, sf))
+    rows = D.clusters(spark, sf)
+    said = F.when(F.col("ord") % 3 == 0, "they git push").when(F.col("ord") % 3 == 1, "  ").otherwise("--force it")
+    return M.risk_flags(rows, rows.where("ord % 512 < 3 and n_corrections = 0").select("cluster_id", "ord", said.alias("text")))
 
 
 _RISKS = ", ".join(
@@ -93,7 +95,9 @@ _RISKS = ", ".join(
 )
 oracle(
     "risk_flags",
-    f"""WITH {D.EPISODES}, b AS (SELECT cluster_id, string_agg(first_prompt || coalesce(chr(10) || nullif(tool_sequence, ''), ''), chr(10) ORDER BY ord) AS blob, sum(n_files_edited) AS edited, sum(n_files_read) AS read FROM cl GROUP BY 1)
+    f"""WITH {D.EPISODES}, v AS (SELECT cluster_id, string_agg(CASE ord % 3 WHEN 0 THEN 'they git push' WHEN 1 THEN '  ' ELSE '--force it' END, chr(10) ORDER BY ord) AS said FROM cl WHERE ord % 512 < 3 AND n_corrections = 0 GROUP BY 1),
+    b AS (SELECT cl.cluster_id, string_agg(first_prompt || coalesce(chr(10) || nullif(tool_sequence, ''), ''), chr(10) ORDER BY ord) || coalesce(chr(10) || any_value(said), '') AS blob, sum(n_files_edited) AS edited, sum(n_files_read) AS read
+      FROM cl LEFT JOIN v ON cl.cluster_id = v.cluster_id GROUP BY 1)
     SELECT cluster_id, array_to_string(list_filter([{_RISKS}, CASE WHEN edited >= 5 AND edited > 2 * coalesce(read, 0) THEN 'write-heavy (edits >> reads)' END], lambda x : x IS NOT NULL), '; ') AS risk_flags FROM b""",
 )
 

@@ -77,13 +77,54 @@ def test_labels_are_redacted_and_retried(spark):
 
     def echo(frames):
         for f in frames:
-            yield f.rename(columns={"rendered": "label"})
+            yield f.rename(columns={"prompt": "answer"}).assign(answer=lambda x: "{" + x["answer"] + "}")
 
     bad = {r.episode_id: r for r in labeling.label(episodes, echo).collect()}
     assert "abc123" not in bad[1].label and len(bad[1].errors) == 12
     assert labeling.estimated_cost(10, 100, True) == pytest.approx(48)
 
 
+def test_a_caller_is_asked_once_for_each_prompt(spark, tmp_path):
+    episodes = spark.createDataFrame([(i, "x" * i) for i in range(12)], "episode_id long, rendered string").repartition(3)
+    log = str(tmp_path)
+
+    def counting(name):
+        def run(frames):
+            import json
+            import os
+
+            for f in frames:
+                out = []
+                for k, p in zip(f["episode_id"], f["prompt"], strict=True):
+                    again = labeling.NUDGE in p
+                    open(os.path.join(log, f"{name}-{k}-{int(again)}"), "x").close()  # a second time would raise
+                    if name == "outcome":
+                        ok = json.dumps({"task_type": "t", "task_difficulty": "hard", "outcome": "success", "outcome_confidence": 1, "workflow_pattern": [], "good_practices": [], "friction_points": [], "root_cause": "", "outcome_evidence": [], "skill_opportunity": {"worth_codifying": True, "type": "none", "rationale": ""}})
+                        out.append("no" if k == 3 and not again or k == 4 else ok)
+                    else:
+                        out.append(json.dumps({"score": 2, "rationale": "", "evidence": []}))
+                yield f.assign(answer=out)[["episode_id", "answer"]]
+
+        return run
+
+    rubrics = labeling.Rubrics("a", "b", "c", "d")
+    got = {r.episode_id: r for r in labeling.panel(episodes, {n: counting(n) for n in ("outcome", "efficiency", "quality")}, rubrics).collect()}
+    assert len(got) == 12 and {k for k, r in got.items() if r.errors} == {4}
+    assert all(got[k].label.outcome == "partial" and got[k].label.outcome_confidence == 0.6 and got[k].quality.score == 2 for k in range(12) if k != 4)
+    files = {p.name for p in tmp_path.iterdir() if p.name[0] != "."}
+    assert len(files) == 12 + 2 + 11 + 11 and {"outcome-3-1", "outcome-4-1"} <= files
+    assert len({labeling.prompt_hash(rubrics), labeling.prompt_hash(rubrics, "2"), labeling.panel_hash(rubrics, ["m"]), labeling.panel_hash(rubrics, ["n"])}) == 4
+
+
+def test_risks_over_line_ends(spark, monkeypatch):
+    monkeypatch.setattr(mine, "RUN", 4)
+    rows = [("a", 2, "please git"), ("a", 3, "  "), ("a", 4, None), ("a", 5, "push"), ("a", 9, "origin prod"), ("b", 1, "git"), ("b", 2, "x"), ("b", 3, "push to prod"), ("c", 1, "rm"), ("d", 1, "drop"), ("d", 100, "fine"), ("e", 1, "x")]
+    x = spark.createDataFrame([(*r, None, 6 if r[0] == "e" else 0, 1) for r in rows], "cluster_id string, ord long, first_prompt string, tool_sequence string, n_files_edited int, n_files_read int")
+    said = spark.createDataFrame([("c", 1, "\n -rf /"), ("d", 1, "table t")], "cluster_id string, ord long, text string")
+    got = {r.cluster_id: r.risk_flags for r in mine.risk_flags(x, said).collect()}
+    assert got == {"a": "destructive: deploy", "b": "", "c": "destructive: rm -rf", "d": "", "e": "write-heavy (edits >> reads)"}
+
+
 def test_store(spark):
     old = spark.createDataFrame([(1, "a"), (2, "b")], "k long, v string")
     new = spark.createDataFrame([(2, "c", 1), (3, "d", 2)], "k long, v string, w int")
