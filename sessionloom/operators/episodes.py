@@ -9,7 +9,9 @@ from ..functions import text as T
 
 SEQUENCE_CAP = 40
 RENDER_CAP = 12000
-USER_CAP, ASSISTANT_CAP = 700, 1000
+USER_CAP, ASSISTANT_CAP, INPUT_CAP = 700, 1000, 160
+#: Headings and marks of the compact view.
+SIGNALS_HEAD, SUBAGENTS_HEAD, IMAGE = "--- EVIDENCE SIGNALS ---", "--- SUBAGENTS ---", "[image attached]"
 IDLE_GAP_S = 60
 EPISODE = ["session_id", "idx"]
 #: Praise and rejection words, and the marks of a test's outcome.
@@ -40,10 +42,9 @@ def is_test_command(command: Column) -> Column:
 
 
 def test_verdict(result: Column) -> Column:
-    """failed, passed or null of a test's output; a clean-pass mark vetoes a failure."""
-    clean = result.rlike(PASS_CLEAN)
-    failed = (result.rlike(FAIL) | result.rlike(FAIL_COUNT)) & ~clean
-    return F.when(failed, "failed").when(result.rlike(PASS) | clean, "passed")
+    """failed, passed or null of a test's output; a clean-pass mark vetoes a failure, but only a word of passing passes."""
+    failed = (result.rlike(FAIL) | result.rlike(FAIL_COUNT)) & ~result.rlike(PASS_CLEAN)
+    return F.when(failed, "failed").when(result.rlike(PASS), "passed")
 
 
 def tool_sequence(calls: DataFrame, keys: list[str] = EPISODE) -> DataFrame:
@@ -139,12 +140,58 @@ def render(events: DataFrame, cap: int = RENDER_CAP) -> DataFrame:
     """The compact view of each episode. events: session_id, idx, event_index, role, text."""
     lines = events.withColumn("line", line_of(F.col("role"), F.col("text")))
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("line").isNotNull(), F.struct("event_index", "line")))), lambda p: p["line"]), "\n")
-    none = F.lit("--- EVIDENCE SIGNALS ---\n(none)")
+    none = F.lit(f"{SIGNALS_HEAD}\n(none)")
     return lines.groupBy(*EPISODE).agg(body.alias("body")).select(*EPISODE, fit_within_cap(F.col("body"), none, cap).alias("rendered"))
 
 
+def event_lines(human: Column) -> Column:
+    """The lines of an event, by its type and parts: a human turn with its images, an assistant's texts and tool calls."""
+    text = F.array_join(F.transform(F.filter("parts", lambda p: p["type"] == "text"), lambda p: F.coalesce(p["text"], F.lit(""))), "")
+    image = F.exists("parts", lambda p: p["type"] == "image")
+
+    def user(t: Column) -> Column:
+        return F.concat(F.lit("USER: "), F.concat_ws(" ", F.nullif(F.left(t, F.lit(USER_CAP)), F.lit("")), F.when(image, F.lit(IMAGE))))
+
+    def line(p: Column) -> Column:
+        said = T.js_trim(F.coalesce(p["text"], F.lit("")))
+        call = F.concat(F.lit("  [tool:"), F.coalesce(p["name"], F.lit("?")), F.lit(" "), F.left(F.coalesce(p["input"], F.lit("{}")), F.lit(INPUT_CAP)), F.lit("]"))
+        return F.when((p["type"] == "text") & (said != ""), F.concat(F.lit("ASSISTANT: "), F.left(said, F.lit(ASSISTANT_CAP)))).when(p["type"] == "tool_use", call)
+
+    none = F.array().cast("array<string>")
+    return F.when(human, F.array(T.bound(T.js_trim(text), user))).when(F.col("type") == "assistant", F.array_compact(F.transform("parts", line))).otherwise(none)
+
+
+def render_full(events: DataFrame, human: Column, signals: DataFrame, subagents: DataFrame | None = None, cap: int = RENDER_CAP) -> DataFrame:
+    """(KEYS, rendered): conversation and tool lines of each episode, then its evidence and subagents, which are never elided.
+
+    events: session_id, idx, event_index, type, parts. signals, subagents: the blocks of operators.evidence.
+    """
+    lines = events.select(*EPISODE, F.struct("event_index", event_lines(human).alias("lines")).alias("l"))
+    body = F.array_join(F.flatten(F.transform(F.array_sort(F.collect_list("l")), lambda x: x["lines"])), "\n")
+    x = lines.groupBy(*EPISODE).agg(body.alias("body")).join(signals, EPISODE, "left")
+    blocks = [F.coalesce("signals", F.lit(f"{SIGNALS_HEAD}\n(none)"))]
+    if subagents is not None:
+        x, blocks = x.join(subagents, EPISODE, "left"), [*blocks, F.col("subagents")]
+    return x.select(*EPISODE, fit_within_cap(F.col("body"), F.concat_ws("\n\n", *blocks), cap).alias("rendered"))
+
+
+def hash_parts(events: DataFrame) -> DataFrame:
+    """(session_id, idx, event_index, part) for content_hash(): user texts as written, assistant texts, and tool calls with their input.
+
+    Tool results and blank user events have none; event_index orders the parts of one event too.
+    """
+    text = F.array_join(F.transform(F.filter("parts", lambda p: p["type"] == "text"), lambda p: F.coalesce(p["text"], F.lit(""))), "")
+    result = F.col("tool_use_result").isNotNull() | F.exists("parts", lambda p: p["type"] == "tool_result")
+    call = lambda p: F.concat(F.lit("T:"), F.coalesce(p["name"], F.lit("undefined")), F.coalesce(p["input"], F.lit("{}")))
+    parts = F.when((F.col("type") == "user") & ~result & (text != ""), F.array(F.concat(F.lit("USER:"), text))).when(
+        F.col("type") == "assistant", F.array_compact(F.transform("parts", lambda p: F.when(p["type"] == "text", F.concat(F.lit("A:"), p["text"])).when(p["type"] == "tool_use", call(p))))
+    )
+    x = events.select(*EPISODE, "event_index", F.posexplode(parts).alias("k", "part"))
+    return x.select(*EPISODE, (F.col("event_index") * (1 << 20) + F.col("k")).alias("event_index"), "part")
+
+
 def result_text(v: Column) -> Column:
-    """A tool result, parsed as VARIANT, as one lower-case text: a string itself, else its output, errors and contents, else its JSON."""
+    """A tool result, parsed as VARIANT, as one lower-case text: a string itself, else its output, errors and contents, else its JSON (an array's too)."""
 
     def text(path: str) -> Column:
         return F.when(F.schema_of_variant(F.try_variant_get(v, path, "variant")) == "STRING", F.try_variant_get(v, path, "string"))
@@ -153,7 +200,7 @@ def result_text(v: Column) -> Column:
     interrupted = F.when(F.try_variant_get(v, "$.interrupted", "boolean"), "interrupted")
     listed = F.array_join(F.transform(F.try_variant_get(v, "$.content", "array<variant>"), lambda p: F.coalesce(F.try_variant_get(p, "$.text", "string"), F.lit(""))), "\n")
     whole = F.nullif(F.concat_ws("\n", text("$.stdout"), text("$.stderr"), interrupted, F.coalesce(text("$.content"), F.nullif(listed, F.lit("")))), F.lit(""))
-    return F.lower(F.when(v.isNull(), "").when(kind == "STRING", F.try_variant_get(v, "$", "string")).when(kind.startswith("OBJECT"), F.coalesce(whole, F.to_json(v))).otherwise(""))
+    return F.lower(F.when(v.isNull(), "").when(kind == "STRING", F.try_variant_get(v, "$", "string")).when(kind.startswith("OBJECT"), F.coalesce(whole, F.to_json(v))).when(kind.startswith("ARRAY"), F.to_json(v)).otherwise(""))
 
 
 def opens_pull_request(command: Column) -> Column:

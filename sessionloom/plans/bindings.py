@@ -11,13 +11,14 @@ EPISODES - orders are labelled episodes of customers, their lines the workflow.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import episodes as E
 from ..operators import mine as M
 from ..operators import turns as TU
+from ..sources import transcripts as TR
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -29,6 +30,51 @@ def turn_events(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "conversations").select(F.col("conv_id").alias("session_id"), F.col("turn").alias("event_index"), "role", F.coalesce("text", F.lit("")).alias("text"), clock.cast("double").alias("s"))
 
 
+def _json(x: Column) -> Column:
+    """A text as a JSON string."""
+    made = F.to_json(F.struct(x.alias("v")))
+    return F.substr(made, F.lit(6), F.length(made) - 6)
+
+
+def transcript_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """conversations as transcript lines (session_id, project_dir, line, raw), four to a turn.
+
+    An assistant row of turn t in conversation c calls the tool k = (7 c + t) % 8 (7: none) and is
+    followed by its result and, by s = c + t, by system events, PR links or a broken line.
+    """
+    x = table(spark, sf, "conversations").select(F.col("conv_id").alias("c"), F.col("turn").alias("t"), "role", F.coalesce("text", F.lit("")).alias("x"))
+    k, s, c = (7 * F.col("c") + F.col("t")) % 8, F.col("c") + F.col("t"), F.col("c")
+    said = F.concat(F.lit('{"type":"text","text":'), _json(F.col("x")), F.lit("}"))
+    path = lambda n: F.concat(F.lit("/src/f"), (n % 2).cast("string"), F.lit(".py"))
+    tool = F.when(k <= 1, F.concat(F.lit('"Bash","input":{"command":"cd app && pytest -q t'), c.cast("string"), F.lit('"}')))
+    tool = tool.when(k <= 3, F.concat(F.when(k == 2, '"Read"').otherwise('"Edit"'), F.lit(',"input":{"file_path":"'), path(c), F.lit('"}')))
+    tool = tool.when(k == 4, F.concat(F.lit('"Write","input":{"path":"'), path(F.col("t")), F.lit('"}')))
+    tool = tool.when(k == 5, F.lit('"Bash","input":{"command":"gh pr create --fill"}')).when(k == 6, F.lit('"Bash","input":{"command":"make  all"}'))
+    call = F.concat(F.lit('{"type":"tool_use","id":"'), c.cast("string"), F.lit("_"), F.col("t").cast("string"), F.lit('","name":'), tool, F.lit("}"))
+    parts = F.concat_ws(",", F.when(s % 4 != 3, said), call)
+    result = F.element_at(F.array(F.lit("2 failed, 3 passed"), F.lit("5 passed in 0.1s"), F.lit("1 error suppressed")), (s % 3 + 1).cast("int"))
+    held = F.when(k == 1, F.concat(F.lit('[{"type":"text","text":'), _json(result), F.lit("}]"))).otherwise(_json(result))
+    answer = F.when((k <= 5) & ~((k == 3) & (c % 2 == 1)), F.concat(F.lit('{"type":"user","message":{"content":[{"type":"tool_result","tool_use_id":"'), c.cast("string"), F.lit("_"), F.col("t").cast("string"), F.lit('","content":'), held, F.lit("}]}}")))
+    answer = answer.when(k == 6, F.concat(F.lit('{"type":"user","toolUseResult":{"stdout":"Build succeeded","stderr":"","interrupted":'), (c % 5 == 0).cast("string"), F.lit('},"message":{"content":"done"}}')))
+    system = F.when(s % 11 == 5, F.lit('{"type":"system","subtype":"api_error"}')).when(s % 13 == 6, F.lit('{"type":"system","subtype":"compact_boundary"}')).when(s % 10 == 7, F.lit('{"type":"user", broken'))
+    link = F.when((s % 9 == 4) & (c % 3 == 0), F.concat(F.lit('{"type":"pr-link","prUrl":"https://x/pr/'), c.cast("string"), F.lit('","prNumber":'), (c + 1).cast("string"), F.lit("}")))
+    pictured = (s % 5 == 0) & (F.col("x") != "")
+    content = F.when(pictured, F.concat(F.lit("["), said, F.lit(',{"type":"image"}]'))).otherwise(_json(F.col("x")))
+    user = F.array(F.concat(F.lit('{"type":"user","message":{"role":"user","content":'), content, F.lit("}}")))
+    assistant = F.array(F.concat(F.lit('{"type":"assistant","message":{"content":['), parts, F.lit('],"usage":{"output_tokens":'), F.length("x").cast("string"), F.lit("}}}")), answer, system, link)
+    lines = x.select("c", "t", F.posexplode(F.when(F.col("role") == "user", user).when(F.col("role") == "assistant", assistant)).alias("n", "raw"))
+    return lines.where("raw is not null").select(F.col("c").alias("session_id"), F.lit("p").alias("project_dir"), (F.col("t") * 4 + F.col("n")).alias("line"), "raw")
+
+
+def transcript(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """(events with idx and human, turns with idx) of transcript_lines; roles are those of the conversations."""
+    events = TR.events_of_lines(transcript_lines(spark, sf)).withColumn("human", TR.is_human_turn())
+    marks = roles(spark, sf).select("session_id", (F.col("event_index") * 4).alias("event_index"), "role")
+    events = events.join(marks, ["session_id", "event_index"], "left")
+    events = E.segment(events, F.coalesce(F.col("role") == "new_task", F.lit(False)), F.col("human"))
+    return events, events.where("human").select("session_id", "idx", "event_index", "role", TR.user_text(F.col("parts")).alias("text"))
+
+
 TURNS = """
 te AS (SELECT conv_id AS session_id, turn AS event_index, role, coalesce(text, '') AS text, (turn * (100 + conv_id % 5 * 300))::DOUBLE AS s FROM conversations),
 hu AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY event_index) - 1 AS idx FROM te WHERE role = 'user' AND text <> '' AND NOT starts_with(text, '<')),
@@ -123,6 +169,46 @@ ro AS (SELECT session_id, idx, event_index, role, classed AS classified_by FROM
 """
 
 
+TRANSCRIPT = f"""{ROLES},
+cv AS (SELECT conv_id AS c, turn AS t, role AS who, coalesce(text, '') AS x, (7 * conv_id + turn) % 8 AS k, conv_id + turn AS s FROM conversations),
+tv AS (
+  SELECT *, t * 4 AS e, 'user' AS kind FROM cv WHERE who = 'user'
+  UNION ALL SELECT *, t * 4, 'assistant' FROM cv WHERE who = 'assistant'
+  UNION ALL SELECT *, t * 4 + 1, 'result' FROM cv WHERE who = 'assistant' AND (k < 7 AND NOT (k = 3 AND c % 2 = 1))
+  UNION ALL SELECT *, t * 4 + 2, CASE WHEN s % 11 = 5 THEN 'api_error' ELSE 'compact_boundary' END FROM cv WHERE who = 'assistant' AND (s % 11 = 5 OR s % 13 = 6)
+  UNION ALL SELECT *, t * 4 + 3, 'pr-link' FROM cv WHERE who = 'assistant' AND s % 9 = 4 AND c % 3 = 0
+),
+tx AS (SELECT tv.*, ro.role, greatest(sum(coalesce(ro.role = 'new_task', false)::INT) OVER (PARTITION BY c ORDER BY e) - 1, 0)::BIGINT AS ep,
+         CASE WHEN k <= 1 THEN 'Bash' WHEN k = 2 THEN 'Read' WHEN k = 3 THEN 'Edit' WHEN k = 4 THEN 'Write' WHEN k <= 6 THEN 'Bash' END AS tool,
+         CASE WHEN k IN (2, 3) THEN '/src/f' || c % 2 || '.py' WHEN k = 4 THEN '/src/f' || t % 2 || '.py' END AS path,
+         CASE WHEN k <= 1 THEN 'cd app && pytest -q t' || c WHEN k = 5 THEN 'gh pr create --fill' WHEN k = 6 THEN 'make  all' END AS cmd
+       FROM tv LEFT JOIN ro ON ro.session_id = c AND ro.event_index * 4 = e WHERE c IN (SELECT session_id FROM ro)),
+tc AS (SELECT *, CASE WHEN cmd IS NOT NULL THEN '{{"command":"' || cmd || '"}}' WHEN k = 4 THEN '{{"path":"' || path || '"}}' ELSE '{{"file_path":"' || path || '"}}' END AS input FROM tx WHERE kind = 'assistant' AND k < 7),
+tr AS (SELECT c, ep, e, cmd, k, CASE WHEN k = 6 THEN CASE WHEN c % 5 = 0 THEN 'failed' ELSE 'passed' END WHEN s % 3 = 0 THEN 'failed' WHEN s % 3 = 1 THEN 'passed' END AS verdict FROM tc WHERE k IN (0, 1, 6)),
+tt AS (SELECT c, ep, e, role, {sql_trim('x')} AS x, row_number() OVER (PARTITION BY c, ep ORDER BY e DESC) AS back FROM tx WHERE role IS NOT NULL),
+ts AS (
+  SELECT c, ep, 0 AS o, 'created_pr' AS signal, '+' AS direction, 'strong' AS weight, CASE WHEN bool_or(kind = 'pr-link') THEN 'https://x/pr/' || c ELSE 'gh pr create' END AS value,
+    CASE WHEN bool_or(kind = 'pr-link') THEN 'pr-link event #' || (c + 1) ELSE '`gh pr create` Bash command' END AS reason FROM tx WHERE kind = 'pr-link' OR (kind = 'assistant' AND k = 5) GROUP BY c, ep
+  UNION ALL SELECT c, ep, 1, 'explicit_user_approval', '+', 'strong', 'true', CASE WHEN bool_or(back <= 2 AND role = 'approval') THEN 'approval-role turn near episode end ("' || left(arg_min(x, e) FILTER (back <= 2 AND role = 'approval'), 40)
+    ELSE 'praise in user turn ("' || left(arg_min(x, e) FILTER (praises), 40) END || '")' FROM (SELECT *, regexp_matches(x, '(?i)\\b(perfect|great|awesome|excellent|nice|lgtm|looks good|well done|thanks|thank you|amazing)\\b') AS praises FROM tt)
+    GROUP BY c, ep HAVING bool_or(back <= 2 AND role = 'approval') OR bool_or(praises)
+  UNION ALL SELECT c, ep, 2, 'explicit_user_rejection', '-', 'strong', 'true', 'correction turn rejecting work ("' || left(arg_min(x, e), 40) || '")' FROM tt
+    WHERE role = 'correction' AND regexp_matches(x, '(?i)\\b(wrong|revert|undo|no\\b|not right|that''s not|incorrect|broke|broken)\\b') GROUP BY c, ep
+  UNION ALL SELECT c, max(ep), 3, 'abandoned_mid_edit', '-', 'strong', 'true', 'episode ends on an unresolved tool_use with no following resolution' FROM tx GROUP BY c
+    HAVING arg_max(kind = 'assistant' AND k < 7 AND (s % 4 = 3 OR {sql_trim('x')} = ''), e)
+  UNION ALL SELECT c, ep, 4, 'test_' || verdict, CASE verdict WHEN 'failed' THEN '-' ELSE '+' END, 'medium', arg_min(regexp_replace(cmd, ' +', ' ', 'g'), e),
+    CASE WHEN verdict = 'passed' THEN 'test/build output indicates pass' WHEN arg_min(k, e) = 6 THEN 'test/build command interrupted or errored' ELSE 'test/build output indicates failure' END FROM tr WHERE verdict IS NOT NULL GROUP BY c, ep, verdict
+  UNION ALL SELECT c, ep, 6, 'n_corrections', '-', 'weak', count(*)::VARCHAR, count(*) || ' correction turn(s)' FROM tt WHERE role = 'correction' GROUP BY c, ep
+  UNION ALL SELECT c, ep, 7, 'api_errors', '0', 'weak', count(*)::VARCHAR, count(*) || ' system/api_error event(s) — likely transient infra' FROM tx WHERE kind = 'api_error' GROUP BY c, ep
+  UNION ALL SELECT c, ep, 8, 'compact_boundary', '-', 'weak', count(*)::VARCHAR, count(*) || ' compaction boundary(ies) — context overflow' FROM tx WHERE kind = 'compact_boundary' GROUP BY c, ep
+  UNION ALL SELECT c, ep, 9, 'read_before_edit', '+', 'weak', arg_min(path, e), 'Read preceded Edit on ' || arg_min(path, e) FROM tc w
+    WHERE tool IN ('Edit', 'Write') AND EXISTS (SELECT 1 FROM tc r WHERE r.c = w.c AND r.ep = w.ep AND r.e < w.e AND r.path = w.path AND r.tool = 'Read') GROUP BY c, ep
+),
+tf AS (SELECT c, ep, verdict, min(e) AS f FROM tr WHERE verdict IS NOT NULL GROUP BY ALL),
+te2 AS (SELECT ts.*, row_number() OVER (PARTITION BY ts.c, ts.ep ORDER BY o, f) - 1 AS ord FROM ts LEFT JOIN tf ON tf.c = ts.c AND tf.ep = ts.ep AND ts.signal = 'test_' || tf.verdict)
+"""
+
+
 def events(spark: SparkSession, sf: str) -> DataFrame:
     order = Window.partitionBy("session_id").orderBy("ts", "event_id")
     e = table(spark, sf, "events").select(F.col("user_id").alias("session_id"), "event_id", "ts", "event_type", "value", F.get_json_object("props", "$.k").alias("path"))

@@ -472,7 +472,7 @@ def test_verdicts(spark: SparkSession, sf: str) -> DataFrame:
     return x.select("id", E.is_test_command(F.col("command")).alias("is_test"), E.test_verdict(F.lower("result")).alias("verdict"))
 
 
-oracle("test_verdicts", "SELECT * FROM (VALUES (1, true, 'failed'), (2, true, 'passed'), (3, false, NULL), (4, true, 'failed'), (5, true, 'passed'), (6, true, 'failed'), (7, false, NULL)) t(id, is_test, verdict)")
+oracle("test_verdicts", "SELECT * FROM (VALUES (1, true, 'failed'), (2, true, NULL), (3, false, NULL), (4, true, 'failed'), (5, true, 'passed'), (6, true, 'failed'), (7, false, NULL)) t(id, is_test, verdict)")
 
 
 @query
@@ -604,7 +604,7 @@ def result_texts(spark: SparkSession, sf: str) -> DataFrame:
     return x.select("id", F.replace(E.result_text(F.try_parse_json("r")), F.lit("\n"), F.lit("/")).alias("haystack"))
 
 
-oracle("result_texts", """SELECT * FROM (VALUES (1, 'plain'), (2, 'a/b/interrupted'), (3, 'x/y'), (4, 'c'), (5, '{"z":1}'), (6, ''), (7, '')) t(id, haystack)""")
+oracle("result_texts", """SELECT * FROM (VALUES (1, 'plain'), (2, 'a/b/interrupted'), (3, 'x/y'), (4, 'c'), (5, '{"z":1}'), (6, ''), (7, '[1]')) t(id, haystack)""")
 
 
 @query
