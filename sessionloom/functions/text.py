@@ -212,6 +212,13 @@ def json_object(x: Column) -> Column:
     return bound(inner, lambda t: bound(F.when(F.locate("{", t) > 0, F.substr(t, F.locate("{", t))), _balanced))
 
 
+def greedy(x: Column, opens: str = "{", closes: str = "}") -> Column:
+    """From the first opening to the last closing mark; null if there is no such span."""
+    a, back = F.locate(opens, x), F.locate(closes, F.reverse(x))
+    n = F.length(x) - a - back + 2
+    return F.when((a > 0) & (back > 0) & (n > 1), F.substr(x, a, n))
+
+
 FENCE = r"(?is)```(?:json)?\s*(.*?)```"
 #: A string, open to the end if it is not closed; a brace; anything else.
 JSON_TOKEN = r'(?s)"(?:[^"\\]|\\.)*+"?|[{}]|[^"{}]+'

@@ -53,6 +53,9 @@ def converge(candidates: DataFrame) -> DataFrame:
     rows = placed.select("n_all", "pos", F.col("z.at").alias("grp"), "z.items.*")
     votes = rows.where("intervention <> 'none'").groupBy("grp", "intervention").agg(F.count(F.lit(1)).alias("v"), F.min("pos").alias("p"))
     votes = votes.groupBy("grp").agg(F.max_by("intervention", F.struct(F.col("v"), -F.col("p"))).alias("recommended"))
+    each = rows.groupBy("grp", "machine_id").agg(F.sum("frequency").alias("n"), F.min("pos").alias("p"))
+    named = F.transform(F.array_sort(F.collect_list(F.struct("p", "machine_id", "n"))), lambda m: F.concat_ws(":", m["machine_id"], m["n"].cast("string")))
+    each = each.groupBy("grp").agg(F.array_join(named, ", ").alias("per_machine"))
     out = rows.groupBy("grp").agg(
         F.min_by("label", "pos").alias("label"),
         F.array_join(F.array_sort(F.collect_set("machine_id")), ",").alias("machines"),
@@ -61,10 +64,36 @@ def converge(candidates: DataFrame) -> DataFrame:
         F.max("n_all").alias("n_all"),
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "machine_id", "cluster_id"))), lambda m: F.concat_ws(":", m["machine_id"], m["cluster_id"])), ",").alias("clusters"),
     )
-    return out.join(votes, "grp", "left").select(
+    return out.join(each, "grp").join(votes, "grp", "left").select(
         T.hash31(F.concat_ws("|", F.lit("conv"), F.lower("label"), "machines")).alias("converged_id"),
-        "label", "machines", "n_machines", "total_frequency", "clusters",
+        "label", "machines", "n_machines", "total_frequency", "per_machine", "clusters",
         F.coalesce("recommended", F.lit("none")).alias("intervention"),
         F.round(F.col("n_machines") / F.greatest("n_all", F.lit(1)), 3).alias("agreement"),
         (F.col("n_machines") >= 2).alias("cross_validated"),
     )
+
+
+def report_lines(converged: DataFrame) -> DataFrame:
+    """(place, line) of the convergence report: cross-validated workflows first, then by frequency, then by label."""
+    order = F.struct((~F.col("cross_validated")).alias("x"), (-F.col("total_frequency")).alias("f"), F.col("label"), F.col("clusters"), F.col("n_machines"), F.col("per_machine"), F.col("intervention"))
+    mark = lambda r: F.when(~r["x"], F.lit("✅")).otherwise(F.lit("—"))
+
+    def line(r: Column, i: Column) -> Column:
+        cells = [(i + 1).cast("string"), r["label"], r["n_machines"].cast("string"), mark(r), (-r["f"]).cast("string"), r["per_machine"], r["intervention"]]
+        return F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |"))
+
+    head = F.concat(F.lit("- Converged workflows: **"), F.count(F.lit(1)).cast("string"), F.lit("** · cross-validated (≥2 machines): **"), F.count_if("cross_validated").cast("string"), F.lit("**"))
+    doc = converged.agg(head.alias("head"), F.transform(F.array_sort(F.collect_list(order)), line).alias("rows"))  # workflows are few
+    fixed = ["# Cross-machine convergence", "", None, "", "| # | Workflow | #Machines | Cross-validated | Total freq | Per-machine | Rec |", "|---|---|---|---|---|---|---|"]
+    first = F.array(*[F.col("head") if x is None else F.lit(x) for x in fixed])
+    last = F.array(F.lit(""), F.lit("> Cross-validated workflows are the highest-confidence candidates for the org-wide meta phase."))
+    return doc.select(F.posexplode(F.concat(first, F.coalesce("rows", F.array().cast("array<string>")), last)).alias("place", "line"))
+
+
+def write_report(converged: DataFrame, path: str) -> None:
+    """The report as Markdown and all converged workflows as one JSON document, below path."""
+    lines = report_lines(converged)
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "line"))), lambda x: x["line"]), "\n")
+    lines.agg(body.alias("value")).coalesce(1).write.mode("overwrite").text(f"{path}/convergence.md")
+    listed = converged.agg(F.to_json(F.struct(F.array_sort(F.collect_list(F.struct(*converged.columns))).alias("converged"))).alias("value"))
+    listed.coalesce(1).write.mode("overwrite").text(f"{path}/convergence.json")

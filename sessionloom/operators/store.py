@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 CACHE_KEY = ["episode_id", "content_hash", "prompt_hash", "schema_version", "model", "cli_version"]
@@ -30,6 +30,66 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     return old.join(new.select(*keys).distinct(), keys, "left_anti").unionByName(new, allowMissingColumns=True)
 
 
+def replace_all(old: DataFrame, new: DataFrame, done: DataFrame, key: str = "episode_id") -> DataFrame:
+    """old with all rows of the keys in `done` replaced by those of new, be they fewer or none; a second run changes nothing."""
+    return old.join(done.select(key).distinct(), key, "left_anti").unionByName(new.join(done.select(key).distinct(), key, "left_semi"), allowMissingColumns=True)
+
+
+#: Tables of an episode that go with it, and those that only lose the link.
+OWNED, LINKED = ("episodes", "features", "evidence", "labels"), ("turns",)
+
+
+def prune_sessions(tables: dict[str, DataFrame], keep: DataFrame) -> dict[str, DataFrame]:
+    """All tables after sessions were segmented anew: keep (session_id, episode_id) holds the episodes that there are now.
+
+    Episodes of those sessions that are not in keep go, with their features, evidence and labels,
+    and turns lose the link to them; episodes of other sessions, and surviving labels, stay.
+    """
+    again = keep.select("session_id").distinct()
+    gone = tables["episodes"].join(again, "session_id", "left_semi").select("episode_id").join(keep.select("episode_id"), "episode_id", "left_anti").distinct()
+    out = {n: t.join(gone, "episode_id", "left_anti") if n in OWNED else t for n, t in tables.items()}
+    marked = gone.select(F.col("episode_id").alias("_gone"))
+    for n in LINKED:
+        t = tables[n].join(marked, tables[n]["episode_id"] == marked["_gone"], "left")
+        out[n] = t.withColumn("episode_id", F.when(F.col("_gone").isNull(), F.col("episode_id"))).drop("_gone")
+    return out
+
+
+#: Columns of the stored tables; a store that lacks one, as it is older, gets it as nulls.
+TABLES = {
+    "sessions": "session_id string, project string, cwd string, started_at string, completed_at string, n_episodes bigint",
+    "turns": "session_id string, idx bigint, event_index bigint, episode_id string, role string, classified_by string",
+    "episodes": "episode_id string, session_id string, idx bigint, n_turns bigint, first_prompt string, content_hash string",
+    "features": "episode_id string, n_tool_calls bigint, duration_s double, idle_s double, tokens bigint",
+    "evidence": "episode_id string, signal string, direction string, weight string, value string, reason string",
+    "labels": "episode_id string, label string, content_hash string, prompt_hash string, schema_version string, model string, cli_version string",
+    "calibration": "episode_id string, stratum string, human_outcome string",
+}
+
+
+def open_store(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """The tables below path, with today's columns first and any others behind; those that are not there are empty."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    out = {}
+    for name, columns in TABLES.items():
+        empty = spark.createDataFrame([], columns)
+        where = jvm.org.apache.hadoop.fs.Path(f"{path}/{name}")
+        there = where.getFileSystem(conf).exists(where)
+        out[name] = empty.unionByName(spark.read.option("mergeSchema", "true").parquet(f"{path}/{name}"), allowMissingColumns=True) if there else empty
+    return out
+
+
+def save_store(tables: dict[str, DataFrame], path: str) -> None:
+    """Write the tables below path; what they read from there is computed before it is overwritten."""
+    for name, df in {n: once(t) for n, t in tables.items()}.items():
+        df.write.mode("overwrite").parquet(f"{path}/{name}")
+
+
+def stored_labels(episodes: DataFrame, labels: DataFrame, key: list[str] = CACHE_KEY) -> DataFrame:
+    """The labels that still hold for episodes: those of equal key."""
+    return labels.join(episodes.select(*key).distinct(), key, "left_semi")
+
+
 def prune(rows: DataFrame, keep: DataFrame, keys: list[str]) -> DataFrame:
     """Only rows whose key is in keep."""
     return rows.join(keep.select(*keys).distinct(), keys, "left_semi")

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .store import OUTCOMES
+
 
 def invariant(name: str, bad: DataFrame) -> DataFrame:
     """One row: the name of an invariant and how many rows break it."""
@@ -68,6 +70,54 @@ def stratified_draw(members: DataFrame, n: int, seed: int = 0) -> DataFrame:
     return rows.select("x.episode_id", "x.stratum")
 
 
+def sampled(rows: DataFrame) -> DataFrame:
+    """Drawn episodes as a reviewer gets them: an outcome that is none, a confidence that is no number and list items of another kind go.
+
+    rows: episode_id, stratum, label (JSON text), first_prompt.
+    """
+    v = F.try_parse_json("label")
+    kind = lambda p: F.coalesce(F.schema_of_variant(F.try_variant_get(v, p, "variant")), F.lit("missing"))
+    outcome = F.try_variant_get(v, "$.outcome", "string")
+    steps = F.filter(F.try_variant_get(v, "$.workflow_pattern", "array<variant>"), lambda x: F.schema_of_variant(x) == "STRING")
+    points = F.when(kind("$.friction_points").startswith("ARRAY"), F.from_json(F.get_json_object("label", "$.friction_points"), "array<struct<what:string,evidence:string>>"))
+    return rows.select(
+        "episode_id", "stratum", F.when(outcome.isin(OUTCOMES), outcome).alias("outcome"),
+        F.when(kind("$.outcome_confidence").rlike("^(?:BIGINT|DOUBLE|DECIMAL)"), F.try_variant_get(v, "$.outcome_confidence", "double")).alias("confidence"),
+        F.coalesce("first_prompt", F.lit("")).alias("first_prompt"),
+        F.coalesce(F.transform(steps, lambda x: x.cast("string")), F.array().cast("array<string>")).alias("steps"),
+        F.coalesce(points, F.array().cast("array<struct<what:string,evidence:string>>")).alias("friction"),
+        F.coalesce(F.when(kind("$.root_cause") == "STRING", F.try_variant_get(v, "$.root_cause", "string")), F.lit("")).alias("root_cause"),
+    )
+
+
+def representatives(episodes: DataFrame, n: int = 3) -> DataFrame:
+    """n episodes that show the shapes there are, in order: the longest, the first elided, the first with subagents, the first with a correction, then by turns.
+
+    episodes: episode_id, ord, n_turns, elided, subagents, n_corrections. One episode can stand for several shapes.
+    """
+    order = F.struct(-F.col("n_turns"), F.col("ord"))
+    shapes = [F.min_by("episode_id", order)] + [F.min_by("episode_id", F.when(test, F.col("ord"))) for test in (F.col("elided"), F.col("subagents"), F.col("n_corrections") > 0)]
+    firsts = episodes.agg(F.array_distinct(F.array_compact(F.array(*shapes))).alias("ids")).select(F.posexplode("ids").alias("place", "episode_id"))
+    # The n + 4 longest fill up whatever the shapes leave.
+    longest = episodes.orderBy(F.desc("n_turns"), "ord").limit(n + len(shapes)).select("episode_id", order.alias("_o"))
+    rest = longest.join(firsts, "episode_id", "left_anti")
+    every = firsts.select("episode_id", F.col("place").cast("bigint").alias("_a"), F.lit(None).cast("bigint").alias("_b"), F.lit(0).cast("bigint").alias("_c"))
+    every = every.unionByName(rest.select("episode_id", F.lit(len(shapes)).cast("bigint").alias("_a"), F.col("_o.col1").cast("bigint").alias("_b"), F.col("_o.ord").cast("bigint").alias("_c")))
+    place = (F.row_number().over(Window.orderBy("_a", "_b", "_c")) - 1).cast("bigint")  # n + 8 rows at most
+    return every.select("episode_id", place.alias("place")).where(F.col("place") < n)
+
+
+def selected(episodes: DataFrame, episode_id: str | None = None, session: str | None = None, draw: int = 0, seed: int = 0) -> DataFrame:
+    """Episodes by their id, by session or prefix of it, or `draw` of them in an order by hash of id and seed; by turns if nothing is asked for."""
+    if episode_id:
+        return episodes.where(F.col("episode_id") == episode_id)
+    if session:
+        return episodes.where(F.col("session_id").startswith(session))
+    if draw:
+        return episodes.orderBy(F.md5(F.concat_ws(":", F.col("episode_id").cast("string"), F.lit(str(seed)))), "episode_id").limit(draw)
+    return episodes.orderBy(F.desc("n_turns"), "episode_id")
+
+
 def agreement(rows: DataFrame) -> DataFrame:
     """Checked, agreeing and still open calibration rows of each stratum, and of all (stratum `ALL`)."""
     by = rows.rollup("stratum").agg(F.grouping("stratum").alias("_g"), F.count(F.lit(1)).alias("n"), F.count_if(F.col("agrees")).alias("n_agree"), F.count_if(F.col("agrees").isNull()).alias("n_open"))
@@ -123,6 +173,11 @@ def reconstructed(episodes: DataFrame, evidence: DataFrame) -> DataFrame:
     return x.select("episode_id", F.concat_ws("\n", F.concat(F.lit("USER: "), F.coalesce("first_prompt", F.lit(""))), note, phases, friction, F.lit("\n--- EVIDENCE SIGNALS ---"), signals).alias("compact"))
 
 
+def write_audit(counters: DataFrame, path: str) -> None:
+    """A run's counters as one JSON document."""
+    counters.select(F.to_json(F.struct(*counters.columns)).alias("value")).coalesce(1).write.mode("overwrite").text(path)
+
+
 def run_counters(calls: DataFrame) -> DataFrame:
     """One row of what a run did: all, labelled, skipped by the cache, failed, and dollars spent. calls: cached, ran, failed, cost."""
     ran = F.col("ran")

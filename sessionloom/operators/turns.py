@@ -30,6 +30,26 @@ def project_name(path: Column) -> Column:
     return F.coalesce(F.nullif(F.element_at(F.split(bare, "/"), -1), F.lit("")), F.lit("unknown"))
 
 
+def decoded_folder(folder: Column) -> Column:
+    """The path that a transcript folder's name stands for, as far as it tells."""
+    return F.replace(folder, F.lit("-"), F.lit("/"))
+
+
+def discover(events: DataFrame, project: str | None = None, since: str | None = None, allow: list[str] | None = None, limit: int = 0) -> DataFrame:
+    """(session_id, project, project_dir, cwd, started_at, completed_at, n_events): the sessions of transcript events, filtered and the earliest first.
+
+    events: sources.transcripts.read_events, which leaves excluded folders out. cwd is the first
+    that a session's events name, else the folder's name decoded; timestamps are texts, empty
+    where no event has one.
+    """
+    cwd = F.min_by("cwd", F.when(F.coalesce("cwd", F.lit("")) != "", F.col("event_index")))
+    known = events.withColumn("ts", F.nullif("ts", F.lit("")))
+    own = known.groupBy("session_id", "project_dir").agg(cwd.alias("cwd"))
+    x = own.join(session_spans(known), "session_id").withColumn("cwd", F.coalesce("cwd", decoded_folder(F.col("project_dir"))))
+    x = x.select("session_id", project_name(F.col("cwd")).alias("project"), "project_dir", "cwd", *[F.coalesce(c, F.lit("")).alias(c) for c in ("started_at", "completed_at")], "n_events")
+    return filter_sessions(x, project, since, allow, limit)
+
+
 def filter_sessions(sessions: DataFrame, project: str | None = None, since: str | None = None, allow: list[str] | None = None, limit: int = 0) -> DataFrame:
     """Sessions by project substring, by text order of completed_at, by id or id prefix; the earliest `limit` of them (0: all)."""
     if limit < 0:

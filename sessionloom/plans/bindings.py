@@ -60,10 +60,12 @@ def transcript_lines(spark: SparkSession, sf: str) -> DataFrame:
     link = F.when((s % 9 == 4) & (c % 3 == 0), F.concat(F.lit('{"type":"pr-link","prUrl":"https://x/pr/'), c.cast("string"), F.lit('","prNumber":'), (c + 1).cast("string"), F.lit("}")))
     pictured = (s % 5 == 0) & (F.col("x") != "")
     content = F.when(pictured, F.concat(F.lit("["), said, F.lit(',{"type":"image"}]'))).otherwise(_json(F.col("x")))
-    user = F.array(F.concat(F.lit('{"type":"user","message":{"role":"user","content":'), content, F.lit("}}")))
+    when = F.date_format(F.timestamp_seconds(1700000000 + F.col("t") * (100 + c % 5 * 300)), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    stamp = F.concat(F.when(s % 6 > 0, F.concat(F.lit('"timestamp":"'), when, F.lit('",'))).otherwise(""), F.when(c % 3 > 0, F.concat(F.lit('"cwd":"/home/u/team'), (c % 4).cast("string"), F.lit('/",'))).otherwise(""))
+    user = F.array(F.concat(F.lit('{"type":"user",'), stamp, F.lit('"message":{"role":"user","content":'), content, F.lit("}}")))
     assistant = F.array(F.concat(F.lit('{"type":"assistant","message":{"content":['), parts, F.lit('],"usage":{"output_tokens":'), F.length("x").cast("string"), F.lit("}}}")), answer, system, link)
     lines = x.select("c", "t", F.posexplode(F.when(F.col("role") == "user", user).when(F.col("role") == "assistant", assistant)).alias("n", "raw"))
-    return lines.where("raw is not null").select(F.col("c").alias("session_id"), F.lit("p").alias("project_dir"), (F.col("t") * 4 + F.col("n")).alias("line"), "raw")
+    return lines.where("raw is not null").select(F.col("c").alias("session_id"), F.concat(F.lit("-home-u-side"), (F.col("c") % 5).cast("string")).alias("project_dir"), (F.col("t") * 4 + F.col("n")).alias("line"), "raw")
 
 
 def transcript(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import episodes as E
 from ..operators import evidence as V
+from ..operators import turns as TU
 from ..sources import transcripts as TR
 from . import bindings as D
 from .registry import oracle, query
@@ -36,6 +37,25 @@ oracle(
 )
 
 
+@query
+def discover_sessions(spark: SparkSession, sf: str) -> DataFrame:
+    """Sessions of team folders since a time, the earliest first."""
+    events = TR.events_of_lines(D.transcript_lines(spark, sf).withColumn("session_id", F.concat(F.lit("s"), F.col("session_id").cast("string"))))
+    return TU.discover(events, project="E", since="2023-11-14T22:15", allow=["s1", "s22", "s3", "s4", "s5"], limit=12)
+
+
+oracle(
+    "discover_sessions",
+    """WITH u AS (SELECT conv_id AS c, turn AS t, conv_id + turn AS s, strftime(to_timestamp(1700000000 + turn * (100 + conv_id % 5 * 300)) AT TIME ZONE 'UTC', '%Y-%m-%dT%H:%M:%SZ') AS ts FROM conversations WHERE role = 'user'),
+    n AS (SELECT conv_id AS c, sum(CASE WHEN role = 'user' THEN 1 WHEN role = 'assistant' THEN 1 + ((7 * conv_id + turn) % 8 < 7 AND NOT ((7 * conv_id + turn) % 8 = 3 AND conv_id % 2 = 1))::INT
+      + ((conv_id + turn) % 11 = 5 OR (conv_id + turn) % 13 = 6)::INT + ((conv_id + turn) % 9 = 4 AND conv_id % 3 = 0)::INT ELSE 0 END)::BIGINT AS n_events FROM conversations GROUP BY 1),
+    x AS (SELECT 's' || n.c AS session_id, CASE WHEN n.c % 3 > 0 AND count(u.c) > 0 THEN 'team' || n.c % 4 ELSE 'side' || n.c % 5 END AS project, '-home-u-side' || n.c % 5 AS project_dir,
+      CASE WHEN n.c % 3 > 0 AND count(u.c) > 0 THEN '/home/u/team' || n.c % 4 || '/' ELSE '/home/u/side' || n.c % 5 END AS cwd, coalesce(arg_min(ts, t) FILTER (s % 6 > 0), '') AS started_at, coalesce(arg_max(ts, t) FILTER (s % 6 > 0), '') AS completed_at, any_value(n_events) AS n_events
+      FROM n LEFT JOIN u ON n.c = u.c WHERE n_events > 0 GROUP BY n.c)
+    SELECT * FROM x WHERE contains(lower(project), 'e') AND completed_at >= '2023-11-14T22:15' AND regexp_matches(session_id, '^(s1|s22|s3|s4|s5)') ORDER BY started_at, session_id LIMIT 12""",
+)
+
+
 @query
 def transcript_tests(spark: SparkSession, sf: str) -> DataFrame:
     """Test and build commands with the verdict of their results."""

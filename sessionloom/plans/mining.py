@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,7 +16,7 @@ from ..operators import store as S
 from ..operators import trust as Q
 from ..operators import turns as TU
 from . import bindings as D
-from .registry import oracle, query
+from .registry import ORACLES, oracle, query
 
 J = "outcome IN ('success', 'partial', 'failed', 'abandoned')"
 RATE = "CASE WHEN n_judged > 0 THEN n_success / n_judged ELSE 0 END"
@@ -371,8 +373,9 @@ oracle(
     g AS (SELECT fo.grp, ci.* FROM fo JOIN ci ON fo.pos = ci.pos),
     v AS (SELECT grp, arg_max(intervention, (v, -p)) AS best FROM (SELECT grp, intervention, count(*) AS v, min(pos) AS p FROM g WHERE intervention <> 'none' GROUP BY 1, 2) GROUP BY 1),
     m AS (SELECT grp, arg_min(label, pos) AS label, array_to_string(list_sort(list_distinct(list(machine_id))), ',') AS machines, count(DISTINCT machine_id) AS n_machines, sum(frequency)::BIGINT AS total_frequency,
-      string_agg(machine_id || ':' || cluster_id, ',' ORDER BY pos) AS clusters FROM g GROUP BY 1)
-    SELECT label, machines, n_machines, total_frequency, clusters, coalesce(v.best, 'none') AS intervention, round(n_machines / (SELECT count(DISTINCT machine_id) FROM ca), 3) AS agreement, n_machines >= 2 AS cross_validated FROM m LEFT JOIN v ON m.grp = v.grp""",
+      string_agg(machine_id || ':' || cluster_id, ',' ORDER BY pos) AS clusters FROM g GROUP BY 1),
+    pm AS (SELECT grp, string_agg(machine_id || ':' || n, ', ' ORDER BY p) AS per_machine FROM (SELECT grp, machine_id, sum(frequency)::BIGINT AS n, min(pos) AS p FROM g GROUP BY 1, 2) GROUP BY 1)
+    SELECT label, machines, n_machines, total_frequency, per_machine, clusters, coalesce(v.best, 'none') AS intervention, round(n_machines / (SELECT count(DISTINCT machine_id) FROM ca), 3) AS agreement, n_machines >= 2 AS cross_validated FROM m JOIN pm ON m.grp = pm.grp LEFT JOIN v ON m.grp = v.grp""",
 )
 
 
@@ -697,11 +700,164 @@ oracle(
 )
 
 
+def _shown(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents as rendered episodes."""
+    n = F.length(F.coalesce("text", F.lit("")))
+    return D.table(spark, sf, "documents").select(
+        F.col("doc_id").alias("episode_id"), F.col("doc_id").alias("ord"), n.cast("bigint").alias("n_turns"), (n > E.RENDER_CAP).alias("elided"), (F.col("doc_id") % 83 == 7).alias("subagents"), (F.col("doc_id") % 19 == 3).cast("bigint").alias("n_corrections"),
+        F.coalesce("source", F.lit("")).alias("session_id"),
+    )
+
+
 @query
 def representative_picks(spark: SparkSession, sf: str) -> DataFrame:
-    """The longest document of each source and the first of its long ones."""
-    x = D.table(spark, sf, "documents").select("source", "doc_id", F.length(F.coalesce("text", F.lit(""))).alias("n"))
-    return x.groupBy("source").agg(F.min_by("doc_id", F.struct(-F.col("n"), F.col("doc_id"))).alias("longest"), F.min(F.when(F.col("n") > E.RENDER_CAP, F.col("doc_id"))).alias("first_elided"))
+    """Episodes that show the shapes there are."""
+    return Q.representatives(_shown(spark, sf), 9)
+
+
+oracle(
+    "representative_picks",
+    """WITH x AS (SELECT doc_id, length(coalesce(text, '')) AS n FROM documents), f AS (
+      SELECT 0 AS a, arg_min(doc_id, (-n, doc_id)) AS id FROM x UNION ALL SELECT 1, min(doc_id) FROM x WHERE n > 12000 UNION ALL SELECT 2, min(doc_id) FROM x WHERE doc_id % 83 = 7 UNION ALL SELECT 3, min(doc_id) FROM x WHERE doc_id % 19 = 3
+      UNION ALL SELECT 3 + row_number() OVER (ORDER BY n DESC, doc_id), doc_id FROM x),
+    d AS (SELECT id, min(a) AS a FROM f WHERE id IS NOT NULL GROUP BY 1) SELECT id AS episode_id, place FROM (SELECT id, row_number() OVER (ORDER BY a) - 1 AS place FROM d) WHERE place < 9""",
+)
+
+
+@query
+def render_selection(spark: SparkSession, sf: str) -> DataFrame:
+    """What the selections by id, session prefix and draw give."""
+    x = _shown(spark, sf)
+    picks = {"id": Q.selected(x, episode_id="17"), "session": Q.selected(x, session="src1"), "draw": Q.selected(x, draw=12, seed=3), "first": Q.selected(x).limit(5)}
+    out = None
+    for how, df in picks.items():
+        own = df.select(F.lit(how).alias("how"), "episode_id")
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+oracle(
+    "render_selection",
+    """SELECT 'id' AS how, doc_id AS episode_id FROM documents WHERE doc_id = 17 UNION ALL SELECT 'session', doc_id FROM documents WHERE starts_with(coalesce(source, ''), 'src1')
+    UNION ALL SELECT * FROM (SELECT 'draw', doc_id FROM documents ORDER BY md5(doc_id || ':3'), doc_id LIMIT 12) UNION ALL SELECT * FROM (SELECT 'first', doc_id FROM documents ORDER BY length(coalesce(text, '')) DESC, doc_id LIMIT 5)""",
+)
+
+
+@query
+def convergence_report(spark: SparkSession, sf: str) -> DataFrame:
+    return C.report_lines(C.converge(_candidates(spark, sf)))
+
+
+oracle(
+    "convergence_report",
+    f"""WITH RECURSIVE c AS (SELECT * FROM ({{converge}})), r AS (SELECT *, row_number() OVER (ORDER BY cross_validated DESC, total_frequency DESC, label, clusters) AS n FROM c),
+    l AS (SELECT 0 AS place, '# Cross-machine convergence' AS line UNION ALL SELECT 1, '' UNION ALL SELECT 2, '- Converged workflows: **' || count(*) || '** · cross-validated (≥2 machines): **' || count_if(cross_validated) || '**' FROM c
+      UNION ALL SELECT 3, '' UNION ALL SELECT 4, '| # | Workflow | #Machines | Cross-validated | Total freq | Per-machine | Rec |' UNION ALL SELECT 5, '|---|---|---|---|---|---|---|'
+      UNION ALL SELECT 5 + n, '| ' || n || ' | ' || label || ' | ' || n_machines || ' | ' || CASE WHEN cross_validated THEN '✅' ELSE '—' END || ' | ' || total_frequency || ' | ' || per_machine || ' | ' || intervention || ' |' FROM r
+      UNION ALL SELECT 6 + count(*), '' FROM c UNION ALL SELECT 7 + count(*), '> Cross-validated workflows are the highest-confidence candidates for the org-wide meta phase.' FROM c)
+    SELECT place::INT AS place, line FROM l""".replace("{converge}", ORACLES["converge"]),
+)
+
+
+@query
+def replace_evidence(spark: SparkSession, sf: str) -> DataFrame:
+    """Line items as evidence of orders: those of every fifth order are replaced, of every tenth by nothing."""
+    rows = D.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("episode_id"), F.col("l_linenumber").alias("n"))
+    done = D.table(spark, sf, "orders").where("o_orderkey % 5 = 0").select(F.col("o_orderkey").alias("episode_id"))
+    new = done.where("episode_id % 10 <> 0").select("episode_id", F.lit(77).alias("n"))
+    out = S.replace_all(S.replace_all(rows, new, done), new, done)
+    return out.groupBy("episode_id").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").cast("bigint").alias("n"))
+
+
+oracle(
+    "replace_evidence",
+    """WITH x AS (SELECT l_orderkey AS episode_id, l_linenumber AS n FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 5 = 0)
+      UNION ALL SELECT o_orderkey, 77 FROM orders WHERE o_orderkey % 5 = 0 AND o_orderkey % 10 <> 0) SELECT episode_id, count(*) AS rows, sum(n)::BIGINT AS n FROM x GROUP BY 1""",
+)
+
+
+@query
+def prune_sessions(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows, and rows without a link, of each table after every second session lost the episodes that are divisible by three."""
+    tables = _store(spark, sf)
+    tables["episodes"] = tables["episodes"].where("session_id > 0")
+    tables["evidence"] = tables["episodes"].select("episode_id")
+    keep = tables["episodes"].where("session_id % 2 = 0 and episode_id % 3 <> 0").select("session_id", "episode_id")
+    out = S.prune_sessions(tables, keep)
+    parts = [out[n].agg(F.lit(n).alias("name"), F.count(F.lit(1)).alias("n"), F.count_if(F.col("episode_id").isNull()).alias("unlinked")) for n in (*S.OWNED, *S.LINKED)]
+    return reduce(DataFrame.unionByName, parts)
 
 
-oracle("representative_picks", "WITH x AS (SELECT source, doc_id, length(coalesce(text, '')) AS n FROM documents) SELECT source, arg_min(doc_id, (-n, doc_id)) AS longest, min(CASE WHEN n > 12000 THEN doc_id END) AS first_elided FROM x GROUP BY 1")
+oracle(
+    "prune_sessions",
+    f"""WITH {D.EPISODES}, {_STORE}, s AS (SELECT * FROM se WHERE session_id > 0), again AS (SELECT DISTINCT session_id FROM s WHERE session_id % 2 = 0 AND episode_id % 3 <> 0),
+    gone AS (SELECT episode_id FROM s WHERE session_id IN (SELECT session_id FROM again) AND episode_id % 3 = 0), kept AS (SELECT episode_id FROM s WHERE episode_id NOT IN (SELECT episode_id FROM gone))
+    SELECT 'episodes' AS name, count(*) AS n, 0::BIGINT AS unlinked FROM kept UNION ALL SELECT 'evidence', count(*), 0 FROM kept UNION ALL SELECT 'features', count(*), 0 FROM fe WHERE episode_id NOT IN (SELECT episode_id FROM gone)
+    UNION ALL SELECT 'labels', count(*), 0 FROM ep WHERE task_type IS NOT NULL AND episode_id NOT IN (SELECT episode_id FROM gone)
+    UNION ALL SELECT 'turns', count(*), count_if(episode_id IN (SELECT episode_id FROM gone))::BIGINT FROM ep""",
+)
+
+
+@query
+def sampled_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Stored labels as a reviewer gets them, some with values of the wrong kind."""
+    k = F.col("episode_id")
+    e = D.episodes(spark, sf).where("task_type is not null").select("episode_id", "outcome", "first_prompt")
+    text = F.concat(
+        F.lit('{"outcome":"'), F.when(k % 7 == 0, "done").otherwise(F.col("outcome")), F.lit('","outcome_confidence":'), F.when(k % 5 == 0, '"high"').otherwise((k % 10 / 10).cast("string")),
+        F.lit(',"workflow_pattern":'), F.when(k % 3 == 0, '["read",4,"edit"]').otherwise('"read"'), F.lit(',"friction_points":'), F.when(k % 4 == 0, '{}').otherwise('[{"what":"w","evidence":"e"}]'), F.lit("}"),
+    )
+    rows = e.select("episode_id", F.lit("s").alias("stratum"), F.when(k % 11 == 0, "no json").otherwise(text).alias("label"), F.when(k % 2 == 0, F.col("first_prompt")).alias("first_prompt"))
+    x = Q.sampled(rows)
+    return x.select("episode_id", "outcome", F.round("confidence", 2).alias("confidence"), "first_prompt", F.array_join("steps", ">").alias("steps"), F.size("friction").alias("n_friction"), "root_cause")
+
+
+oracle(
+    "sampled_rows",
+    f"""WITH {D.EPISODES}, x AS (SELECT *, episode_id AS k, episode_id % 11 <> 0 AS ok FROM ep WHERE task_type IS NOT NULL)
+    SELECT k AS episode_id, CASE WHEN ok AND k % 7 <> 0 THEN outcome END AS outcome, CASE WHEN ok AND k % 5 <> 0 THEN round(k % 10 / 10, 2) END AS confidence, CASE WHEN k % 2 = 0 THEN first_prompt ELSE '' END AS first_prompt,
+    CASE WHEN ok AND k % 3 = 0 THEN 'read>edit' ELSE '' END AS steps, CASE WHEN ok AND k % 4 <> 0 THEN 1 ELSE 0 END AS n_friction, '' AS root_cause FROM x""",
+)
+
+
+@query
+def stored_labels(spark: SparkSession, sf: str) -> DataFrame:
+    """Labels that still hold: those whose episode has the content they were given for."""
+    e = D.episodes(spark, sf)
+    one = lambda h: (F.sha2(h, 256).alias("content_hash"), *[F.lit("v").alias(c) for c in S.CACHE_KEY[2:]])
+    labels = e.where("task_type is not null").select("episode_id", *one(F.when(F.col("episode_id") % 4 == 0, F.lit("old")).otherwise(F.col("signature"))), "outcome")
+    return S.stored_labels(e.select("episode_id", *one(F.col("signature"))), labels).select("episode_id", "outcome")
+
+
+oracle("stored_labels", f"WITH {D.EPISODES} SELECT episode_id, outcome FROM ep WHERE task_type IS NOT NULL AND episode_id % 4 <> 0")
+
+
+@query
+def greedy_spans(spark: SparkSession, sf: str) -> DataFrame:
+    x = D.table(spark, sf, "part").select("p_partkey", F.concat_ws(" ", F.when(F.col("p_partkey") % 3 > 0, "so {"), "p_name", F.when(F.col("p_partkey") % 4 > 0, "} [a]"), "p_brand", F.when(F.col("p_partkey") % 5 > 0, "] }")).alias("s"))
+    return x.select("p_partkey", T.greedy(F.col("s")).alias("object"), T.greedy(F.col("s"), "[", "]").alias("list"))
+
+
+oracle(
+    "greedy_spans",
+    """WITH x AS (SELECT p_partkey, concat_ws(' ', CASE WHEN p_partkey % 3 > 0 THEN 'so {' END, p_name, CASE WHEN p_partkey % 4 > 0 THEN '} [a]' END, p_brand, CASE WHEN p_partkey % 5 > 0 THEN '] }' END) AS s FROM part)
+    SELECT p_partkey, nullif(regexp_extract(s, '(?s)\\{.*\\}'), '') AS object, nullif(regexp_extract(s, '(?s)\\[.*\\]'), '') AS list FROM x""",
+)
+
+
+@query
+def small_texts(spark: SparkSession, sf: str) -> DataFrame:
+    """One-line prompts, path segments, pattern signatures and decoded folders of the parts' texts."""
+    steps = F.array(F.concat(F.lit("  "), F.upper("p_brand")), F.lit(" "), F.col("p_type"))
+    path = F.concat_ws("/", F.lit("/Src"), F.replace("p_type", F.lit(" "), F.lit("/")), F.concat("p_brand", F.lit(".test.py")))
+    return D.table(spark, sf, "part").select(
+        "p_partkey", T.one_line(F.concat(F.lit(" \n"), "p_name", F.lit("\t\t "), "p_type", F.lit("  "), "p_brand"), 30).alias("line"), F.array_join(F.array_sort(T.path_segments(path)), " ").alias("segments"),
+        T.pattern_signature(steps).alias("signature"), TU.decoded_folder(F.replace("p_name", F.lit(" "), F.lit("-"))).alias("folder"),
+    )
+
+
+oracle(
+    "small_texts",
+    f"""SELECT p_partkey, left(p_name || ' ' || p_type || ' ' || p_brand, 30) AS line, lower(p_brand) || '>' || lower(p_type) AS signature, replace(p_name, ' ', '/') AS folder,
+    array_to_string(list_sort(list_distinct(list_filter(string_split_regex('/src/' || lower(replace(p_type, ' ', '/')) || '/' || lower(p_brand) || '.test.py', '[/.]'), lambda w : length(w) >= 3 AND NOT list_contains({D._list(T.STOPWORDS)}, w)))), ' ') AS segments FROM part""",
+)
