@@ -202,7 +202,8 @@ def train(rows: list[tuple[int, tuple[int, ...], int]], ridge: float = 1.0, roun
 def weights(spans: DataFrame) -> list[float]:
     """The span classifier's weights, from the counts of vote patterns in a column `spans`."""
     one = F.col("c")
-    rows = spans.select(F.explode("spans").alias("c")).groupBy(one["k"].alias("k"), *[one[v].alias(v) for v in LABELERS]).count().collect()  # at most kinds x 3 ** labelers
+    # explode_outer: for explode() the planner would filter on the size of the array first, and find all spans twice.
+    rows = spans.select(F.explode_outer("spans").alias("c")).where("c is not null").groupBy(one["k"].alias("k"), *[one[v].alias(v) for v in LABELERS]).count().collect()  # at most kinds x 3 ** labelers
     return train(sorted((r["k"], tuple(r[v] for v in LABELERS), r["count"]) for r in rows))
 
 
