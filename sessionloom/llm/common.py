@@ -83,14 +83,24 @@ def made_so_far() -> int:
     return len(_made)
 
 
-def drop_since(mark: int, keep: list[DataFrame]) -> None:
-    """Delete the tables written since the mark, but those that `keep` still reads."""
+def made_since(mark: int) -> list[tuple[SparkSession, str]]:
+    """What was written since the mark, for drop()."""
+    return _made[mark:]
+
+
+def drop(made: list[tuple[SparkSession, str]], keep: list[DataFrame]) -> None:
+    """Delete these tables, but those that `keep` still reads."""
     read = {f.rsplit("/", 2)[-2] for df in keep for f in df.inputFiles()}
-    for spark, path in [x for x in _made[mark:] if x[1].rsplit("/", 1)[-1] not in read]:
+    for spark, path in [x for x in made if x in _made and x[1].rsplit("/", 1)[-1] not in read]:
         drop_path(spark, path)
         _made.remove((spark, path))
 
 
+def drop_since(mark: int, keep: list[DataFrame]) -> None:
+    """Delete the tables written since the mark, but those that `keep` still reads."""
+    drop(made_since(mark), keep)
+
+
 def _clean() -> None:
     for spark, path in _made:
         try:
@@ -106,7 +116,8 @@ def drop_path(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: While a table is written: its own shuffle files go with it, and small tables become few files.
+WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false"}
 
 
 def written(df: DataFrame, label: str, release: bool = False) -> DataFrame:
@@ -117,12 +128,14 @@ def written(df: DataFrame, label: str, release: bool = False) -> DataFrame:
     """
     spark = df.sparkSession
     path = new_path(spark, label)
-    before = spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
+    before = {k: spark.conf.get(k) for k in WRITING}
     try:
+        for k, v in WRITING.items():
+            spark.conf.set(k, v)
         df.write.parquet(path)
     finally:
-        spark.conf.set(CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
     if release:
         gc.collect()
         spark.sparkContext._jvm.System.gc()

@@ -10,8 +10,8 @@ its longest set, or of the probe, cannot reach the overlap that its smallest set
 
 Groups may be large. Equal sets are one class. Each prefix n-gram first links its classes
 to one hub (linear in the group); groups whose classes then lie in one component need no
-further pair, which settles the groups of near copies. In what remains mixed, blocks of a group meet
-in tries of their prefixes, and only pairs that the prefixes leave possible come out.
+further pair, which settles the groups of near copies. In what remains mixed, classes of like
+size and different components pair where what follows the shared n-gram can still suffice.
 """
 
 from __future__ import annotations
@@ -30,9 +30,8 @@ from .components import components
 #: kept, and held between two prunings.
 FREQUENT = 1 << 20
 COUNTERS, HELD = 1 << 18, 1 << 20
-#: N-grams that one verification block holds, about, and classes that a block of a mixed group holds.
+#: N-grams that one verification block holds, about.
 BLOCK = 1 << 18
-MEMBERS = 256
 #: Classes of more documents than this, and than one in HOT_SHARE of all, are dealt by broadcast: there are at most HOT_SHARE.
 HOT, HOT_SHARE = 4096, 1 << 16
 HUB_ROUNDS = 3
@@ -113,6 +112,9 @@ def frequent_grams(texts: DataFrame, width: int, least: int = 8) -> np.ndarray:
     return rows["gram"].to_numpy(np.int64).view(np.uint64)
 
 
+PAIR = ("probe", "probe_n", "m", "m_n")
+
+
 class Order:
     """Numbers n-grams in the global order: all others by hash, then the frequent n-grams by their count."""
 
@@ -293,42 +295,6 @@ def verified(percent: int):
     return run
 
 
-def met(percent: int):
-    """Of two blocks of a group: the pairs (probe, m) of different components that their prefixes, from the group's n-gram on, leave possible."""
-
-    def run(table: pa.Table) -> pa.Table:
-        table = table.combine_chunks()
-        flat, owner = C.list_parts(table["path"])
-        paths = C.lists(flat.view(np.uint64), owner, table.num_rows)
-        keys, sizes, reach, comp, first = (table[c].to_pylist() for c in ("cls", "n", "reach", "comp", "first"))
-        both = sorted({(keys[i], comp[i]) for i in range(len(keys))})
-        pairs = set()
-        if len({c for _, c in both}) > 1:
-            stored = [i for i in range(len(keys)) if not first[i]] or list(range(len(keys)))  # one block meets itself if there is no other
-            trie = Trie([paths[i] for i in stored], [sizes[i] for i in stored], [reach[i] for i in stored])
-            for i in range(len(keys)):
-                if first[i] or len(stored) == len(keys):
-                    for j in trie.links(paths[i], sizes[i], reach[i], percent):
-                        j = stored[j]
-                        if comp[i] != comp[j]:
-                            pairs.add((min((keys[i], sizes[i]), (keys[j], sizes[j])), max((keys[i], sizes[i]), (keys[j], sizes[j]))))
-        out = np.array([(p, pn, m, mn) for (p, pn), (m, mn) in sorted(pairs)], np.int64).reshape(-1, 4)
-        return pa.table({k: pa.array(out[:, c]) for c, k in enumerate(("probe", "probe_n", "m", "m_n"))})
-
-    return run
-
-
-def remaining_pairs(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (probe, probe_n, m, m_n) of the classes that share an n-gram of rows, from tries of blocks of each group."""
-    blocks = rows.groupBy("gram").agg(F.ceil(F.count(F.lit(1)) / F.lit(MEMBERS)).alias("blocks"))
-    own = F.pmod(F.xxhash64("cls"), F.col("blocks"))
-    paths = sets.select(F.col("doc_key").alias("cls"), "prefix")
-    x = rows.join(blocks, "gram").join(paths, "cls").select("gram", "cls", "n", "comp", (F.col("n") - F.col("at")).alias("reach"), F.slice("prefix", F.col("at") + 1, F.size("prefix")).alias("path"), "blocks", own.alias("own"))
-    x = x.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    x = x.select("gram", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") < F.col("other")).alias("first"), "cls", "n", "comp", "reach", "path")
-    return x.groupBy("gram", "i", "j").applyInArrow(met(percent), "probe long, probe_n long, m long, m_n long").distinct()
-
-
 def _prefixes_suffice(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Of the pairs those whose shared prefix n-grams, with all that stands behind the prefixes, suffice for a link.
 
@@ -427,21 +393,25 @@ def _components(texts: DataFrame, width: int, percent: int) -> DataFrame:
     sets = sets.dropDuplicates(["doc_key"]) if repeated else sets
     sets = C.written(sets.mapInArrow(ordered_sets(width, percent, order), "doc_key long, prefix array<long>, grams array<long>"), "sets", release=True)
 
-    rows = rows.withColumn("comp", F.col("cls"))
+    # Only these can be the first n-gram that a linked pair shares.
+    rows = rows.where(F.col("n") - F.col("at") >= _least("n", percent)).withColumn("comp", F.col("cls"))
     tried = links = labels = None
     for turn in range(HUB_ROUNDS + 1):
         spread = rows.groupBy("gram").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("gram")
         rows = C.written(rows.join(spread, "gram").select("gram", "cls", "at", "n", "comp"), "mixed")
         if not rows.limit(1).count():
             break
+        probe, m = (rows.select("gram", *[F.col(x).alias(k + y) for x, y in (("cls", ""), ("at", "_at"), ("n", "_n"), ("comp", "_comp"))]) for k in ("probe", "m"))
+        apart = (F.col("probe_comp") != F.col("m_comp")) & _reaches(percent)
         if turn < HUB_ROUNDS:  # one hub a gram, drawn anew each turn, meets those of other components
-            probe, m = (rows.select("gram", *[F.col(x).alias(k + y) for x, y in (("cls", ""), ("at", "_at"), ("n", "_n"), ("comp", "_comp"))]) for k in ("probe", "m"))
-            apart = (F.col("probe_comp") != F.col("m_comp")) & _reaches(percent)
             drawn = F.xxhash64("probe", "gram", F.lit(turn)) if turn else F.col("probe")
             probe = probe.withColumn("draw", drawn).groupBy("gram").agg(*[F.min_by(c, "draw").alias(c) for c in probe.columns[1:]])
-            pairs = probe.join(m, (probe["gram"] == m["gram"]) & apart).select("probe", "probe_n", "m", "m_n").distinct()
-        else:
-            pairs = remaining_pairs(rows, sets, percent)
+            pairs = probe.join(m, (probe["gram"] == m["gram"]) & apart).select(*PAIR).distinct()
+        else:  # those of one scale of sizes, or of it and the next, meet
+            scale = lambda n, off=0.0: F.floor(F.log(F.col(n)) / F.log(F.lit(100 / percent)) + off)
+            probe = probe.withColumn("scale", F.explode(F.sequence(scale("probe_n", -1e-9), scale("probe_n", 1 + 1e-9))))
+            order = (F.col("probe_n") < F.col("m_n")) | ((F.col("probe_n") == F.col("m_n")) & (F.col("probe") < F.col("m")))
+            pairs = probe.join(m.withColumn("scale", scale("m_n")), ["gram", "scale"]).where(apart & order).select(*PAIR).distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["probe", "m"], "left_anti")
         pairs = C.written(pairs, "pairs")

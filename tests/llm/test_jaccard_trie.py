@@ -112,9 +112,8 @@ def test_trie_of_prefixes_keeps_every_link():
         assert want <= got and len(got) < 30
 
 
-def test_large_groups_meet_in_blocks(spark, monkeypatch):
+def test_groups_that_hubs_do_not_settle(spark, monkeypatch):
     monkeypatch.setattr(J, "HUB_ROUNDS", 0)
-    monkeypatch.setattr(J, "MEMBERS", 8)  # in this process the blocks are planned
     rows = corpus(6)
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in J.jaccard_components(docs, 4, 85).collect()} == brute(rows, 4, 85)
