@@ -6,44 +6,66 @@ last return the columns of documents; n_chars follows the text.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sessionloom.llm import common, jaccard_trie, packing, pii, quality, recompression
 
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+#: Tables that stages so far have written on their way.
+_spent: list = []
+
+
+def _stage(f: Stage) -> Stage:
+    """f, before which the tables of earlier stages go that its documents do not read: their results are written."""
+
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        common.ship(spark)
+        common.drop(_spent, [docs])
+        mark = common.made_so_far()
+        out = f(spark, docs, sf_dir)
+        _spent[:] = [x for x in _spent if x in common.made_since(0)] + common.made_since(mark)
+        return out
+
+    run.__name__, run.__doc__ = f.__name__, f.__doc__
+    return run
+
+
 def _sized(docs: DataFrame) -> DataFrame:
     """n_chars, where the table has it, is the length of the text that is left."""
     return docs.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else docs
 
 
+@_stage
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go."""
-    common.ship(spark)
     return quality.quality_filtered(docs)
 
 
+@_stage
 def near_copies_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by Jaccard similarity of 0.8 of five-word shingles one stays."""
-    common.ship(spark)
     return jaccard_trie.near_copies_removed(docs, width=5, percent=80)
 
 
+@_stage
 def repeats_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words under a 20-word window that starts earlier elsewhere go."""
-    common.ship(spark)
     return _sized(recompression.dedup_substrings(docs, with_text=True).select(*docs.columns))
 
 
+@_stage
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data is replaced by its kind in brackets."""
-    common.ship(spark)
     return _sized(pii.redacted(docs))
 
 
+@_stage
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Where each piece of each document goes in sequences of several lengths."""
-    common.ship(spark)
     return packing.pack(docs)
 
 
