@@ -48,6 +48,22 @@ def _rate() -> Column:
     return F.when(F.col("n_judged") > 0, F.col("n_success") / F.col("n_judged")).otherwise(0.0)
 
 
+def medians(rows: DataFrame, key: str, values: dict[str, Column]) -> DataFrame:
+    """(key, a column for each of values): exact medians over the rows that have a value; null where none has.
+
+    Distinct values are counted before they are ranked, and the running count spills, so no
+    task holds the values of a large cluster in memory.
+    """
+    named = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), v.cast("double").alias("value")) for n, v in values.items()]))
+    each = rows.select(key, named.alias("x")).where("x.value is not null").groupBy(key, "x.name", "x.value").agg(F.count(F.lit(1)).alias("n"))
+    own = Window.partitionBy(key, "name").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    totals = each.groupBy(key, "name").agg(F.sum("n").alias("total"))
+    x = each.withColumn("upto", F.sum("n").over(own)).join(totals, [key, "name"])
+    low, high = (F.min(F.when(test, F.col("value"))) for test in (2 * F.col("upto") >= F.col("total"), 2 * F.col("upto") > F.col("total")))
+    x = x.groupBy(key, "name").agg(((low + high) / 2).alias("median"))
+    return x.groupBy(key).agg(*[F.max(F.when(F.col("name") == n, F.col("median"))).alias(n) for n in values])
+
+
 def components(rows: DataFrame) -> DataFrame:
     """Frequency, success rates, friction and effort of each cluster."""
     friction = F.col("n_corrections") + F.col("n_interruptions")
@@ -56,9 +72,9 @@ def components(rows: DataFrame) -> DataFrame:
         F.count_distinct("session_id").alias("n_sessions"),
         F.count_if(judged()).alias("n_judged"),
         F.count_if(F.col("outcome") == "success").alias("n_success"),
-        F.coalesce(F.median(friction), F.lit(0.0)).alias("median_friction"),
-        F.coalesce(F.median("duration_s"), F.lit(0.0)).alias("_duration"),
     )
+    out = out.join(medians(rows, "cluster_id", {"_friction": friction, "_duration": F.col("duration_s")}), "cluster_id", "left")
+    out = out.withColumns({"median_friction": F.coalesce("_friction", F.lit(0.0)), "_duration": F.coalesce("_duration", F.lit(0.0))})
     return out.select(
         "cluster_id", "frequency", "n_sessions", "n_judged",
         F.round(_rate(), 4).alias("success_rate"),
@@ -147,7 +163,9 @@ def risk_flags(rows: DataFrame, evidence: DataFrame | None = None) -> DataFrame:
 def panel_medians(rows: DataFrame) -> DataFrame:
     """Median axes over the episodes that have them (null if none has), and how many have either."""
     either = F.col("efficiency").isNotNull() | F.col("quality").isNotNull()
-    return rows.groupBy("cluster_id").agg(F.median("efficiency").alias("median_efficiency"), F.median("quality").alias("median_quality"), F.count_if(either).alias("n_panel"))
+    counts = rows.groupBy("cluster_id").agg(F.count_if(either).alias("n_panel"))
+    axes = medians(rows, "cluster_id", {"median_efficiency": F.col("efficiency"), "median_quality": F.col("quality")})
+    return counts.join(axes, "cluster_id", "left").select("cluster_id", "median_efficiency", "median_quality", "n_panel")
 
 
 def contrast(rows: DataFrame, most: int | None = None) -> DataFrame:

@@ -12,6 +12,7 @@ from ..operators import converge as C
 from ..operators import draft as G
 from ..operators import episodes as E
 from ..operators import mine as M
+from ..operators import report as R
 from ..operators import store as S
 from ..operators import trust as Q
 from ..operators import turns as TU
@@ -861,3 +862,58 @@ oracle(
     f"""SELECT p_partkey, left(p_name || ' ' || p_type || ' ' || p_brand, 30) AS line, lower(p_brand) || '>' || lower(p_type) AS signature, replace(p_name, ' ', '/') AS folder,
     array_to_string(list_sort(list_distinct(list_filter(string_split_regex('/src/' || lower(replace(p_type, ' ', '/')) || '/' || lower(p_brand) || '.test.py', '[/.]'), lambda w : length(w) >= 3 AND NOT list_contains({D._list(T.STOPWORDS)}, w)))), ' ') AS segments FROM part""",
 )
+
+
+def _sections(spark: SparkSession, sf: str) -> DataFrame:
+    rows = D.clusters(spark, sf)
+    friction = rows.where("n_corrections > 1").select("cluster_id", F.concat(F.lit("slow "), (F.col("n_corrections") % 5).cast("string")).alias("what")).groupBy("cluster_id", "what").agg(F.count(F.lit(1)).alias("n"))
+    return R.sections(rows, friction, rows.select("cluster_id", F.lit("check").alias("note")).where("cluster_id like '%high%'").distinct())
+
+
+@query
+def report_sections(spark: SparkSession, sf: str) -> DataFrame:
+    """The report's section of each cluster."""
+    return _sections(spark, sf).select("cluster_id", "thin", "section")
+
+
+oracle(
+    "report_sections",
+    f"""WITH {D.EPISODES}, {_COMPONENTS}, {_PATTERN}, {_INTERVENTION}, rk AS ({{risks}}), pn AS (SELECT cluster_id, median(efficiency)::DOUBLE AS e, median(quality)::DOUBLE AS q, count_if(efficiency IS NOT NULL OR quality IS NOT NULL) AS np FROM cl GROUP BY 1),
+    sd AS (SELECT cluster_id, CASE WHEN outcome = 'success' THEN 's' WHEN outcome IN ('failed', 'abandoned', 'partial') THEN 'f' END AS side, signature AS t, count(*) AS n FROM cl WHERE signature <> '' GROUP BY ALL
+      UNION ALL SELECT cluster_id, 'w', 'slow ' || n_corrections % 5, count(*) FROM cl WHERE n_corrections > 1 GROUP BY ALL),
+    tp AS (SELECT cluster_id, side, CASE WHEN side = 'w' THEN string_agg(t || ' (×' || n || ')', '; ' ORDER BY p) ELSE string_agg('`' || t || '` (×' || n || ')', ', ' ORDER BY p) END AS l FROM (SELECT *, row_number() OVER (PARTITION BY cluster_id, side ORDER BY n DESC, t) AS p FROM sd) WHERE p <= 3 GROUP BY cluster_id, side),
+    ex AS ({{exemplars}}), ct AS (SELECT episode_id, '`' || episode_id || '` : ' || first_prompt || ' _(outcome: ' || coalesce(outcome, 'unjudged') || ', friction: ' || (n_corrections + n_interruptions) || ')_' AS c FROM cl)
+    SELECT cc.cluster_id, frequency < 3 OR cc.n_judged < 3 AS thin, array_to_string(list_filter(['### ' || (SELECT min(label) FROM cl WHERE cl.cluster_id = cc.cluster_id), '', '- Frequency: **' || frequency || '** episodes across **' || n_sessions || '** session(s)',
+      '- Success rate: **' || round(100 * round(CASE WHEN cc.n_judged > 0 THEN cc.n_success / cc.n_judged ELSE 0 END, 4))::BIGINT || '%**', '- Median friction (corrections + interruptions): **' || regexp_replace(median_friction::VARCHAR, '\\.0$', '') || '**',
+      CASE WHEN e IS NOT NULL OR q IS NOT NULL THEN '- Median efficiency / quality (1–5, panel over ' || np || ' ep): **' || coalesce(regexp_replace(e::VARCHAR, '\\.0$', ''), '—') || '** / **' || coalesce(regexp_replace(q::VARCHAR, '\\.0$', ''), '—') || '**' END,
+      '- Stable success pattern: **' || CASE WHEN n_patterns >= 3 AND pattern_n / n_patterns >= 0.5 THEN 'yes' ELSE 'no' END || '**' || coalesce(' — dominant: `' || dominant_pattern || '`', ''), '- Recommended intervention: **' || intervention || '**',
+      CASE WHEN risk_flags <> '' THEN '- Risk flags: `' || replace(risk_flags, '; ', '`, `') || '`' END, '- Est. effort (median duration × frequency): ~' || round(d * frequency)::BIGINT || 's', '', '**Good vs bad workflow contrast**' || chr(10),
+      '- Works (success patterns): ' || coalesce((SELECT l FROM tp WHERE tp.cluster_id = cc.cluster_id AND side = 's'), '_none_'), '- Flails (fail/partial patterns): ' || coalesce((SELECT l FROM tp WHERE tp.cluster_id = cc.cluster_id AND side = 'f'), '_none_'), '',
+      '**Recurring friction:** ' || coalesce((SELECT l FROM tp WHERE tp.cluster_id = cc.cluster_id AND side = 'w'), '_none recorded_'), chr(10) || '**Exemplars**' || chr(10),
+      '- Good: ' || coalesce((SELECT c FROM ct WHERE ct.episode_id = good), '_none available_'), '- Bad: ' || coalesce((SELECT c FROM ct WHERE ct.episode_id = bad), '_none available_'),
+      CASE WHEN contains(cc.cluster_id, 'high') THEN chr(10) || '**Business note (sidecar, join-late):** check' END, ''], lambda x : x IS NOT NULL), chr(10)) AS section
+    FROM cc LEFT JOIN dp ON dp.cluster_id = cc.cluster_id JOIN it ON it.cluster_id = cc.cluster_id JOIN rk ON rk.cluster_id = cc.cluster_id JOIN pn ON pn.cluster_id = cc.cluster_id LEFT JOIN ex ON ex.cluster_id = cc.cluster_id""".replace(
+        "{risks}", f"SELECT cluster_id, array_to_string(list_filter([{_RISKS}, CASE WHEN edited >= 5 AND edited > 2 * coalesce(read, 0) THEN 'write-heavy (edits >> reads)' END], lambda x : x IS NOT NULL), '; ') AS risk_flags FROM (SELECT cluster_id, string_agg(first_prompt || coalesce(chr(10) || nullif(tool_sequence, ''), ''), chr(10) ORDER BY ord) AS blob, sum(n_files_edited) AS edited, sum(n_files_read) AS read FROM cl GROUP BY 1)"
+    ).replace(
+        "{exemplars}", """SELECT k.cluster_id, good, (SELECT arg_min(episode_id, (CASE WHEN outcome IN ('failed', 'abandoned') THEN 0 WHEN outcome = 'partial' THEN 1 ELSE 2 END, -(n_corrections + n_interruptions), ord)) FROM cl b WHERE b.cluster_id = k.cluster_id AND b.episode_id IS DISTINCT FROM good
+        AND (outcome IN ('failed', 'abandoned', 'partial') OR n_corrections + n_interruptions > 0)) AS bad FROM (SELECT cluster_id, arg_min(episode_id, (n_corrections + n_interruptions, ord)) FILTER (outcome = 'success') AS good FROM cl GROUP BY 1) k"""
+    ),
+)
+
+
+@query
+def report_document(spark: SparkSession, sf: str) -> DataFrame:
+    """The lines of the whole report but those of its clusters."""
+    x = D.episodes(spark, sf)
+    doc = R.document(x, _sections(spark, sf).withColumn("section", F.lit("+")))
+    return doc.select(F.posexplode(F.split("text", "\n", -1)).alias("place", "line"))
+
+
+oracle(
+    "report_document",
+    f"""WITH {D.EPISODES}, t AS (SELECT count(DISTINCT session_id) AS s, count(*) AS e, count_if({J})::BIGINT AS n_judged, count_if(outcome = 'success')::BIGINT AS n_success FROM ep), k AS (SELECT cluster_id, count(*) < 3 OR count_if({J}) < 3 AS thin FROM cl GROUP BY 1),
+    l AS (SELECT string_split('# Workflow report||## Corpus||- Sessions: **' || s || '**|- Episodes: **' || e || '**|- Judged episodes (success/partial/failed/abandoned): **' || n_judged || '**|- Overall success rate: **' || round(100 * round({RATE}, 4))::BIGINT || '%** (of judged)|- Task clusters: **'
+      || (SELECT count(*) FROM k) || '**||> Exemplars, not statistics: clusters are often thin and outcomes are judged by a model. Read them as leads.||## Task clusters (sufficient evidence)||' || CASE WHEN (SELECT count_if(NOT thin) FROM k) > 0 THEN repeat('+|', (SELECT count_if(NOT thin) FROM k)::BIGINT) ELSE '_None._||' END
+      || '## Insufficient evidence||' || CASE WHEN (SELECT count_if(thin) FROM k) > 0 THEN repeat('+|', (SELECT count_if(thin) FROM k)::BIGINT) ELSE '_None._|' END, '|') AS ls FROM t)
+    SELECT (i - 1)::INT AS place, ls[i] AS line FROM l, range(1, len(ls) + 1) r(i)""",
+)

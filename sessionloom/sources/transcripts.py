@@ -1,13 +1,13 @@
 """Transcript files: one JSON object a line, in files root/<project>/<session>.jsonl.
 
-Malformed lines are dropped, order is kept: a file is read whole, so that the place of a line
-in it is known. Message content is a text or a list of parts; both become one list of parts.
+Malformed lines are dropped, order is kept: files are split like any text, and a line's place is
+its rank by the block it was read from and its turn in that block. Message content is a text or a list of parts; both become one list of parts.
 The raw line stays beside the typed columns, as hashes and views need it as it was written.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import js_trim
@@ -34,11 +34,18 @@ def _parts(raw: Column) -> Column:
 
 def read_events(spark: SparkSession, root: str, glob: str = "*/*.jsonl") -> DataFrame:
     """(session_id, project_dir, event_index, raw, typed columns, parts) of every well-formed line."""
-    files = spark.read.text(f"{root}/{glob}", wholetext=True).select("value", F.col("_metadata.file_path").alias("path"))
+    lines = read_lines(spark, f"{root}/{glob}")
     name = F.regexp_extract("path", r"([^/]+)\.jsonl$", 1)
     folder = F.regexp_extract("path", r"([^/]+)/[^/]+$", 1)
-    lines = files.select(name.alias("session_id"), folder.alias("project_dir"), F.posexplode(F.split("value", "\r?\n", -1)).alias("line", "raw"))
-    return events_of_lines(lines.where(~excluded(F.col("project_dir"))))
+    return events_of_lines(lines.select(name.alias("session_id"), folder.alias("project_dir"), "line", "raw").where(~excluded(F.col("project_dir"))))
+
+
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(path, line, raw): the lines of text files with their place in the file, from 0."""
+    x = spark.read.option("lineSep", "\n").text(path)
+    x = x.select(F.regexp_replace("value", "\r$", "").alias("raw"), F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_turn"))
+    place = F.row_number().over(Window.partitionBy("path").orderBy("_block", "_turn")) - 1
+    return x.select("path", place.cast("bigint").alias("line"), "raw")
 
 
 def events_of_lines(lines: DataFrame) -> DataFrame:
@@ -91,8 +98,7 @@ def tool_results(events: DataFrame) -> DataFrame:
 
 def read_forks(spark: SparkSession, root: str, glob: str = "*/*/subagents/agent-*.jsonl") -> DataFrame:
     """Settled state of each forked transcript: api_error before mid_call before done, else unknown; and its tool count."""
-    files = spark.read.text(f"{root}/{glob}", wholetext=True).select("value", F.col("_metadata.file_path").alias("path"))
-    lines = files.select(F.regexp_extract("path", r"agent-([^/]+)\.jsonl$", 1).alias("session_id"), F.lit("").alias("project_dir"), F.posexplode(F.split("value", "\r?\n", -1)).alias("line", "raw"))
+    lines = read_lines(spark, f"{root}/{glob}").select(F.regexp_extract("path", r"agent-([^/]+)\.jsonl$", 1).alias("session_id"), F.lit("").alias("project_dir"), "line", "raw")
     x = events_of_lines(lines)
     used = F.exists("parts", lambda p: p["type"] == "tool_use")
     said = F.exists("parts", lambda p: (p["type"] == "text") & (js_trim(F.coalesce(p["text"], F.lit(""))) != ""))
