@@ -1,7 +1,9 @@
 """The corpus pipeline: quality rules, near copies, repeated passages, personal data, packing.
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept. All but the
-last return the columns of documents; n_chars follows the text.
+last return the columns of documents; n_chars follows the text. Any further columns, whatever
+their names, pass through. Rows without a doc_id are documents told apart by their texts; an
+empty table gives an empty result in every stage; texts are worked on whole, however long.
 """
 
 from __future__ import annotations
@@ -41,31 +43,31 @@ def _sized(docs: DataFrame) -> DataFrame:
 
 @_stage
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go."""
+    """Documents that the quality rules reject go: null and blank texts, and those of under 50 words, among them. Repeated rows share a verdict."""
     return quality.quality_filtered(docs)
 
 
 @_stage
 def near_copies_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by Jaccard similarity of 0.8 of five-word shingles one stays."""
+    """Of documents linked by Jaccard similarity of 0.8 of five-word shingles one stays, that of the smallest doc_id (none before any); of repeated rows one, too."""
     return jaccard_trie.near_copies_removed(docs, width=5, percent=80)
 
 
 @_stage
 def repeats_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Words under a 20-word window that starts earlier elsewhere go."""
-    return _sized(recompression.dedup_substrings(docs, with_text=True).select(*docs.columns))
+    """Words under a 20-word window that starts earlier, in a smaller doc_id or the same text, go; other texts, null ones too, stay as they are. Repeated rows lose the same words."""
+    return _sized(recompression.dedup_substrings(docs, with_text=True).select(*[F.col(common.quoted(c)) for c in docs.columns]))
 
 
 @_stage
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data is replaced by its kind in brackets."""
+    """Personal data is replaced by its kind in brackets; texts without any, null ones too, stay as they are. Rows are independent of each other."""
     return _sized(pii.redacted(docs))
 
 
 @_stage
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Where each piece of each document goes in sequences of several lengths."""
+    """Where each piece of each document goes in sequences of several lengths; a text without words has one piece in no sequence. Repeated rows are packed each."""
     return packing.pack(docs)
 
 
