@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from ..functions.privacy import RULES
 from ..functions.text import bound, js_trim, slugify
-from .draft import clamp_description, draft_role, draft_steps, evidence_strength, first_sentence, is_draftable, safe_script_name, script_risks, stage_file_names, table_cell, yaml_scalar
+from .draft import clamp_description, draft_role, draft_steps, evidence_strength, first_sentence, is_draftable, overclaim_guard, safe_script_name, script_risks, stage_file_names, table_cell, yaml_scalar
 from .labeling import answered
 
 #: Files of a draft that are never cleaned away, and headings.
@@ -100,17 +100,22 @@ def clean(x: Column) -> Column:
     return reduce(lambda t, rule: F.regexp_replace(t, rule[1], rule[2].replace("$", r"\$")), RULES, x)
 
 
-def each_text(x: Column, kind: T.DataType, f: Callable[[Column], Column]) -> Column:
-    """x with f applied to every text in it, however deep."""
+def each_text(x: Column, kind: T.DataType, f: Callable[[Column], Column], but: tuple[str, ...] = ()) -> Column:
+    """x with f applied to every text in it, however deep, but in the fields named."""
     if isinstance(kind, T.StringType):
         return f(x)
     if isinstance(kind, T.ArrayType):
-        return F.transform(x, lambda e: each_text(e, kind.elementType, f))
+        return F.transform(x, lambda e: each_text(e, kind.elementType, f, but))
     if isinstance(kind, T.StructType):
-        return F.when(x.isNotNull(), F.struct(*[each_text(x[c.name], c.dataType, f).alias(c.name) for c in kind.fields]))
+        return F.when(x.isNotNull(), F.struct(*[(x[c.name] if c.name in but else each_text(x[c.name], c.dataType, f, but)).alias(c.name) for c in kind.fields]))
     return x
 
 
+def guarded(rows: DataFrame, column: str, stable: Column, max_friction: Column) -> DataFrame:
+    """rows with claims softened that the evidence does not carry, in every text of an authored column but its scripts."""
+    return rows.withColumn(column, each_text(F.col(column), rows.schema[column].dataType, lambda x: overclaim_guard(x, stable, max_friction), ("script",)))
+
+
 def cleaned(rows: DataFrame, column: str) -> DataFrame:
     """rows with every text of a nested column cleaned."""
     return rows.withColumn(column, each_text(F.col(column), rows.schema[column].dataType, clean))

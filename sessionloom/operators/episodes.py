@@ -9,7 +9,7 @@ from ..functions import text as T
 
 SEQUENCE_CAP = 40
 RENDER_CAP = 12000
-USER_CAP, ASSISTANT_CAP, INPUT_CAP = 700, 1000, 160
+USER_CAP, ASSISTANT_CAP, INPUT_CAP, PROMPT_CAP = 700, 1000, 160, 200
 #: Headings and marks of the compact view.
 SIGNALS_HEAD, SUBAGENTS_HEAD, IMAGE = "--- EVIDENCE SIGNALS ---", "--- SUBAGENTS ---", "[image attached]"
 IDLE_GAP_S = 60
@@ -37,6 +37,15 @@ def segment(events: DataFrame, is_task: Column, is_human: Column) -> DataFrame:
     return marked.where("_human = 1").drop("_human")
 
 
+def turn_counts(turns: DataFrame) -> DataFrame:
+    """Turns of each episode by role, their images, and the first prompt. turns: session_id, idx, event_index, role, text, n_images."""
+    of = lambda role: F.count_if(F.col("role") == role)
+    return turns.groupBy(*EPISODE).agg(
+        F.count(F.lit(1)).alias("n_turns"), of("correction").alias("n_corrections"), of("interruption").alias("n_interruptions"), of("approval").alias("n_approvals"),
+        F.coalesce(F.sum("n_images"), F.lit(0)).cast("bigint").alias("n_images"), F.left(F.min_by("text", "event_index"), F.lit(PROMPT_CAP)).alias("first_prompt"),
+    )
+
+
 def is_test_command(command: Column) -> Column:
     return command.rlike(TEST_COMMAND) | command.rlike(BARE_TEST)
 

@@ -74,7 +74,7 @@ def transcript(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     marks = roles(spark, sf).select("session_id", (F.col("event_index") * 4).alias("event_index"), "role")
     events = events.join(marks, ["session_id", "event_index"], "left")
     events = E.segment(events, F.coalesce(F.col("role") == "new_task", F.lit(False)), F.col("human"))
-    return events, events.where("human").select("session_id", "idx", "event_index", "role", TR.user_text(F.col("parts")).alias("text"))
+    return events, events.where("human").select("session_id", "idx", "event_index", "role", TR.user_text(F.col("parts")).alias("text"), TR.n_images(F.col("parts")).alias("n_images"))
 
 
 TURNS = """

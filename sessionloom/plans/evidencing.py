@@ -76,6 +76,19 @@ def evidence_all(spark: SparkSession, sf: str) -> DataFrame:
 oracle("evidence_all", f"WITH RECURSIVE {D.TRANSCRIPT} SELECT c AS session_id, ep AS idx, ord, signal, direction, weight, value, reason FROM te2")
 
 
+@query
+def episode_turns(spark: SparkSession, sf: str) -> DataFrame:
+    """Turns of each episode by role, with their images."""
+    return E.turn_counts(D.transcript(spark, sf)[1])
+
+
+oracle(
+    "episode_turns",
+    f"""WITH RECURSIVE {D.TRANSCRIPT} SELECT c AS session_id, ep AS idx, count(*) AS n_turns, count_if(role = 'correction')::BIGINT AS n_corrections, count_if(role = 'interruption')::BIGINT AS n_interruptions, count_if(role = 'approval')::BIGINT AS n_approvals,
+    count_if(s % 5 = 0)::BIGINT AS n_images, left(arg_min({D.sql_trim('x')}, e), 200) AS first_prompt FROM tx WHERE role IS NOT NULL GROUP BY 1, 2""",
+)
+
+
 @query
 def render_full(spark: SparkSession, sf: str) -> DataFrame:
     """The compact view with tool lines, evidence and, in every third session, a subagent."""

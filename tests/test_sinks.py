@@ -59,6 +59,14 @@ def test_drafts_are_laid_down_and_cleared(spark, tmp_path):
     assert meta["authored"] and meta["generated_stage_refs"] == ["look.md", "look_2.md"] and meta["flagged_scripts"][0]["file"] == "go.sh"
 
 
+def test_claims_are_softened_but_not_in_scripts(spark):
+    answer = json.dumps({"when_to_use": "Always.", "steps": [{"name": "never", "detail": "seen in 3 runs", "checklist": ["recurring"], "script": {"filename": "a.sh", "body": "echo always"}}]})
+    x = spark.createDataFrame([(answer, False, 1), (answer, True, 2)], "answer string, stable boolean, friction int").withColumn("a", authoring.coerced(F.col("answer")))
+    one, two = authoring.guarded(x, "a", F.col("stable"), F.col("friction")).orderBy("friction").collect()
+    assert (one.a.when_to_use, one.a.steps[0].name, one.a.steps[0].detail, one.a.steps[0].checklist, one.a.steps[0].script.body) == ("often.", "rarely", "seen in some runs", ["observed"], "echo always")
+    assert (two.a.when_to_use, two.a.steps[0].detail, two.a.steps[0].checklist) == ("Always.", "seen in some runs", ["recurring"])
+
+
 @pytest.mark.parametrize("answer", [None, "", "no", "[]", "{}", '{"when_to_use":"x"}', '{"when_to_use":"x","steps":[{}]}', '{"when_to_use":" ","steps":[{"name":"a"}]}', '{"when_to_use":1,"steps":"a"}'])
 def test_unsound_answers_are_none(spark, answer):
     assert spark.createDataFrame([(answer,)], "a string").select(authoring.coerced(F.col("a"))).first()[0] is None

