@@ -120,13 +120,20 @@ def drop_path(spark: SparkSession, path: str) -> None:
 WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false"}
 
 
-def written(df: DataFrame, label: str, release: bool = False) -> DataFrame:
+#: Rows that a file of a small table holds at least, and files that any table may have.
+FILE_ROWS, FILES = 500_000, 8
+
+
+def written(df: DataFrame, label: str, release: bool = False, rows: int | None = None) -> DataFrame:
     """Write df to the shared folder and read it back: cuts lineage, survives lost executors.
 
     The write's own shuffle files go when it is done, as the table stands in their place.
-    release: also let Spark's cleaner run for what earlier steps left.
+    release: also let Spark's cleaner run for what earlier steps left. rows: about how many there
+    will be, so that a small table does not become a file for each of many partitions.
     """
     spark = df.sparkSession
+    if rows is not None:
+        df = df.coalesce(max(FILES, -(-rows // FILE_ROWS)))
     path = new_path(spark, label)
     before = {k: spark.conf.get(k) for k in WRITING}
     try:

@@ -135,13 +135,18 @@ def _orders() -> Column:
     return F.array(*out)
 
 
-def models(urls: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(grams, contexts) of (url, blocked, taught): counts by order k of characters after contexts, and each context's sum and kinds."""
+#: Windows of a URL, about, for the number of files of a table.
+A_URL = 32
+
+
+def models(urls: DataFrame, rows: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(grams, contexts) of (url, blocked, taught): counts by order k of characters after contexts, and each context's sum and kinds. rows: URLs there are, about."""
+    size = None if rows is None else A_URL * rows
     counted = urls.mapInArrow(_count, f"hi long, lo long, {', '.join(f'{c} long' for c in MODELS)}").groupBy("hi", "lo").agg(*[F.sum(c).alias(c) for c in MODELS])
     grams = counted.select(F.explode(_orders()).alias("o"), *MODELS).groupBy("o.k", "o.h", "o.l", "o.c").agg(*[F.sum(m).alias(m) for m in MODELS])
-    grams = C.written(grams, "grams")
+    grams = C.written(grams, "grams", rows=size)
     contexts = grams.groupBy("k", "h", "c").agg(*[F.sum(m).alias(f"{m}_sum") for m in MODELS], *[F.count_if(F.col(m) > 0).alias(f"{m}_kinds") for m in MODELS])
-    return grams, C.written(contexts, "contexts")
+    return grams, C.written(contexts, "contexts", rows=size)
 
 
 def probabilities(asked: DataFrame, grams: DataFrame, contexts: DataFrame) -> DataFrame:
@@ -166,9 +171,9 @@ def probabilities(asked: DataFrame, grams: DataFrame, contexts: DataFrame) -> Da
     return x.groupBy("hi", "lo").agg(levels.alias("levels")).select("hi", "lo", F.aggregate("levels", start, smoothed).alias("p"))
 
 
-def ratios(texts: DataFrame, grams: DataFrame, contexts: DataFrame) -> DataFrame:
+def ratios(texts: DataFrame, grams: DataFrame, contexts: DataFrame, rows: int | None = None) -> DataFrame:
     """texts (u, url, ...) with taught and whole: the models' differences in log-likelihood per character; u tells rows apart."""
-    own = C.written(texts.select("u", "url").mapInArrow(_windows_of, "u long, hi long, lo long, n long"), "windows")
+    own = C.written(texts.select("u", "url").mapInArrow(_windows_of, "u long, hi long, lo long, n long"), "windows", rows=None if rows is None else A_URL * rows)
     p = F.col("p")
     gains = probabilities(own.select("hi", "lo").distinct(), grams, contexts)
     gains = gains.select("hi", "lo", *[(F.log(F.get(p, F.lit(b))) - F.log(F.get(p, F.lit(a)))).alias(c) for c, a, b in (("taught", 0, 2), ("whole", 1, 3))])
@@ -185,19 +190,21 @@ def scored(ruled: DataFrame, asked: DataFrame, sample: int) -> DataFrame | None:
     """
     urls = ruled.select("url", (F.col("ruled") == "block").cast("int").alias("blocked")).distinct()
     sizes = {r["blocked"]: r["count"] for r in urls.groupBy("blocked").count().collect()}  # two rows
+    n = sum(sizes.values())
     if len(sizes) < 2:
         return None
     one_of = {b: 5 * max(1, -(-n // (5 * max(sample, 1)))) for b, n in sizes.items()}
     every = F.when(F.col("blocked") == 1, F.lit(one_of[1])).otherwise(F.lit(one_of[0]))
-    urls = C.written(urls.withColumn("held", F.pmod(F.xxhash64("url"), every) == 0), "ruled")
+    urls = C.written(urls.withColumn("held", F.pmod(F.xxhash64("url"), every) == 0), "ruled", rows=n)
     sides = {(r["blocked"], r["held"]) for r in urls.where("url <> ''").groupBy("blocked", "held").count().collect()}
     split = F.lit(False)
     for b in (0, 1):
         split = F.when(F.col("blocked") == b, F.lit({(b, True), (b, False)} <= sides)).otherwise(split)
     urls = urls.withColumns({"taught": (~(F.col("held") & split)).cast("int"), "calibrates": F.col("held") | ~split})
     texts = urls.where("calibrates").select("url", "blocked").unionByName(asked.select("url").distinct().withColumn("blocked", F.lit(-1)))
-    texts = C.written(texts.withColumn("u", F.monotonically_increasing_id()), "asked")
-    rated = C.written(ratios(texts, *models(urls.select("url", "blocked", "taught"))), "ratios")
+    m = asked.count()
+    texts = C.written(texts.withColumn("u", F.monotonically_increasing_id()), "asked", rows=n + m)
+    rated = C.written(ratios(texts, *models(urls.select("url", "blocked", "taught"), n), n + m), "ratios", rows=n + m)
     found = rated.where("blocked >= 0").select("blocked", "taught").toPandas()  # about 2 x sample rows
     side, ratio = found["blocked"].to_numpy(), found["taught"].to_numpy()
     slope, shift = calibrated(np.sort(ratio[side == 0]), np.sort(ratio[side == 1]))
