@@ -286,13 +286,15 @@ def kept_words(window: int, rounds: int, with_text: bool):
 
 def repeats(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
     """(symbols of each document that occur twice, starts of each document's candidate windows that come first)."""
-    texts = C.doc_frame(docs)
+    texts, mark = C.doc_frame(docs), C.made_so_far()
     seen = C.written(texts.mapInArrow(representatives(window, rounds), "symbol long, doc_key long, places int"), "seen")
     twice = seen.groupBy("symbol").agg(F.sum("places").alias("n")).where("n >= 2").select("symbol")
     flagged = C.written(seen.select("symbol", "doc_key").join(twice, "symbol").groupBy("doc_key").agg(F.collect_list("symbol").alias("symbols")), "symbols", release=True)
+    C.drop_since(mark, [flagged])
     names = texts.join(flagged, "doc_key").mapInArrow(window_names(window, rounds), "name_a long, name_b long, doc_key long, start int")
     first = names.groupBy("name_a", "name_b").agg(F.min("doc_key").alias("doc_key"), F.min_by("start", "doc_key").alias("start"))
-    starts = first.groupBy("doc_key").agg(F.collect_list(F.col("start").cast("long")).alias("starts"))
+    # Written, so that the names' shuffle files go before the texts are shuffled again.
+    starts = C.written(first.groupBy("doc_key").agg(F.collect_list(F.col("start").cast("long")).alias("starts")), "starts", release=True)
     return flagged, starts
 
 
