@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -21,7 +24,10 @@ def once(df: DataFrame) -> DataFrame:
         folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
         if not folder and not context.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        context.setCheckpointDir(folder or f"file:///tmp/checkpoints/{context.applicationId}")
+        if not folder:
+            own = f"/tmp/checkpoints/{context.applicationId}"
+            atexit.register(shutil.rmtree, own, ignore_errors=True)
+        context.setCheckpointDir(folder or f"file://{own}")
     return df.checkpoint(eager=True)
 
 
