@@ -33,7 +33,7 @@ COUNTERS, HELD = 1 << 18, 1 << 20
 #: N-grams that one verification block holds, about.
 BLOCK = 1 << 18
 #: Classes of more documents than this, and than one in HOT_SHARE of all, are dealt by broadcast: there are at most HOT_SHARE.
-HOT, HOT_SHARE = 4096, 1 << 16
+HOT, HOT_SHARE = 1024, 1 << 16
 HUB_ROUNDS = 3
 #: N-grams that the prefixes of a linked pair share at least (fewer for sets smaller than that).
 SHARED = 8
