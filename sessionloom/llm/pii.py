@@ -232,10 +232,10 @@ def _text(spans: Column) -> Column:
 
 
 def find_pii(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans) of every document.
+    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_spans) of every document.
 
     Counts and base_sha256 are of the base spans; spans holds these and what the classifier
-    adds, ``kind:start:end`` in code points by start, then kind. Null text is empty: zero
+    adds, ``kind:start:end`` in code points by start, then kind, and n_spans their number. Null text is empty: zero
     counts, the hash of the empty string, empty spans. Repeated rows and null ids come back
     as they are; other columns are ignored; an empty table gives an empty result.
     """
@@ -246,7 +246,7 @@ def find_pii(docs: DataFrame) -> DataFrame:
         return lambda c: c["k"] == i
 
     counts = [F.size(F.filter("base", of_kind(i))).cast("long").alias(f"n_{k}") for i, k in enumerate(KINDS[:4])]
-    return x.select("doc_id", *counts, F.sha2(_text(F.filter("all", lambda c: c["base"])), 256).alias("base_sha256"), _text(F.col("all")).alias("spans"))
+    return x.select("doc_id", *counts, F.sha2(_text(F.filter("all", lambda c: c["base"])), 256).alias("base_sha256"), _text(F.col("all")).alias("spans"), F.size("all").cast("long").alias("n_spans"))
 
 
 def redacted(docs: DataFrame) -> DataFrame:

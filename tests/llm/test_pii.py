@@ -41,7 +41,7 @@ def test_base_spans(spark):
         assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == counts, r.doc_id
         assert r.base_sha256 == hashlib.sha256(",".join(spans).encode()).hexdigest(), r.doc_id
         every = r.spans.split(",") if r.spans else []
-        assert set(spans) <= set(every)
+        assert set(spans) <= set(every) and r.n_spans == len(every)
         places = [(int(x.split(":")[1]), P.KINDS.index(x.split(":")[0])) for x in every]
         assert places == sorted(places)
 
