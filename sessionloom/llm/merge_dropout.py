@@ -16,6 +16,8 @@ the others each on its own, all in arrays; long chunks go through a heap.
 
 from __future__ import annotations
 
+import functools
+import gc
 import hashlib
 import heapq
 import re
@@ -23,6 +25,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -52,6 +55,7 @@ class Vocabulary:
     path: str
     texts: list[str] = field(default_factory=list)
     symbol: dict[str, int] = field(default_factory=dict)
+    codes: dict[str, np.ndarray] = field(default_factory=dict)  # place_codes() of chunks met so far
 
     def __post_init__(self):
         import sentencepiece
@@ -91,6 +95,12 @@ class Vocabulary:
         return rank, joint
 
 
+@functools.lru_cache(maxsize=2)
+def vocabulary(path: str) -> Vocabulary:
+    """The vocabulary of a path; a worker builds it once."""
+    return Vocabulary(path)
+
+
 def place_key(chunk: np.ndarray, start, split, end, whole: bool = True) -> np.ndarray:
     """Hash of a candidate: its chunk's key and where its halves begin, meet and end; not whole: the part without the key."""
     with np.errstate(over="ignore"):
@@ -168,8 +178,8 @@ def merge_one(v: Vocabulary, text: str, key: int, rate: float) -> list[int]:
     return [s for s, a in zip(sym, alive, strict=True) if a]
 
 
-def merge_many(v: Vocabulary, chunks: list[str], keys: np.ndarray, rate: float) -> list[np.ndarray]:
-    """merge_one for many chunks of like length at once."""
+def merge_many(v: Vocabulary, chunks: list[str], keys: np.ndarray, rate: float) -> tuple[np.ndarray, np.ndarray]:
+    """merge_one for many chunks of like length at once: (all their symbols, how many each has)."""
     lens = np.array([len(c) for c in chunks])
     n, width = len(chunks), int(lens.max())
     codes = np.frombuffer("".join(chunks).encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -221,28 +231,40 @@ def merge_many(v: Vocabulary, chunks: list[str], keys: np.ndarray, rate: float)
         offer(active[left], best[left] - 1)
         offer(active, best)
         active = active[live[active] > 1]
-    return [sym[i, : live[i]] for i in range(n)]
+    return sym[np.arange(width + 1)[None, :] < live[:, None]], live
 
 
 class Encoder:
     """Encodes texts of one (seed, rate); decode() undoes any of them."""
 
     def __init__(self, path: str = VOCABULARY, seed: int = 0, rate: float = 0.1, wide: int = WIDE):
-        self.v, self.seed, self.rate, self.wide = Vocabulary(path), seed, rate, wide
-        self.codes: dict[str, np.ndarray] = {}
+        self.v, self.seed, self.rate, self.wide = vocabulary(path), seed, rate, wide
 
     def chunks(self, text: str) -> list[str]:
         return CHUNK.findall(MARK + text.replace(MARK, OWN_MARK).replace(" ", MARK)) if text else []
 
-    def _ids(self, symbols: np.ndarray | list[int]) -> list[int]:
-        out: list[int] = []
-        for s in symbols:
-            if s >= 0:
-                out.append(int(s))
-            else:
-                c = chr(-1 - int(s))
-                out += [self.v.byte_ids[b] for b in (MARK if c == OWN_MARK else c).encode("utf-8", "surrogatepass")]
-        return out
+    def _bytes(self, symbol: int) -> list[int]:
+        """The ids of a character that is no piece."""
+        c = chr(-1 - symbol)
+        return [self.v.byte_ids[b] for b in (MARK if c == OWN_MARK else c).encode("utf-8", "surrogatepass")]
+
+    def _ids(self, symbols: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Symbols of many chunks, and how many each has, with characters that are no pieces as bytes."""
+        odd = np.unique(symbols[symbols < 0])
+        if not len(odd):
+            return symbols, sizes
+        own = {int(x): (np.flatnonzero(symbols == x), self._bytes(int(x))) for x in odd}
+        width = np.ones(len(symbols), np.int64)
+        for at, ids in own.values():
+            width[at] = len(ids)
+        ends = np.cumsum(width)
+        out = np.empty(int(ends[-1]), np.int32)
+        out[ends - width] = symbols
+        for at, ids in own.values():
+            for k, i in enumerate(ids):
+                out[(ends - width)[at] + k] = i
+        upto = np.concatenate(([0], ends))[np.concatenate(([0], np.cumsum(sizes)))]
+        return out, np.diff(upto)
 
     def drops(self, words: list[str], word: np.ndarray, keys: np.ndarray) -> np.ndarray:
         """Of each occurrence of words: the set of dropped candidates as an integer, or -1 where it is not told.
@@ -252,16 +274,17 @@ class Encoder:
         out = np.zeros(len(word), np.int64)
         if not self.rate:
             return out
-        if len(self.codes) > KNOWN:
-            self.codes.clear()
+        known = self.v.codes
+        if len(known) > KNOWN:
+            known.clear()
         own = []
         for w, often in zip(words, np.bincount(word, minlength=len(words)) >= OFTEN, strict=True):
             if not often or len(w) > self.wide:
                 own.append(None)
                 continue
-            c = self.codes.get(w)
+            c = known.get(w)
             if c is None:
-                c = self.codes[w] = place_codes(self.v, w)
+                c = known[w] = place_codes(self.v, w)
             own.append(c)
         size = np.array([-1 if c is None else len(c) for c in own])
         first = np.cumsum(np.maximum(size, 0)) - np.maximum(size, 0)
@@ -292,9 +315,13 @@ class Encoder:
         flat = [c for s in split for c in s]
         if not flat:
             return [np.zeros(0, np.int32) for _ in texts]
-        known: dict[str, int] = {}
-        word = np.array([known.setdefault(c, len(known)) for c in flat], np.int64)
-        words = list(known)
+        if any(MARK in t for t in texts):  # pandas cannot tell half surrogates apart
+            known: dict[str, int] = {}
+            word = np.array([known.setdefault(c, len(known)) for c in flat], np.int64)
+            words = list(known)
+        else:
+            word, found = pd.factorize(np.array(flat, object))
+            words = found.tolist()
         every = occurrence_keys(self.seed, np.array(documents, np.int64), counts)
         dropped = self.drops(words, word, every)
         # Occurrences with the same drops stand for each other.
@@ -306,25 +333,22 @@ class Encoder:
         some = np.concatenate((by[new], alone))
         of = np.empty(len(word), np.int64)
         of[by], of[alone] = np.cumsum(new) - 1, int(new.sum()) + np.arange(len(alone))
-        chunks, keys = [flat[i] for i in some], every[some]
-        done: list = [None] * len(chunks)
+        keys = every[some]
         lens = np.array([len(w) for w in words])[word[some]]
         order = np.argsort(lens, kind="stable")
-        short = order[: int(np.searchsorted(lens[order], self.wide, "right"))]
-        for a in range(0, len(short), 16384):
-            own = short[a : a + 16384]
-            for i, s in zip(own, merge_many(self.v, [chunks[i] for i in own], keys[own], self.rate), strict=True):
-                done[i] = s
-        for i in order[len(short) :]:
-            done[i] = np.array(merge_one(self.v, chunks[i], int(keys[i]), self.rate), np.int64)
-        sizes = np.array([len(x) for x in done], np.int64)
-        pool = np.concatenate(done).astype(np.int32)
-        if (pool < 0).any():  # characters that are no pieces become bytes
-            for i in np.unique(np.repeat(np.arange(len(done)), sizes)[pool < 0]):
-                done[i] = np.array(self._ids(done[i]), np.int32)
-                sizes[i] = len(done[i])
-            pool = np.concatenate(done).astype(np.int32)
-        first = np.concatenate(([0], np.cumsum(sizes)[:-1]))
+        short = int(np.searchsorted(lens[order], self.wide, "right"))
+        parts, sizes = [], []
+        for a in range(0, short, 16384):
+            own = order[a : min(a + 16384, short)]
+            symbols, n = merge_many(self.v, [flat[i] for i in some[own].tolist()], keys[own], self.rate)
+            parts.append(symbols)
+            sizes.append(n)
+        for i in order[short:]:
+            parts.append(np.array(merge_one(self.v, flat[some[i]], int(keys[i]), self.rate), np.int32))
+            sizes.append(np.array([len(parts[-1])]))
+        pool, size = self._ids(np.concatenate(parts).astype(np.int32), np.concatenate(sizes))
+        first, sizes = np.empty(len(some), np.int64), np.empty(len(some), np.int64)
+        first[order], sizes[order] = np.cumsum(size) - size, size
         got = sizes[of]
         ends = np.cumsum(got)
         spread = pool[np.repeat(first[of] - (ends - got), got) + np.arange(int(ends[-1]))]
@@ -355,6 +379,7 @@ def encoded(path: str, seed: int, rate: float, digest: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(path, seed, rate)
         table, first = _pieces_table(encoder.v)
+        gc.disable()  # millions of short texts, and no cycles among them
         for batch in batches:
             _, offs = C.text_parts(batch.column("text"))
             for a, b in C.row_chunks(offs, 8 * C.CHUNK_BYTES):
@@ -374,7 +399,7 @@ def encoded(path: str, seed: int, rate: float, digest: bool):
                         whole.append(raw[1:].tobytes() == t.encode("utf-8"))
                     made = {"n_ids": n, "ids_sha256": pa.array([hashlib.sha256(x.astype("<i4").tobytes()).hexdigest() for x in ids]), "lossless": pa.array(whole, pa.bool_())}
                 yield pa.RecordBatch.from_arrays([part.column("doc_key"), *made.values()], ["doc_key", *made])
-            C.trim()
+        gc.enable()
 
     return run
 
