@@ -45,14 +45,17 @@ class Pieces:
 
     def __init__(self, pieces: list[str]):
         self.size = len(pieces)
-        by: dict[int, list[tuple[int, int]]] = {}
-        for i, p in enumerate(pieces):
-            codes = np.array([ord(c) for c in p], np.uint64)
-            by.setdefault(len(codes), []).append((int(_roll(codes)[-1]), i))
+        lens = np.array([len(p) for p in pieces], np.int64)
         self.tables = {}
-        for n, rows in by.items():
-            rows.sort()
-            self.tables[n] = (np.array([h for h, _ in rows], np.uint64), np.array([i for _, i in rows], np.int32))
+        for n in np.unique(lens[lens > 0]).tolist():
+            own = np.flatnonzero(lens == n)
+            codes = np.frombuffer("".join(pieces[i] for i in own).encode("utf-32-le"), np.uint32).reshape(-1, n)
+            h = np.zeros(len(own), np.uint64)
+            with np.errstate(over="ignore"):
+                for k in range(n):
+                    h = h * _FACTOR + C.mix(codes[:, k].astype(np.uint64) + np.uint64(1))
+            order = np.argsort(h, kind="stable")
+            self.tables[n] = (h[order], own[order].astype(np.int32))
         self.lengths = sorted(self.tables)
         self.sketch = np.zeros((self.lengths[-1] + 1, 1 << 18), bool)  # which top bits occur among the pieces of a length
         for n, (known, _) in self.tables.items():
@@ -69,14 +72,14 @@ class Pieces:
         return some[same], ids[at[same]]
 
 
-def _roll(codes: np.ndarray) -> np.ndarray:
-    """Hash of each prefix of a short code sequence."""
-    out, h = np.empty(len(codes), np.uint64), np.uint64(0)
-    with np.errstate(over="ignore"):
-        for i, c in enumerate(codes):
-            h = h * _FACTOR + C.mix(c + np.uint64(1))
-            out[i] = h
-    return out
+_known: dict[str, Pieces] = {}
+
+
+def pieces_of(path: str) -> Pieces:
+    """The pieces of a vocabulary; a worker builds them once."""
+    if path not in _known:
+        _known[path] = Pieces(read_vocabulary(path))
+    return _known[path]
 
 
 def word_matrix(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -243,14 +246,14 @@ def piece_counts(vocabulary: str, langs: list[str]):
     """Arrow map: (text, lang) -> (lang, piece, n): expected piece counts under the flat start."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = Pieces(read_vocabulary(vocabulary))
+        pieces = pieces_of(vocabulary)
         start = np.full((pieces.size + 1, 1), 1.0 / pieces.size)
         start[-1] = 0
         code = {x: i for i, x in enumerate(langs)}
         sums = np.zeros((pieces.size + 1, len(langs)))
         for batch in batches:
             own = [code.get(x, -1) for x in batch.column("lang").to_pylist()]
-            for a, b, texts in _texts(batch, 8 * C.CHUNK_BYTES):
+            for a, b, texts in _texts(batch, 12 * C.CHUNK_BYTES):
                 words, at, row = _unique(texts)
                 if not words:
                     continue
@@ -271,11 +274,11 @@ def scored(vocabulary: str, langs: list[str], prob: np.ndarray):
     """Arrow map: (doc_key, held_out, text) -> (doc_key, held_out, lang_pred, score)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = Pieces(read_vocabulary(vocabulary))
+        pieces = pieces_of(vocabulary)
         for batch in batches:
             preds: list[str] = []
             scores: list[float] = []
-            for _, _, texts in _texts(batch, 8 * C.CHUNK_BYTES):
+            for _, _, texts in _texts(batch, 12 * C.CHUNK_BYTES):
                 words, at, row = _unique(texts if langs else [])
                 logs = np.zeros((len(words), len(langs)))
                 for step in _steps(words, len(langs)):
