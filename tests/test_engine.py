@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 from sessionloom.operators import converge, labeling, mine, store, trust
 from sessionloom.operators import episodes as E
-from sessionloom.plans import mining, structure  # noqa: F401
+from sessionloom.plans import drafting, evidencing, judging, mining, structure  # noqa: F401
 from sessionloom.plans.registry import ORACLES, QUERIES
 from sessionloom.sources import transcripts as S
 from sessionloom.streaming import incremental
