@@ -45,6 +45,8 @@ NEEDS: dict[str, list[list[str]]] = {
     "money": [["$", "vnd", "vnđ", "đ", "usd"]],
     "cust_code": [["kh", "hd", "cus", "inv"]],
 }
+#: What a text must hold for any rule to match; each rule's own need is an alternative.
+SOME = r"[:=@]|[0-9][0-9.,]{2}|[0-9](?:[ \-.]?[0-9]){8}|-----BEGIN|(?i:bearer|basic)|sk-|[srp]k_(?:live|test)_|gh[pousr]_|AKIA|AIza|xox[baprs]-|glpat-|eyJ"
 #: Runs of digits, with their separators, that a rule needs.
 DIGITS = {"vn_id": r"[0-9]{9}", "vn_phone": r"[0-9](?:[ \-.]?[0-9]){8}", "bank_acct": r"[0-9]{8}", "money": r"[0-9][0-9.,]{2}", "cust_code": r"[0-9]{4}"}
 

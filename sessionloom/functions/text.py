@@ -220,8 +220,8 @@ def greedy(x: Column, opens: str = "{", closes: str = "}") -> Column:
 
 
 FENCE = r"(?is)```(?:json)?\s*(.*?)```"
-#: A string, open to the end if it is not closed; a brace; anything else.
-JSON_TOKEN = r'(?s)"(?:[^"\\]|\\.)*+"?|[{}]|[^"{}]+'
+#: A brace, or a run of what is none: strings, open to the end if not closed, and anything between them.
+JSON_TOKEN = r'(?s)[{}]|(?:[^"{}]++|"(?:[^"\\]|\\.)*+"?)++'
 
 
 def _balanced(body: Column) -> Column:
@@ -235,4 +235,4 @@ def _balanced(body: Column) -> Column:
         return F.struct(depth.alias("depth"), at.alias("at"), end.alias("end"))
 
     end = F.aggregate(F.regexp_extract_all(body, F.lit(JSON_TOKEN), 0), start, step)["end"]
-    return F.when(end > 0, F.left(body, end))
+    return bound(end, lambda n: F.when(n > 0, F.left(body, n)))

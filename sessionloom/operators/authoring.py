@@ -15,10 +15,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.privacy import RULES
+from ..functions.privacy import RULES, SOME
 from ..functions.text import bound, js_trim, slugify
-from .draft import clamp_description, draft_role, draft_steps, evidence_strength, first_sentence, is_draftable, overclaim_guard, safe_script_name, script_risks, stage_file_names, table_cell, yaml_scalar
-from .labeling import answered
+from .draft import clamp_description, draft_role, draft_steps, evidence_strength, first_sentence, is_draftable, overclaim_guard, safe_script_name, script_risks, stage_files, table_cell, yaml_scalar
+from .labeling import answered, is_object, kind_of
 
 #: Files of a draft that are never cleaned away, and headings.
 FIXED_REFS = ("success-patterns.md", "failure-modes.md")
@@ -32,13 +32,9 @@ LATER = "_Written when evidence of labelled episodes is available._"
 # ------------------------------------------------------------- coercion
 
 
-def _kind(v: Column, path: str) -> Column:
-    return F.coalesce(F.schema_of_variant(F.try_variant_get(v, path, "variant")), F.lit(""))
-
-
 def _text(v: Column, path: str, trim: bool = True) -> Column:
     """A text; what is none is empty."""
-    x = F.when(_kind(v, path) == "STRING", F.try_variant_get(v, path, "string")).otherwise(F.lit(""))
+    x = F.when(kind_of(v, path) == "STRING", F.try_variant_get(v, path, "string")).otherwise(F.lit(""))
     return js_trim(x) if trim else x
 
 
@@ -50,7 +46,7 @@ def _texts(v: Column, path: str) -> Column:
 
 def _objects(v: Column, path: str, made: Callable[[Column], Column], keep: Callable[[Column], Column]) -> Column:
     """Objects of a list, each made by made(), that keep() holds for."""
-    own = F.filter(F.try_variant_get(v, path, "array<variant>"), lambda x: _kind(x, "$").startswith("OBJECT"))
+    own = F.filter(F.try_variant_get(v, path, "array<variant>"), is_object)
     return F.filter(F.transform(own, made), keep)
 
 
@@ -59,10 +55,9 @@ def _example(v: Column) -> Column:
 
 
 def _script(v: Column) -> Column:
-    name, body = _text(v, "$.script.filename"), _text(v, "$.script.body", trim=False)
     language = F.coalesce(F.nullif(_text(v, "$.script.language"), F.lit("")), F.lit("sh"))
-    made = F.struct(name.alias("filename"), language.alias("language"), _text(v, "$.script.purpose").alias("purpose"), body.alias("body"))
-    return F.when((name != "") & (js_trim(body) != ""), made)
+    made = F.struct(_text(v, "$.script.filename").alias("filename"), language.alias("language"), _text(v, "$.script.purpose").alias("purpose"), _text(v, "$.script.body", trim=False).alias("body"))
+    return bound(made, lambda s: F.when((s["filename"] != "") & (js_trim(s["body"]) != ""), s))
 
 
 def _step(v: Column) -> Column:
@@ -77,8 +72,11 @@ def coerced(answer: Column) -> Column:
 
     def made(v: Column) -> Column:
         purpose = _text(v, "$.when_to_use")
-        described = F.coalesce(F.nullif(_text(v, "$.description"), F.lit("")), first_sentence(purpose))
         steps = _objects(v, "$.steps", _step, lambda s: (s["name"] != "") | (s["detail"] != ""))
+        return bound(F.when(is_object(v), F.struct(purpose.alias("purpose"), steps.alias("steps"))), lambda known: used(v, known["purpose"], known["steps"]))
+
+    def used(v: Column, purpose: Column, steps: Column) -> Column:
+        described = F.coalesce(F.nullif(_text(v, "$.description"), F.lit("")), first_sentence(purpose))
         errors = _objects(v, "$.errors", lambda e: F.struct(_text(e, "$.error").alias("error"), _text(e, "$.how_to_handle").alias("how_to_handle")), lambda e: e["error"] != "")
         out = F.struct(
             described.alias("description"), purpose.alias("when_to_use"), F.nullif(_text(v, "$.optimal_workflow"), F.lit("")).alias("optimal_workflow"), _texts(v, "$.checklist").alias("checklist"), steps.alias("steps"),
@@ -87,7 +85,7 @@ def coerced(answer: Column) -> Column:
             F.struct(_texts(v, "$.constraints.must_do").alias("must_do"), _texts(v, "$.constraints.must_not").alias("must_not")).alias("constraints"),
             F.struct(*[_text(v, f"$.references.{n}").alias(n) for n in ("success_patterns_md", "failure_modes_md", "evidence_md")]).alias("references"),
         )
-        return F.when(_kind(v, "$").startswith("OBJECT") & (purpose != "") & (F.coalesce(F.size(steps), F.lit(0)) > 0), out)
+        return F.when((purpose != "") & (F.coalesce(F.size(steps), F.lit(0)) > 0), out)
 
     return bound(answered(answer), made)
 
@@ -96,8 +94,9 @@ def coerced(answer: Column) -> Column:
 
 
 def clean(x: Column) -> Column:
-    """A text after all rules of the privacy gate."""
-    return reduce(lambda t, rule: F.regexp_replace(t, rule[1], rule[2].replace("$", r"\$")), RULES, x)
+    """A text after all rules of the privacy gate; these run on texts that hold what some rule needs."""
+    ruled = lambda t: reduce(lambda y, rule: F.regexp_replace(y, rule[1], rule[2].replace("$", r"\$")), RULES, t)
+    return bound(x, lambda t: F.when(t.rlike(SOME), ruled(t)).otherwise(t))
 
 
 def each_text(x: Column, kind: T.DataType, f: Callable[[Column], Column], but: tuple[str, ...] = ()) -> Column:
@@ -264,22 +263,31 @@ def draft_files(candidates: DataFrame) -> DataFrame:
 
     named = lambda n: F.struct(n.alias("name"), *[F.lit(None).cast(f.dataType).alias(f.name) for f in kind.fields if f.name != "name"])
     plain = F.transform(draft_steps(F.col("dominant_pattern")), lambda s: named(clean(s)))
-    steps = x.select("*", F.posexplode(F.when(F.col("authored").isNotNull(), F.transform("authored.steps", safe)).otherwise(plain)).alias("place", "step"))
-    steps = stage_file_names(steps.withColumn("_name", F.col("step.name")), ["cluster_id"], "place", "_name")
-    stage = F.when(F.col("authored").isNotNull(), stage_markdown(F.col("step"))).otherwise(stage_scaffold(F.col("step.name")))
-    reasons = F.array_join(script_risks(F.col("step.script.body")), "; ")
-    body = F.concat(F.when(reasons != "", F.concat(F.lit(UNVETTED), reasons, F.lit("; review before running\n"))).otherwise(F.lit("")), F.col("step.script.body"))
     none = F.lit("")
-    files = F.array(F.struct(F.concat(F.lit("skill/references/"), "file_name").alias("path"), stage.alias("content"), none.alias("reason")), F.when(F.col("step.script").isNotNull(), F.struct(F.concat(F.lit("skill/scripts/"), F.col("step.script.filename")).alias("path"), body.alias("content"), reasons.alias("reason"))))
-    listed = steps.groupBy("cluster_id").agg(
-        F.array_sort(F.collect_list(F.struct("place", F.col("step.name").alias("name"), F.coalesce(F.col("step.detail"), none).alias("detail"), "file_name"))).alias("stages"), F.flatten(F.collect_list(F.array_compact(files))).alias("files")
-    )  # a candidate's steps: few
-    x = x.join(listed, "cluster_id")
+
+    def files_of(s: Column, written: Callable[[Column], Column]) -> Column:
+        """A stage's file and its script, if it has one."""
+
+        def script(reasons: Column) -> Column:
+            body = F.concat(F.when(reasons != "", F.concat(F.lit(UNVETTED), reasons, F.lit("; review before running\n"))).otherwise(none), s["script"]["body"])
+            return F.struct(F.concat(F.lit("skill/scripts/"), s["script"]["filename"]).alias("path"), body.alias("content"), reasons.alias("reason"))
+
+        own = F.struct(F.concat(F.lit("skill/references/"), s["file_name"]).alias("path"), written(s).alias("content"), none.alias("reason"))
+        return F.when(s["script"].isNull(), F.array(own)).otherwise(F.array(own, bound(F.array_join(script_risks(s["script"]["body"]), "; "), script)))
+
+    # A candidate's steps, which are few, stay in its row: nothing is shuffled, and no candidate is made twice.
+    authored = F.col("authored").isNotNull()
+    x = x.withColumn("_steps", F.when(authored, F.transform("authored.steps", safe)).otherwise(plain))
+    x = x.withColumn("_names", stage_files(F.transform("_steps", lambda s: s["name"])))
+    x = x.withColumn("stages", F.zip_with("_steps", "_names", lambda s, n: F.struct(*[s[f].alias(f) for f in kind.names if f != "detail"], F.coalesce(s["detail"], none).alias("detail"), n.alias("file_name")))).drop("_steps", "_names")
+    x = x.withColumn("files", F.flatten(F.when(authored, F.transform("stages", lambda s: files_of(s, stage_markdown))).otherwise(F.transform("stages", lambda s: files_of(s, lambda t: stage_scaffold(t["name"]))))))
     slug, stages = F.col("slug"), F.col("stages")
     fixed = {"skill/SKILL.md": F.when(F.col("authored").isNotNull(), _written(slug, stages)).otherwise(_scaffold(slug, stages))}
     fixed |= {f"skill/references/{n}": c for n, c in _references().items()} | {f"audit/{n}": c for n, c in _audit(slug).items()}
     every = F.concat(F.array(*[F.struct(F.lit(p).alias("path"), c.alias("content"), none.alias("reason")) for p, c in fixed.items()]), F.col("files"))
-    return x.select("slug", F.explode(every).alias("f")).select("slug", "f.path", "f.content")
+    # An explode() would have Spark make all files a second time, in a filter pushed down to the scan, to leave out candidates without any.
+    some = F.when(F.size("stages") > 0, every)
+    return x.select("slug", F.explode_outer(some).alias("f")).where("f is not null").select("slug", "f.path", "f.content")
 
 
 def stale_files(before: DataFrame, files: DataFrame) -> DataFrame:
@@ -289,7 +297,8 @@ def stale_files(before: DataFrame, files: DataFrame) -> DataFrame:
     """
     listed = before.select("slug", F.explode(F.from_json(F.get_json_object("meta", "$.generated_stage_refs"), "array<string>")).alias("n")).where(~F.col("n").isin(*FIXED_REFS))
     old = listed.select("slug", F.concat(F.lit("skill/references/"), "n").alias("path"))
-    return old.join(files.select("slug").distinct(), "slug", "left_semi").join(files.select("slug", "path"), ["slug", "path"], "left_anti").distinct()
+    now = files.groupBy("slug").agg(F.collect_set("path").alias("_now"))  # a draft's files: few
+    return old.join(now, "slug").where(~F.array_contains("_now", F.col("path"))).select("slug", "path").distinct()
 
 
 def write_drafts(files: DataFrame, path: str) -> None:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import B
+from ..functions.text import B, bound
 from .mine import DESTRUCTIVE
 
 #: Words for absolutes, count phrases and what replaces them, patterns of unsafe scripts.
@@ -52,12 +52,15 @@ def script_risks(body: Column) -> Column:
 
 def clamp_description(x: Column, most: int = 180) -> Column:
     """One line of at most `most` characters: cut behind a sentence that ends past 40, else between words with an ellipsis."""
-    t = F.trim(F.regexp_replace(x, r"\s+", " "))
-    end = F.regexp_instr(F.left(t, F.lit(most + 1)), F.lit(r"[.!?](?:\s|$)"))
-    cut = F.left(t, F.lit(most))
-    words = F.regexp_replace(cut, r" [^ ]*$", "")
-    short = F.concat(F.trim(F.when(F.length(words) > 40, words).otherwise(cut)), F.lit("…"))
-    return F.when(F.length(t) <= most, t).when(end > 40, F.trim(F.left(t, end))).otherwise(short)
+
+    def clamped(t: Column) -> Column:
+        end = F.regexp_instr(F.left(t, F.lit(most + 1)), F.lit(r"[.!?](?:\s|$)"))
+        cut = F.left(t, F.lit(most))
+        words = F.regexp_replace(cut, r" [^ ]*$", "")
+        short = F.concat(F.trim(F.when(F.length(words) > 40, words).otherwise(cut)), F.lit("…"))
+        return F.when(F.length(t) <= most, t).when(end > 40, F.trim(F.left(t, end))).otherwise(short)
+
+    return bound(F.trim(F.regexp_replace(x, r"\s+", " ")), clamped)
 
 
 def selection(x: Column, most: Column) -> Column:
@@ -84,17 +87,35 @@ def safe_script_name(raw: Column) -> Column:
     return F.when(~bad, name)
 
 
+def _stage_base(name: Column) -> Column:
+    base = F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(name, F.lit(""))), r"[^a-z0-9]+", "_"), r"^_+|_+$", "")
+    return F.coalesce(F.nullif(F.left(base, F.lit(48)), F.lit("")), F.lit("stage"))
+
+
+def _numbered_file(base: Column, n: Column) -> Column:
+    return F.concat(base, F.when(n > 1, F.concat(F.lit("_"), n.cast("string"))).otherwise(""), F.lit(".md"))
+
+
 def stage_file_names(steps: DataFrame, keys: list[str], order: str, name: str) -> DataFrame:
     """steps with file_name: a slug of the name, numbered from the second of its kind on."""
-    base = F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(name, F.lit(""))), r"[^a-z0-9]+", "_"), r"^_+|_+$", "")
-    steps = steps.withColumn("_base", F.coalesce(F.nullif(F.left(base, F.lit(48)), F.lit("")), F.lit("stage")))
+    steps = steps.withColumn("_base", _stage_base(F.col(name)))
     n = F.row_number().over(Window.partitionBy(*keys, "_base").orderBy(order))
-    return steps.withColumn("file_name", F.concat("_base", F.when(n > 1, F.concat(F.lit("_"), n.cast("string"))).otherwise(""), F.lit(".md"))).drop("_base")
+    return steps.withColumn("file_name", _numbered_file(F.col("_base"), n)).drop("_base")
+
+
+def stage_files(names: Column) -> Column:
+    """The file names of one candidate's stage names, an array, as stage_file_names gives them."""
+
+    def named(bases: Column) -> Column:
+        return F.transform(bases, lambda b, i: _numbered_file(b, F.size(F.filter(F.slice(bases, F.lit(1), i + 1), lambda o: o == b))))
+
+    return bound(F.transform(names, _stage_base), named)
 
 
 def first_sentence(x: Column, most: int = 180) -> Column:
     t = F.trim(F.regexp_replace(x, r"\s+", " "))
-    return clamp_description(F.coalesce(F.nullif(F.regexp_extract(t, r"^(.+?[.!?])(?:\s|$)", 1), F.lit("")), t), most)
+    first = lambda t: F.coalesce(F.nullif(F.regexp_extract(t, r"^(.+?[.!?])(?:\s|$)", 1), F.lit("")), t)
+    return clamp_description(bound(t, first), most)
 
 
 def yaml_scalar(x: Column) -> Column:

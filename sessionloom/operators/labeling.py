@@ -70,6 +70,16 @@ def answered(answer: Column) -> Column:
     return F.try_parse_json(T.json_object(answer))
 
 
+def kind_of(v: Column, path: str, none: str = "") -> Column:
+    """The kind of a VARIANT's value at a path; none where there is no value."""
+    return F.coalesce(F.schema_of_variant(v if path == "$" else F.try_variant_get(v, path, "variant")), F.lit(none))
+
+
+def is_object(v: Column) -> Column:
+    """Whether a VARIANT holds an object; its fields are not looked into."""
+    return F.try_variant_get(v, "$", "map<string,variant>").isNotNull()
+
+
 def assessment_errors(v: Column) -> Column:
     """What an assessment breaks: a whole score from 1 to 5, a rationale, a list of evidence."""
     kind = lambda p: F.coalesce(F.schema_of_variant(F.try_variant_get(v, p, "variant")), F.lit("missing"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import authoring as A
+from ..operators.store import spread
 from . import bindings as D
 from .registry import oracle, query
 
@@ -24,7 +25,7 @@ def _answers(spark: SparkSession, sf: str) -> DataFrame:
         F.lit('{"when_to_use":'), F.when(k % 13 == 0, '"  "').otherwise(F.concat(F.lit('" Use '), "p_name", F.lit('. Then more "'))), F.lit(',"steps":'), F.when(k % 17 == 0, '[{"x":1}]').otherwise(F.concat(F.lit("["), step, F.replace(more, F.lit("%"), n), F.lit("]"))),
         F.lit(',"errors":'), errors, F.lit(',"triggers":["t1",2],"constraints":{"must_do":["m"]},"checklist":"none","references":{"failure_modes_md":"F"}}'),
     )
-    return D.table(spark, sf, "part").select("p_partkey", "p_name", "p_brand", F.when(k % 19 == 0, "no answer").otherwise(F.concat(F.lit("so:\n"), text)).alias("answer"))
+    return spread(D.table(spark, sf, "part").select("p_partkey", "p_name", "p_brand")).select("p_partkey", "p_name", "p_brand", F.when(k % 19 == 0, "no answer").otherwise(F.concat(F.lit("so:\n"), text)).alias("answer"))
 
 
 _OK = "p_partkey % 13 <> 0 AND p_partkey % 17 <> 0 AND p_partkey % 19 <> 0"
