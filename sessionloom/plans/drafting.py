@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import authoring as A
-from ..operators.store import spread
+from ..operators.store import once, spread
 from . import bindings as D
 from .registry import oracle, query
 
@@ -109,7 +109,7 @@ oracle(
 @query
 def draft_stale(spark: SparkSession, sf: str) -> DataFrame:
     """Stage files that an earlier draft, the scaffold of every candidate, left and the present one does not have."""
-    files = _files(spark, sf)
+    files = once(_files(spark, sf).select("slug", "path"))
     before = files.select("slug").distinct().select("slug", F.lit('{"generated_stage_refs":["explore.md","edit.md","my.md","failure-modes.md"]}').alias("meta"))
     return A.stale_files(before, files)
 
