@@ -30,6 +30,8 @@ SENSITIVE = [
     (r"-----BEGIN [A-Z ]*PRIVATE KEY-----", "private key material"),
     (rf"{T.B}[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}{T.B}", "PII (SSN-like)"),
 ]
+#: What a text must hold for any of these to match.
+SOME = r"(?i)rm\s|push|force|drop|deploy|vercel|kubectl|truncate|key|token|sk-|AKIA|[0-9]-[0-9]"
 
 
 def clustered(episodes: DataFrame, groups: DataFrame | None = None) -> DataFrame:
@@ -141,14 +143,12 @@ def risk_flags(rows: DataFrame, evidence: DataFrame | None = None) -> DataFrame:
         texts = texts.unionByName(evidence.select("cluster_id", F.lit(1).alias("_kind"), "ord", F.col("text").alias("_part")))
     texts = texts.where(F.col("_part").rlike(r"\S")).withColumn("_run", F.floor(F.col("ord") / RUN))
     run = ["cluster_id", "_kind", "_run"]
-    up, down = (Window.partitionBy(*run).orderBy(o) for o in (F.col("ord").asc(), F.col("ord").desc()))
-
-    def lead(n: int, w) -> Column:
-        return F.lead("_part", n).over(w)
-
-    texts = texts.withColumns({"_near": F.concat_ws("\n", "_part", lead(1, up), lead(2, up)), "_first": F.row_number().over(up), "_last": F.row_number().over(down)})
+    up = Window.partitionBy(*run).orderBy("ord")
+    texts = texts.withColumns({"_next1": F.lead("_part", 1).over(up), "_next2": F.lead("_part", 2).over(up), "_first": F.row_number().over(up)})
+    texts = texts.withColumn("_last", F.when(F.col("_next1").isNull(), 1).when(F.col("_next2").isNull(), 2)).withColumn("_near", F.concat_ws("\n", "_part", "_next1", "_next2"))
+    texts = texts.withColumn("_some", F.col("_near").rlike(SOME))
     names = _flags(F.col("_near"))
-    marks = [F.bool_or(c).alias(f"_f{i}") for i, (_, c) in enumerate(names)]
+    marks = [F.coalesce(F.bool_or(F.when(F.col("_some"), c)), F.lit(False)).alias(f"_f{i}") for i, (_, c) in enumerate(names)]
     ends = [F.max(F.when(F.col(place) == k, F.col("_part"))).alias(f"{place}{k}") for place in ("_first", "_last") for k in (1, 2)]
     runs = texts.groupBy(*run).agg(*marks, *ends)
     order = Window.partitionBy("cluster_id").orderBy("_kind", "_run")
@@ -181,7 +181,7 @@ def exemplars(rows: DataFrame) -> DataFrame:
     """The success of least friction, and of the others the worst: failed or abandoned, then partial, then any friction."""
     friction = F.col("n_corrections") + F.col("n_interruptions")
     good = rows.where("outcome = 'success'").groupBy("cluster_id").agg(F.min_by("episode_id", F.struct(friction, "ord")).alias("good"))
-    x = rows.join(good, "cluster_id", "left").where(~F.col("episode_id").eqNullSafe(F.col("good")))
+    x = rows.join(F.broadcast(good), "cluster_id", "left").where(~F.col("episode_id").eqNullSafe(F.col("good")))
     tier = F.when(F.col("outcome").isin("failed", "abandoned"), 0).when(F.col("outcome") == "partial", 1).when(friction > 0, 2)
     bad = x.withColumn("tier", tier).where("tier is not null").groupBy("cluster_id").agg(F.min_by("episode_id", F.struct("tier", -friction, "ord")).alias("bad"))
     return rows.select("cluster_id").distinct().join(good, "cluster_id", "left").join(bad, "cluster_id", "left")

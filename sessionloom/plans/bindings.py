@@ -242,8 +242,8 @@ def episodes(spark: SparkSession, sf: str) -> DataFrame:
     flags = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_returnflag"))), lambda x: x["l_returnflag"]), ">")
     lines = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("episode_id")).agg(
         flags.alias("signature"), F.count_if(F.col("l_returnflag") == "R").alias("n_corrections"), F.count_if(F.col("l_linestatus") == "O").alias("n_interruptions"),
-        days.alias("duration_s"), F.count_distinct("l_partkey").alias("n_files_read"), F.count_distinct("l_suppkey").alias("n_files_edited"),
-    )
+        days.alias("duration_s"), *[F.size(F.collect_set(c)).cast("bigint").alias(n) for c, n in (("l_partkey", "n_files_read"), ("l_suppkey", "n_files_edited"))],
+    )  # fmt: skip  # an order's lines are few: its sets take no copy of the lines for each, as count_distinct would
     o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("episode_id"), F.col("o_custkey").alias("session_id"), "o_orderpriority", "o_orderstatus", "o_totalprice", "o_orderdate")
     x = o.join(lines, "episode_id", "left")
     judged = F.col("signature").isNotNull()

@@ -88,7 +88,7 @@ oracle("intervention", f"WITH {D.EPISODES}, {_INTERVENTION} SELECT * FROM it")
 
 @query
 def risk_flags(spark: SparkSession, sf: str) -> DataFrame:
-    rows = D.clusters(spark, sf)
+    rows = S.kept(D.clusters(spark, sf).select("cluster_id", "ord", "first_prompt", "tool_sequence", "n_files_edited", "n_files_read", "n_corrections"))
     said = F.when(F.col("ord") % 3 == 0, "they git push").when(F.col("ord") % 3 == 1, "  ").otherwise("--force it")
     return M.risk_flags(rows, rows.where("ord % 512 < 3 and n_corrections = 0").select("cluster_id", "ord", said.alias("text")))
 
@@ -864,8 +864,8 @@ oracle(
 )
 
 
-def _sections(spark: SparkSession, sf: str) -> DataFrame:
-    rows = D.clusters(spark, sf)
+def _sections(episodes: DataFrame) -> DataFrame:
+    rows = S.kept(M.clustered(episodes))
     friction = rows.where("n_corrections > 1").select("cluster_id", F.concat(F.lit("slow "), (F.col("n_corrections") % 5).cast("string")).alias("what")).groupBy("cluster_id", "what").agg(F.count(F.lit(1)).alias("n"))
     return R.sections(rows, friction, rows.select("cluster_id", F.lit("check").alias("note")).where("cluster_id like '%high%'").distinct())
 
@@ -873,7 +873,7 @@ def _sections(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def report_sections(spark: SparkSession, sf: str) -> DataFrame:
     """The report's section of each cluster."""
-    return _sections(spark, sf).select("cluster_id", "thin", "section")
+    return _sections(D.episodes(spark, sf)).select("cluster_id", "thin", "section")
 
 
 oracle(
@@ -904,8 +904,8 @@ oracle(
 @query
 def report_document(spark: SparkSession, sf: str) -> DataFrame:
     """The lines of the whole report but those of its clusters."""
-    x = D.episodes(spark, sf)
-    doc = R.document(x, _sections(spark, sf).withColumn("section", F.lit("+")))
+    x = S.kept(D.episodes(spark, sf))
+    doc = R.document(x, _sections(x).withColumn("section", F.lit("+")))
     return doc.select(F.posexplode(F.split("text", "\n", -1)).alias("place", "line"))
 
 
