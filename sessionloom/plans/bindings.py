@@ -239,11 +239,13 @@ sg AS (SELECT *, greatest(sum((event_type = 'signup')::INT) OVER (PARTITION BY s
 def episodes(spark: SparkSession, sf: str) -> DataFrame:
     """Labelled episodes; orders without lines are not judged."""
     days = (F.unix_micros(F.max("l_shipdate").cast("timestamp")) - F.unix_micros(F.min("l_shipdate").cast("timestamp"))) / 1e6
-    flags = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_returnflag"))), lambda x: x["l_returnflag"]), ">")
-    lines = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("episode_id")).agg(
-        flags.alias("signature"), F.count_if(F.col("l_returnflag") == "R").alias("n_corrections"), F.count_if(F.col("l_linestatus") == "O").alias("n_interruptions"),
-        days.alias("duration_s"), *[F.size(F.collect_set(c)).cast("bigint").alias(n) for c, n in (("l_partkey", "n_files_read"), ("l_suppkey", "n_files_edited"))],
-    )  # fmt: skip  # an order's lines are few: its sets take no copy of the lines for each, as count_distinct would
+    flags = F.array_join(F.transform(F.array_sort("own"), lambda x: x["l_returnflag"]), ">")
+    distinct = lambda c: F.size(F.array_distinct(F.array_compact(F.transform("own", lambda x: x[c])))).cast("bigint")
+    # An order's lines are few: one list of them takes no copy of the lines for each count_distinct, and is built where they lie together.
+    lines = table(spark, sf, "lineitem").repartition("l_orderkey").groupBy(F.col("l_orderkey").alias("episode_id")).agg(
+        F.collect_list(F.struct("l_linenumber", "l_returnflag", "l_partkey", "l_suppkey")).alias("own"), F.count_if(F.col("l_returnflag") == "R").alias("n_corrections"), F.count_if(F.col("l_linestatus") == "O").alias("n_interruptions"),
+        days.alias("duration_s"),
+    ).withColumns({"signature": flags, "n_files_read": distinct("l_partkey"), "n_files_edited": distinct("l_suppkey")}).drop("own")
     o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("episode_id"), F.col("o_custkey").alias("session_id"), "o_orderpriority", "o_orderstatus", "o_totalprice", "o_orderdate")
     x = o.join(lines, "episode_id", "left")
     judged = F.col("signature").isNotNull()
