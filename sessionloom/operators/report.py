@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import one_line
 from .authoring import clean
 from .mine import components, contrast, dominant_pattern, exemplars, intervention, panel_medians, risk_flags, thin_split, totals
+from .store import once
 
 TOP = 3
 PROMPT_CHARS = 120
@@ -32,7 +33,8 @@ def _top(counted: DataFrame, text: str, mark: str) -> DataFrame:
 
 def _cited(rows: DataFrame, picks: DataFrame, side: str) -> DataFrame:
     """(cluster_id, side): how an exemplar is cited; its prompt is cleaned."""
-    x = picks.select("cluster_id", F.col(side).alias("episode_id")).join(rows.select("episode_id", "first_prompt", "outcome", "n_corrections", "n_interruptions"), "episode_id")
+    x = picks.select("cluster_id", F.col(side).alias("episode_id"))
+    x = rows.select("episode_id", "first_prompt", "outcome", "n_corrections", "n_interruptions").join(F.broadcast(x), "episode_id")
     friction = (F.col("n_corrections") + F.col("n_interruptions")).cast("string")
     text = F.concat(F.lit("`"), F.col("episode_id").cast("string"), F.lit("` : "), clean(one_line(F.coalesce("first_prompt", F.lit("")), PROMPT_CHARS)), F.lit(" _(outcome: "), F.coalesce("outcome", F.lit("unjudged")), F.lit(", friction: "), friction, F.lit(")_"))
     return x.select("cluster_id", text.alias(side))
@@ -41,6 +43,7 @@ def _cited(rows: DataFrame, picks: DataFrame, side: str) -> DataFrame:
 def sections(rows: DataFrame, friction: DataFrame, notes: DataFrame | None = None) -> DataFrame:
     """(cluster_id, thin, frequency, success_rate, section) of every cluster of labelled episodes.
 
+    rows are read some twenty times, few columns each time: keep them first (store.kept).
     friction: cluster_id, what, n. notes: cluster_id, note - business notes, joined last.
     """
     x = components(rows).join(dominant_pattern(rows), "cluster_id", "left").join(intervention(rows), "cluster_id").join(risk_flags(rows), "cluster_id").join(panel_medians(rows), "cluster_id")
@@ -49,7 +52,7 @@ def sections(rows: DataFrame, friction: DataFrame, notes: DataFrame | None = Non
     for side in ("success", "fail"):
         x = x.join(sides.where(F.col("side") == side).select("cluster_id", F.col("listed").alias(f"_{side}")), "cluster_id", "left")
     x = x.join(_top(friction.withColumn("side", F.lit("")), "what", "").select("cluster_id", F.col("listed").alias("_friction")), "cluster_id", "left")
-    picks = exemplars(rows)
+    picks = once(exemplars(rows))
     for side in ("good", "bad"):
         x = x.join(_cited(rows, picks, side), "cluster_id", "left")
     x = x.join(notes.select("cluster_id", "note"), "cluster_id", "left") if notes is not None else x.withColumn("note", F.lit(None).cast("string"))

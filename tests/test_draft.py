@@ -88,3 +88,40 @@ def test_objects_end_at_their_brace(spark):
 
     texts = ['a {"x": "}", "y": {"z": [1, "{\\"" ]}} b {"c": 1}', "{ open", '{"a": "open }', "none", 'x\n```json\n{"k": "' + "v" * 20000 + '"}\n``` {"l": 2}', "{}}", '{"a"{"b"}c}d']
     assert one(spark, json_object, *texts) == ['{"x": "}", "y": {"z": [1, "{\\"" ]}}', None, None, None, '{"k": "' + "v" * 20000 + '"}', "{}", '{"a"{"b"}c}']
+
+
+def test_lines_are_read_once_for_a_report(spark):
+    from sessionloom.plans import mining  # noqa: F401
+    from sessionloom.plans.registry import QUERIES
+
+    for name in ("report_sections", "risk_flags", "draft_stale"):
+        plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert "l_orderkey" not in plan and "p_partkey" not in plan, name
+
+
+def test_texts_without_a_needed_word_hold_no_risk(spark):
+    texts = ["RM  -fr x", "force push", "git push -f", "--force-with-lease", "Drop Index i", "deployed", "git push the prod", "vercel --prod", "kubectl apply", "Truncate table t", "Api-Key", "access_token", "sk-" + "a" * 16, "AKIAABCDEFGHIJKL", "-----BEGIN RSA PRIVATE KEY-----", "123-45-6789", "order 1\nn>a>r"]
+    rows = [(str(i), 1, t, None, 0, 0) for i, t in enumerate(texts)]
+    x = spark.createDataFrame(rows, "cluster_id string, ord long, first_prompt string, tool_sequence string, n_files_edited long, n_files_read long")
+    got = {int(r.cluster_id): r.risk_flags for r in mine.risk_flags(x).collect()}
+    assert all(got[i] for i in range(len(texts) - 1)) and got[len(texts) - 1] == ""
+    assert {k.split(": ")[1] for f in got.values() for k in f.split("; ") if k} == {n for _, n in mine.DESTRUCTIVE + mine.SENSITIVE}
+
+
+def test_prompts_are_dealt_over_the_cores(spark):
+    from sessionloom.operators import labeling
+
+    seen = set()
+    asked = labeling.asked
+
+    def watched(rows, *more):
+        seen.add(rows.rdd.getNumPartitions())
+        return asked(rows, *more)
+
+    labeling.asked = watched
+    try:
+        one_place = spark.range(40).selectExpr("id AS episode_id", "'x' AS rendered").coalesce(1)
+        assert labeling.label(one_place, labeling.stand_in).count() == 40
+    finally:
+        labeling.asked = asked
+    assert seen == {4}
