@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions.privacy import sanitize
 from .episodes import RENDER_CAP
-from .store import CACHE_KEY, consolidate, label_errors, not_yet_labeled, once, valid_score
+from .store import CACHE_KEY, consolidate, label_errors, not_yet_labeled, once, spread, valid_score
 
 Caller = Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]
 COST_A_CALL, EPISODES_A_SESSION = 0.4, 3
@@ -112,7 +112,7 @@ def outgoing(episodes: DataFrame) -> DataFrame:
 
 def label(episodes: DataFrame, caller: Caller, rubric: str = "") -> DataFrame:
     """(episode_id, label, errors) of redacted views; a label that breaks a rule is asked for once more."""
-    rows = outgoing(episodes)
+    rows = once(outgoing(spread(episodes)))
     got = asked(rows, caller, lambda nudge: prompt(rubric, F.col("rendered"), F.col("episode_id"), nudge), label_errors)
     return got.select("episode_id", T.json_object(F.col("answer")).alias("label"), "errors")
 
@@ -143,7 +143,7 @@ def panel(episodes: DataFrame, callers: dict[str, Caller], rubrics: Rubrics) ->
     passed the one before, with one retry; an axis that the consolidator drops or breaks is the
     judged one. errors names the call an episode failed at and is empty for the others.
     """
-    rows = once(outgoing(episodes))
+    rows = once(outgoing(spread(episodes)))
     errors = {"outcome": label_errors, "efficiency": assessment_errors, "quality": assessment_errors}
     done, failed = rows, []
     for name, rules in errors.items():
